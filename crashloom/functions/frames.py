@@ -232,13 +232,24 @@ PARSERS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def parsed_entries(entries: Column, lang: str) -> Column:
+    """array<struct<f: FRAME, e: string>> of raw entries in one format."""
+    return PARSERS[lang](F.coalesce(entries, F.expr("cast(array() as array<string>)"))).cast(f"array<struct<f:{FRAME},e:string>>")
+
+
+def first_error(parsed: Column) -> Column:
+    return F.get(F.filter(F.transform(parsed, lambda x: x["e"]), lambda x: x.isNotNull()), F.lit(0))
+
+
+def parsed_frames(parsed: Column) -> Column:
+    """The frames of a trace all of whose entries were parsed, else none."""
+    return F.when(F.exists(parsed, lambda x: x["e"].isNotNull()), F.expr(f"cast(array() as array<{FRAME}>)")).otherwise(F.transform(parsed, lambda x: x["f"]))
+
+
 def parse(entries: Column, lang: str) -> Column:
-    """struct<frames, error> of raw entries in one format."""
-    seen = PARSERS[lang](F.coalesce(entries, F.expr("cast(array() as array<string>)")))
-    errors = F.filter(F.transform(seen, lambda x: x["e"]), lambda x: x.isNotNull())
-    error = F.get(errors, F.lit(0))
-    frames = F.transform(seen, lambda x: x["f"]).cast(f"array<{FRAME}>")
-    return F.struct(F.when(error.isNull(), frames).otherwise(F.expr(f"cast(array() as array<{FRAME}>)")).alias("frames"), error.alias("error"))
+    """struct<frames, error> of raw entries in one format. Where both are used, name the parsed entries first."""
+    seen = parsed_entries(entries, lang)
+    return F.struct(parsed_frames(seen).alias("frames"), first_error(seen).alias("error"))
 
 
 def dispatch(report_columns: Sequence[str]) -> Column:
@@ -254,34 +265,42 @@ def dispatch(report_columns: Sequence[str]) -> Column:
 
 
 def parse_dispatched(entries: Column, lang: Column) -> Column:
+    """Parsed entries in the format that ``lang`` names."""
     out = None
     for name in PARSERS:
-        out = F.when(lang == name, parse(entries, name)) if out is None else out.when(lang == name, parse(entries, name))
+        out = F.when(lang == name, parsed_entries(entries, name)) if out is None else out.when(lang == name, parsed_entries(entries, name))
     return out
 
 
 def with_modules(frames: Column, maps: Column) -> Column:
-    """Frames whose address lies in a mapping (array<struct<start, stop, offset, name>>) get its module and the offset into it."""
+    """Frames whose address lies in a mapping (array<struct<start, stop, name, base>>) get its module and the offset into it."""
+
+    def hit(f: Column) -> Column:
+        return F.struct(f.alias("f"), F.get(F.filter(maps, lambda m: (f["address"] >= m["start"]) & (f["address"] < m["stop"])), F.lit(0)).alias("m"))
 
-    def one(f: Column) -> Column:
-        hit = F.get(F.filter(maps, lambda m: (f["address"] >= m["start"]) & (f["address"] < m["stop"])), F.lit(0))
-        base = F.array_min(F.transform(F.filter(maps, lambda m: m["name"] == hit["name"]), lambda m: m["start"]))
-        found = hit.isNotNull() & (f["address"] != 0)
+    def one(x: Column) -> Column:
+        f, m = x["f"], x["m"]
+        found = m.isNotNull() & (f["address"] != 0)
         return F.struct(
-            f["address"].alias("address"), f["function"].alias("function"), F.when(found, hit["name"]).otherwise(f["module"]).alias("module"),
-            F.when(found, f["address"] - base).otherwise(f["offset"]).cast("decimal(20,0)").alias("offset"), f["debug"].alias("debug"),
+            f["address"].alias("address"), f["function"].alias("function"), F.when(found, m["name"]).otherwise(f["module"]).alias("module"),
+            F.when(found, f["address"] - m["base"]).otherwise(f["offset"]).cast("decimal(20,0)").alias("offset"), f["debug"].alias("debug"),
         )
 
-    return F.when(F.coalesce(F.size(maps), F.lit(0)) > 0, F.transform(frames, one)).otherwise(frames)
+    return F.when(F.coalesce(F.size(maps), F.lit(0)) > 0, F.transform(F.transform(frames, hit), one)).otherwise(frames)
 
 
 _MAP = r"^\s*0x([0-9a-f]+)\s+0x([0-9a-f]+)\s+0x[0-9a-f]+\s+0x([0-9a-f]+)\s+(?:[rwxps-]{3,5}\s+)?(\S.*)$"
 
 
 def mappings(lines: Column) -> Column:
-    """array<struct<start, stop, offset, name>> of a debugger's table of mapped files."""
+    """array<struct<start, stop, name>> of a debugger's table of mapped files."""
     named = F.filter(F.coalesce(lines, F.expr("cast(array() as array<string>)")), lambda x: x.rlike(_MAP))
-    return F.transform(named, lambda x: F.struct(hex_number(_re(x, _MAP, 1)).alias("start"), hex_number(_re(x, _MAP, 2)).alias("stop"), hex_number(_re(x, _MAP, 3)).alias("offset"), F.trim(_re(x, _MAP, 4)).alias("name")))
+    return F.transform(named, lambda x: F.struct(hex_number(_re(x, _MAP, 1)).alias("start"), hex_number(_re(x, _MAP, 2)).alias("stop"), F.trim(_re(x, _MAP, 4)).alias("name")))
+
+
+def based(maps: Column) -> Column:
+    """Mappings with the base of their file."""
+    return F.transform(maps, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["name"].alias("name"), F.array_min(F.transform(F.filter(maps, lambda o: o["name"] == m["name"]), lambda o: o["start"])).alias("base")))
 
 
 def frame_key(f: Column) -> Column:

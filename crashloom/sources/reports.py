@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StringType, StructField, StructType
+
 from ..functions import fixed, frames
 from .schemas import REPORT
 
@@ -31,7 +33,7 @@ def read_reports(spark: SparkSession, path: str, recursive: bool = False, suffix
 
     The schema is given, so files aren't read twice, and unknown keys are ignored.
     """
-    schema = REPORT.add("_corrupt", "string") if "_corrupt" not in REPORT.names else REPORT
+    schema = StructType([*REPORT.fields, StructField("_corrupt", StringType())])
     read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", suffix).option("recursiveFileLookup", recursive)
     df = read.json(path).withColumns({"file_path": F.col("_metadata.file_path"), "file_name": F.col("_metadata.file_name")})
     return with_defaults(df.withColumn("dir", F.regexp_replace("file_path", "/[^/]*$", "")))
@@ -86,11 +88,14 @@ def traces(reports: DataFrame, langs=fixed.CLUSTER_LANGS, functions=(), files=()
     A report that can't be parsed, or of whose trace nothing is left, keeps its row with
     parse_error set, so that it can be put aside.
     """
-    lang = frames.dispatch(reports.columns)
-    df = reports.withColumn("lang", lang).withColumn("_p", frames.parse_dispatched(F.col("Stacktrace"), F.col("lang")))
-    placed = frames.with_modules(F.col("_p.frames"), frames.mappings(F.col("ProcMaps")))
-    df = df.withColumn("_f", frames.filtered(placed, langs, functions, files))
-    return fold(df, "_f").withColumn("parse_error", F.when(F.col("_corrupt").isNotNull(), "not a report").otherwise(F.coalesce(F.col("_p.error"), F.when(F.size("frames") == 0, "Current stack trace length is null")))).drop("_p", "_f")
+    # each step is a column of its own: what is used more than once is not worked out again
+    df = reports.withColumn("lang", frames.dispatch(reports.columns)).withColumn("_maps", frames.mappings(F.col("ProcMaps")))
+    df = df.withColumn("_maps", frames.based(F.col("_maps"))).withColumn("_p", frames.parse_dispatched(F.col("Stacktrace"), F.col("lang")))
+    df = df.withColumn("_e", frames.first_error(F.col("_p"))).withColumn("_f", frames.parsed_frames(F.col("_p")))
+    df = df.withColumn("_f", frames.with_modules(F.col("_f"), F.col("_maps"))).withColumn("_f", frames.filtered(F.col("_f"), langs, functions, files))
+    df = fold(df, "_f")
+    error = F.when(F.col("_corrupt").isNotNull(), "not a report").otherwise(F.coalesce("_e", F.when(F.size("frames") == 0, "Current stack trace length is null")))
+    return df.withColumn("parse_error", error).drop("_p", "_f", "_e", "_maps")
 
 
 def fold(df: DataFrame, column: str) -> DataFrame:
