@@ -12,10 +12,12 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
 from pyspark.sql.types import ArrayType, BooleanType
 
 from ..sources.schemas import FRAME
 from . import fixed
+from .strings import strip
 
 ZERO = "cast(0 as decimal(20,0))"
 
@@ -54,28 +56,28 @@ def _source(location: Column) -> tuple[Column, Column, Column, Column]:
     file, line, column = (_re(location, p, k) for k in (1, 2, 3))
     colons = F.length(location) - F.length(F.replace(location, F.lit(":"), F.lit("")))
     ok = (file != "") & ((colons < 1) | _number(line).isNotNull()) & ((colons < 2) | _number(column).isNotNull())
-    return F.trim(file), _number(line), _number(column), (location == "") | ok
+    return strip(file), _number(line), _number(column), (location == "") | ok
 
 
 def asan_entry(entries: Column) -> Column:
     """``#N 0xADDR [in function[(arguments)][ const]] [file[:line[:column]]] [(module+0xOFFSET)]``."""
     head = r"^ *#[0-9]+ +0x([0-9a-f]+) *"
-    a = F.transform(entries, lambda e: F.struct(e.alias("e"), hex_number(_re(e, head)).alias("address"), F.trim(F.regexp_replace(e, head, "")).alias("rest")))
+    a = F.transform(entries, lambda e: F.struct(e.alias("e"), hex_number(_re(e, head)).alias("address"), strip(F.regexp_replace(e, head, "")).alias("rest")))
     module = lambda x: F.when(x["rest"].startswith("in "), F.lit(r"\(([^()]+)\+0x([0-9a-f]+)\)")).otherwise(F.lit(r"\((.+)\+0x([0-9a-f]+)\)"))
     b = F.transform(a, lambda x: F.struct(
         x["e"].alias("e"), x["address"].alias("address"), x["rest"].startswith("in ").alias("named"),
-        F.trim(_re(x["rest"], module(x), 1)).alias("module"), _re(x["rest"], module(x), 2).alias("offset"),
-        F.trim(F.split(x["rest"], module(x), 2)[0]).alias("rest"),
+        strip(_re(x["rest"], module(x), 1)).alias("module"), _re(x["rest"], module(x), 2).alias("offset"),
+        strip(F.split(x["rest"], module(x), 2)[0]).alias("rest"),
     ))
     c = F.transform(b, lambda x: F.struct(
         x["e"].alias("e"), x["address"].alias("address"), x["named"].alias("named"), x["module"].alias("module"), x["offset"].alias("offset"),
-        F.when(x["named"], F.trim(F.regexp_replace(F.trim(F.substring(x["rest"], 4, 1 << 30)), "^.*? for ", ""))).otherwise(x["rest"]).alias("rest"),
+        F.when(x["named"], strip(F.regexp_replace(strip(F.substring(x["rest"], 4, 1 << 30)), "^.*? for ", ""))).otherwise(x["rest"]).alias("rest"),
     ))
     name = lambda x: F.when(x["rest"].endswith(") const"), F.lit("^(.*)()$")).when(x["rest"].contains(")"), F.lit(r"^(.*\)(?: const(?= ))?[^ ]*)(?: (.*))?$")).otherwise(F.lit("^([^ ]*)(?: (.*))?$"))
     d = F.transform(c, lambda x: F.struct(
         x["e"].alias("e"), x["address"].alias("address"), (~x["named"] | (x["rest"] != "")).alias("named_well"), x["module"].alias("module"), x["offset"].alias("offset"),
         F.when(x["named"], _re(x["rest"], name(x), 1)).otherwise("").alias("function"),
-        F.when(x["named"], F.trim(_re(x["rest"], name(x), 2))).otherwise(x["rest"]).alias("location"),
+        F.when(x["named"], strip(_re(x["rest"], name(x), 2))).otherwise(x["rest"]).alias("location"),
     ))
 
     def last(x: Column) -> Column:
@@ -94,7 +96,7 @@ def gdb_entry(entries: Column) -> Column:
         where = _re(e, p, 3)
         at = e.rlike(r" +at +\S[^()]*$")
         file, line, column, ok = _source(F.when(at, where).otherwise(""))
-        function = F.trim(F.regexp_replace(_re(e, p, 2), r" \(.*$", ""))
+        function = strip(F.regexp_replace(_re(e, p, 2), r" \(.*$", ""))
         known = _re(e, p, 1)
         return _parsed(frame(hex_number(known), function, F.when(at, "").otherwise(where), None, file, line, column), e.rlike(r"^ *#[0-9]+ ") & ok, e)
 
@@ -115,7 +117,6 @@ def _simple(pattern: str, make: Callable[[Callable[[int], Column]], Column], num
 
     return parse
 
-
 _PYTHON = r'File "(.+)", line (\d+), in (.+)'
 _AGAIN = r"^\[Previous line repeated (\d+) more times\]"
 
@@ -155,7 +156,6 @@ def _lua(entries: Column) -> Column:
 
     return F.transform(known, one)
 
-
 _CSHARP = (
     r"^at (\([\S ]+?\) )?(\S+?)(?: ?(\([\S ]*?\)))?(?: <(\w+)(?: \+ (\w+))?>| \[(\w+)\])?(?: in (?:<(\p{XDigit}+)(?:#\p{XDigit}+)?>|([\S ]+)):(?:line )?(\w+))?$"
 )
@@ -186,7 +186,6 @@ def _js_location(loc: Column) -> tuple[Column, Column, Column, Column]:
     ok = (loc != "") & (second.isNull() | _number(second).isNotNull()) & (third.isNull() | _number(third).isNotNull())
     return F.when(file.startswith("/"), file).otherwise("<anonymous>"), F.coalesce(_number(second), F.lit(0)), F.coalesce(_number(third), F.lit(0)), ok
 
-
 _JS_FULL = r"^\s*at\s+(.+?)(?:\s+(\[as.*?\])?\s*)\((.*)\)$"
 _JS_BARE = r"^\s*at\s+(.+?)(?:(?:\s+(\[as.*?\]))?\s*)$"
 _JS_EVAL = r"^\s*at eval \(eval at (?:(.+?) (?:(\[as.*?\]) )?\((.*?)\)|(.+?)), (.*?)\)$"
@@ -288,14 +287,13 @@ def with_modules(frames: Column, maps: Column) -> Column:
 
     return F.when(F.coalesce(F.size(maps), F.lit(0)) > 0, F.transform(F.transform(frames, hit), one)).otherwise(frames)
 
-
 _MAP = r"^\s*0x([0-9a-f]+)\s+0x([0-9a-f]+)\s+0x[0-9a-f]+\s+0x([0-9a-f]+)\s+(?:[rwxps-]{3,5}\s+)?(\S.*)$"
 
 
 def mappings(lines: Column) -> Column:
     """array<struct<start, stop, name>> of a debugger's table of mapped files."""
     named = F.filter(F.coalesce(lines, F.expr("cast(array() as array<string>)")), lambda x: x.rlike(_MAP))
-    return F.transform(named, lambda x: F.struct(hex_number(_re(x, _MAP, 1)).alias("start"), hex_number(_re(x, _MAP, 2)).alias("stop"), F.trim(_re(x, _MAP, 4)).alias("name")))
+    return F.transform(named, lambda x: F.struct(hex_number(_re(x, _MAP, 1)).alias("start"), hex_number(_re(x, _MAP, 2)).alias("stop"), strip(_re(x, _MAP, 4)).alias("name")))
 
 
 def based(maps: Column) -> Column:

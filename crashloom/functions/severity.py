@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.schemas import SEVERITY
 from . import fixed
 from .frames import hex_number
+from .strings import rstrip, strip
 
 LOW = "NOT_EXPLOITABLE"
 
@@ -77,11 +78,11 @@ def ubsan_severity(lines: Column) -> Column:
 
 
 def lua_severity(exception: Column) -> Column:
-    return own_class(_has(F.trim(F.substring_index(exception, "\n", 1)), r"\S+:(?: .+:)? (.+)", 1), F.lit(""))
+    return own_class(_has(strip(F.substring_index(exception, "\n", 1)), r"\S+:(?: .+:)? (.+)", 1), F.lit(""))
 
 
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), lambda x: F.rtrim(x))
+    return F.transform(F.split(text, "\n", -1), lambda x: rstrip(x))
 
 
 def cpp_exception(text: Column) -> Column:
@@ -89,7 +90,7 @@ def cpp_exception(text: Column) -> Column:
     p = r"terminate called after throwing an instance of (.+)"
     at = F.array_position(F.transform(lines, lambda x: x.rlike(p)), True).cast("int")
     name = F.regexp_replace(F.regexp_extract(F.get(lines, at - 1), p, 1), "^'+|'+$", "")
-    return F.when(at > 0, own_class(name, F.trim(F.coalesce(_has(F.get(lines, at), r"what\(\): +(.+)", 1), F.lit("")))))
+    return F.when(at > 0, own_class(name, strip(F.coalesce(_has(F.get(lines, at), r"what\(\): +(.+)", 1), F.lit("")))))
 
 
 def python_exception(text: Column) -> Column:
@@ -129,7 +130,6 @@ def rust_panic(text: Column) -> Column:
     quoted = F.regexp_extract(text, p, 2)
     return F.when(text.rlike(p), own_class(F.lit("RustPanic"), F.when(quoted != "", quoted).otherwise(F.regexp_extract(text, p, 3))))
 
-
 EXCEPTIONS = {"cpp": cpp_exception, "python": python_exception, "java": java_exception, "go": go_panic, "js": js_exception, "csharp": csharp_exception, "rust": rust_panic}
 
 

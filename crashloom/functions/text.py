@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import PARSERS
+from .strings import rstrip, strip
 
 
 def crash_line(frames: Column) -> Column:
@@ -20,7 +21,6 @@ def without_column(line: Column) -> Column:
     """A crash line cut after its line number."""
     return F.regexp_replace(line, r"(\d+):\d+$", "$1")
 
-
 _HEADER = r"^(.+?):(\d+):(?:(\d+):)? runtime error: "
 
 
@@ -41,7 +41,7 @@ def ubsan_crash_line(lines: Column) -> Column:
 
 
 def lua_crash_line(exception: Column) -> Column:
-    lines = F.transform(F.split(exception, "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(exception, "\n"), lambda x: strip(x))
     p = r"(.+):(\d+):"
     head = F.get(lines, F.lit(0))
     direct = F.when(head.rlike(r"\S+: (.+):(\d+):"), F.concat_ws(":", F.regexp_extract(head, r"\S+: (.+):(\d+):", 1), F.regexp_extract(head, r"\S+: (.+):(\d+):", 2)))
@@ -99,7 +99,6 @@ def ubsan_name(folder: Column, seed: Column, line: Column) -> Column:
 def summary_line(kind: Column, severity: Column, short: Column, line: Column, path: Column) -> Column:
     return F.concat_ws(": ", kind, severity, short, F.when(F.coalesce(line, F.lit("")) != "", line).otherwise(path))
 
-
 #: The sections of a report's text in order: title and column.
 SECTIONS = [
     ("CrashSeverity", None), ("Stacktrace", "Stacktrace"), ("Registers", None), ("Disassembly", "Disassembly"), ("Source", "Source"), ("AsanReport", "AsanReport"), ("MsanReport", "MsanReport"),
@@ -137,7 +136,6 @@ def finding_title(line: Column, short: Column) -> Column:
 def tracker_severity(kind: Column) -> Column:
     return F.when(kind == "EXPLOITABLE", "Critical").when(kind == "PROBABLY_EXPLOITABLE", "High").when(kind == "NOT_EXPLOITABLE", "Medium").otherwise("Info")
 
-
 SECURITY = "null_deref|out_of_bounds|int_overflow|div_by_zero|neg_size|num_trunc"
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .strings import rstrip, strip
+
 EMPTY = "cast(array() as array<string>)"
 
 
@@ -52,7 +54,7 @@ def python_trace(text: Column) -> Column:
     begin = first_index(lines, lambda x: x.contains("Traceback "))
     rest = part(lines, begin)
     end = last_index(rest, lambda x: x != "")
-    frames = F.transform(F.reverse(F.slice(rest, F.lit(1), end)), lambda x: F.trim(x))
+    frames = F.transform(F.reverse(F.slice(rest, F.lit(1), end)), lambda x: strip(x))
     return F.when(begin.isNotNull(), F.filter(frames, lambda x: x.rlike(r'File ".+", line [\d]+, in .+|\[Previous line repeated (\d+) more times\]')))
 
 
@@ -63,10 +65,9 @@ def go_trace(text: Column) -> Column:
     rest = part(lines, begin + 1)
     rest = F.slice(rest, F.lit(1), F.coalesce(first_index(rest, lambda x: x == ""), F.size(rest)))
     rest = F.slice(rest, F.lit(1), F.coalesce(first_index(rest, lambda x: x.rlike(r"==\d+== ERROR: ")), F.size(rest)))
-    pairs = F.transform(F.filter(rest, lambda x, i: i % 2 == 0), lambda x, i: F.concat(F.trim(x), F.lit(" in "), F.trim(F.get(rest, 2 * i + 1))))
+    pairs = F.transform(F.filter(rest, lambda x, i: i % 2 == 0), lambda x, i: F.concat(strip(x), F.lit(" in "), strip(F.get(rest, 2 * i + 1))))
     return F.when(begin.isNotNull() & (F.size(rest) % 2 == 0), pairs)
 
-
 _JAVA_HEAD = r"^(?:Caused by:|Exception in thread|== Java Exception:)"
 
 
@@ -77,7 +78,7 @@ def java_trace(text: Column) -> Column:
     def shape(b: Column) -> Column:
         tail = F.regexp_extract(b, r"((?:\n\s+at .*\(.*\))+)(?:\n\s+\.\.\. (\d+) more)?\z", 1)
         more = F.regexp_extract(b, r"\n\s+\.\.\. (\d+) more\z", 1)
-        return F.struct(F.filter(F.transform(F.split(tail, "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("body"), F.coalesce(F.nullif(more, F.lit("")).cast("int"), F.lit(0)).alias("more"))
+        return F.struct(F.filter(F.transform(F.split(tail, "\n"), lambda x: strip(x)), lambda x: x != "").alias("body"), F.coalesce(F.nullif(more, F.lit("")).cast("int"), F.lit(0)).alias("more"))
 
     shaped = F.reverse(F.transform(blocks, shape))
     # from the innermost block outwards, each gives the frames that the one within it left out and that it doesn't leave out itself
@@ -125,7 +126,7 @@ def ubsan_warnings(text: Column) -> Column:
 
 def sanitizer_report(text: Column) -> Column:
     """struct<kind, lines>: from the sanitizer's header to the last line that isn't empty; kind is asan or msan."""
-    lines = F.transform(split_lines(text), lambda x: F.rtrim(x))
+    lines = F.transform(split_lines(text), lambda x: rstrip(x))
     asan = r"==\d+==\s*ERROR: (LeakSanitizer|AddressSanitizer|libFuzzer):"
     msan = r"==\d+==\s*WARNING: MemorySanitizer:"
     begin = first_index(lines, lambda x: x.rlike(asan) | x.rlike(msan))
@@ -147,7 +148,7 @@ def python_log(stderr: Column, stdout: Column) -> Column:
 
 def java_log(text: Column) -> Column:
     """Lines of a Java log before the fuzzer's own output, tabs as spaces, without empty ones."""
-    lines = F.transform(split_lines(text), lambda x: F.rtrim(F.regexp_replace(x, "\t", "    ")))
+    lines = F.transform(split_lines(text), lambda x: rstrip(F.regexp_replace(x, "\t", "    ")))
     end = first_index(lines, lambda x: x.startswith("== libFuzzer crashing input =="))
     return F.filter(F.slice(lines, F.lit(1), F.coalesce(end, F.size(lines))), lambda x: x != "")
 
@@ -156,5 +157,4 @@ def js_log(text: Column) -> Column:
     """Lines of a JS log that are frames or name the error."""
     return F.filter(split_lines(text), lambda x: x.rlike(r"^\s*at ") | x.contains("Error:"))
 
-
 EXTRACTORS = {"asan": asan_trace, "gdb": gdb_trace, "python": python_trace, "go": go_trace, "java": java_trace, "rust": rust_trace, "js": js_trace, "csharp": csharp_trace, "lua": lua_trace}
