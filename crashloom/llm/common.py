@@ -85,26 +85,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return stars.union(e.select("v", F.col("v").alias("label")).distinct())
 
 
-def pivot_pairs(lists: DataFrame, turn: int) -> DataFrame:
+def pivot_pairs(lists: DataFrame, may_match: Column, turn: int) -> DataFrame:
     """(a, b, sa, sb) of each member of a list with the list's pivot, without repeats.
 
-    ``lists``: key, id, size, anchor. The pivot is the anchor with the least
-    hash for this ``turn``; a list of n members yields n-1 rows, never n².
+    The pivot is the anchor that comes first in the list's order, and in later turns the one with
+    the least hash for that turn; a list of n members yields at most n-1 rows, never n².
     """
-    order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("p"), F.col("size").alias("ps"))
-    pivots = lists.where("anchor").groupBy("key").agg(F.min(order).alias("x")).select("key", "x.p", "x.ps")
-    found = lists.join(pivots, "key").where("id <> p")
-    return _ordered(found.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("p").alias("b"), F.col("ps").alias("sb")))
+    place = F.col("pos") if turn == 0 else F.lit(0)
+    order = F.struct(place.alias("o"), F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"))
+    pivots = lists.where("anchor").groupBy("key").agg(F.min(order).alias("x")).select("key", "x.b", "x.sb", "x.pb")
+    found = lists.select("key", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa")).join(pivots, "key").where("a <> b").where(may_match)
+    return _ordered(found)
 
 
 def cross_pairs(lists: DataFrame, may_match: Column) -> DataFrame:
-    """(a, b, sa, sb) of the members of a list that carry different labels, without repeats.
-
-    ``may_match`` is a condition on the sizes sa and sb.
-    """
-    left = lists.select("key", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("label").alias("la"), F.col("anchor").alias("aa"))
-    right = lists.select("key", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"), F.col("anchor").alias("ab"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("aa") | F.col("ab")) & may_match).select("a", "sa", "b", "sb").distinct()
+    """(a, b, sa, sb) of the members of a list that carry different labels, without repeats."""
+    left, right = (lists.select("key", F.col("id").alias(x), F.col("size").alias("s" + x), F.col("pos").alias("p" + x), F.col("label").alias("l" + x), F.col("anchor").alias("n" + x)) for x in "ab")
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("na") | F.col("nb")) & may_match).select("a", "sa", "b", "sb").distinct()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -112,34 +109,35 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).select(F.col("x.i").alias("a"), F.col("x.s").alias("sa"), F.col("y.i").alias("b"), F.col("y.s").alias("sb")).distinct()
 
 
-def link_lists(lists: DataFrame, verify, may_match: Column, turns: int = 3, pairs_per_row: float = 4.0) -> tuple[DataFrame, DataFrame]:
+def link_lists(lists: DataFrame, verify, may_match: Column, turns: int = 4, pairs_per_row: float = 16.0) -> tuple[DataFrame, DataFrame]:
     """(labels, links) of the graph whose links are the verified pairs that share a list.
 
-    ``lists``: key, id, size, anchor (cut; each list with two members or more, of
-    which one is an anchor). Two members need a look if one of them is an anchor.
+    ``lists``: key, id, size, pos, anchor (cut; each list with two members or more, of
+    which one is an anchor). Two members need a look if one of them is an anchor and
+    ``may_match`` holds, a condition on their sizes sa and sb and places pa and pb.
     ``verify(pairs)`` keeps the rows (a, b) that are true links. Two ids of one
     component need no further look, so after each turn lists shrink to what is
     still open: first every member meets the list's pivot; what the pivots
     have joined is contracted to components; then the members of a list
     that are still in different components meet each other. Further pivots are
-    tried while that last step would be large. No pair is lost: a pair that
-    is never compared is in one component already.
+    tried while that last step would be large and they halve it. No pair is
+    lost: a pair that is never compared is in one component already.
     """
-    links, open_lists = None, lists
+    links, open_lists, before = None, lists, None
     for turn in range(turns):
-        pairs = pivot_pairs(open_lists, turn).where(may_match)
+        pairs = pivot_pairs(open_lists, may_match, turn)
         found = verify(pairs).select("a", "b")
         links = cut(found if links is None else links.union(found).distinct(), "links")
         labels = cut(connected_components(links), "labels")
         named = lists.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         spread = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.count("*").alias("labels")).where("labels > 1").select("key", ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("left"))
-        open_lists = cut(named.join(spread, "key").select("key", "id", "size", "anchor", "label", "left"), "open")
-        rows, left = open_lists.agg(F.count("*"), F.sum(F.col("left") / F.lit(1.0))).first()
+        open_lists = cut(named.join(spread, "key").select("key", "id", "size", "pos", "anchor", "label", "left"), "open")
+        rows, total = open_lists.groupBy("key").agg(F.count("*").alias("n"), F.first("left").alias("left")).agg(F.sum("n"), F.sum("left")).first()
         if not rows:
             return labels, links
-        total = open_lists.select("key", "left").distinct().agg(F.sum("left")).first()[0]
-        if total <= pairs_per_row * rows:
+        if total <= pairs_per_row * rows or (before is not None and total > before / 2):
             break
+        before = total
     found = verify(cross_pairs(open_lists, may_match)).select("a", "b")
     links = cut(links.union(found).distinct(), "links")
     return cut(connected_components(links), "labels"), links

@@ -9,13 +9,13 @@ classes.
   a subset is sharing that overlap.
 * Heavy sets: the inverted lists of the first ``n - ceil(0.8 n) + 1`` shingles of a
   global order are scanned. The order puts shingles that many documents
-  carry last, so lists stay short.
+  carry last, so lists stay short, and places in it bound the overlap.
 * The boundary is the largest size for which enumerating costs no more rows
   than scanning, from the measured mean list length.
 
 Lists of either kind then go to :func:`common.link_lists`, which never emits all
 pairs of a group. Pairs are checked exactly: first a lossless bound on the
-symmetric difference from a 64-cell histogram, then the sets themselves.
+symmetric difference from histograms, then the sets themselves.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing;
 a repeated row joins its copy's class. Shingles are 64-bit hashes.
@@ -30,7 +30,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -46,7 +46,8 @@ HEAVY_DF = 64
 HEAVY_ROWS = 1 << 17
 #: Share of the hash range whose shingles are counted; prefixes lie at its low end.
 COUNTED = 0.25
-CELLS = 64
+#: A histogram has at most two to this number of cells.
+MOST_BITS = 12
 
 
 def need(a: int, b: int) -> int:
@@ -87,7 +88,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 f.append(int(u.sum().astype(np.uint64).view(np.int64)) if len(u) else 0)
                 g.append(int(m.sum().view(np.int64)) if len(u) else 0)
                 n.append(len(u))
-                cells.append(np.minimum(np.bincount((m >> np.uint64(58)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes())
+                cells.append(histogram(m))
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(cells, pa.binary())], ["doc_id", "f", "g", "n", "cells"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, f long, g long, n long, cells binary")
@@ -107,20 +108,20 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 def _lists(docs: DataFrame, heavy: np.ndarray, boundary: int) -> DataFrame:
-    """(key, id, size, heavy): the list rows of each document's set, where id is the set's fingerprint f."""
+    """(key, id, size, pos, heavy): the list rows of each document's set, where id is the set's fingerprint f and pos the place in its order."""
     far = docs.sparkSession.sparkContext.broadcast(np.sort(heavy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = far.value
         for x in batches:
-            keys, ids, sizes, flags = [], [], [], []
+            keys, ids, sizes, flags, places = [], [], [], [], []
             for s in shingle_sets(x.column(0), WIDTH):
                 n = len(s)
                 if not n:
                     continue
                 f = int(s.view(np.uint64).sum().view(np.int64))
                 s = np.sort(s)
-                out, flag = [], []
+                out, flag, order = [], [], None
                 if n > boundary:
                     common_ = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(n, bool)
                     order = np.concatenate([s[~common_], s[common_]])[: prefix_size(n)]
@@ -137,12 +138,13 @@ def _lists(docs: DataFrame, heavy: np.ndarray, boundary: int) -> DataFrame:
                 for o, fl in zip(out, flag):
                     keys.append(o)
                     flags.append(fl)
+                    places.append(np.arange(len(o)) if o is order else np.zeros(len(o), np.int64))
                     ids.append(np.full(len(o), f, np.int64))
                     sizes.append(np.full(len(o), n, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(flags))], ["key", "id", "size", "heavy"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(flags))], ["key", "id", "size", "pos", "heavy"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, id long, size long, heavy boolean")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, id long, size long, pos long, heavy boolean")
 
 
 def _arrays(docs: DataFrame) -> DataFrame:
@@ -156,15 +158,37 @@ def _arrays(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "v long, tokens array<long>")
 
 
-@F.pandas_udf(BooleanType())
-def _cells_allow(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    x = np.frombuffer(b"".join(a), "<u2").reshape(-1, CELLS).astype(np.int64) if len(a) else np.empty((0, CELLS), np.int64)
-    y = np.frombuffer(b"".join(b), "<u2").reshape(-1, CELLS).astype(np.int64) if len(a) else x
-    return pd.Series((DEN + NUM) * np.abs(x - y).sum(axis=1) <= (DEN - NUM) * (n + m).to_numpy())
+def histogram(mixed: np.ndarray) -> bytes:
+    """Counts of a set's mixed hashes by their first bits: about a cell or two for two of them, a byte each, held at 255.
+
+    The number of cells is a power of two, so a finer histogram folds to a coarser one. Cells
+    that are held back are left out of a comparison.
+    """
+    bits = min(max(4, (len(mixed) // 2).bit_length()), MOST_BITS)
+    return np.minimum(np.bincount((mixed >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def may_match():
-    return F.least("sa", "sb") * DEN >= F.greatest("sa", "sb") * NUM
+@F.pandas_udf(BooleanType())
+def _cells_allow(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """Whether the histograms leave room for enough overlap: the sets differ at least as much as their cells."""
+    la, lb = a.map(len).to_numpy(), b.map(len).to_numpy()
+    out = np.zeros(len(a), bool)
+    room = (DEN - NUM) * (n + m).to_numpy()
+    for x, y in {*zip(la.tolist(), lb.tolist())}:
+        at = np.flatnonzero((la == x) & (lb == y))
+        k = min(x, y)
+        # a count that is held at 255 may be higher: it allows any difference upwards
+        p, q = (np.frombuffer(b"".join(v.iloc[at]), np.uint8).astype(np.int64).reshape(len(at), k, -1) for v in (a, b))
+        held = (p == 255).any(axis=2) | (q == 255).any(axis=2)
+        apart = np.where(held, 0, np.abs(p.sum(axis=2) - q.sum(axis=2))).sum(axis=1)
+        out[at] = (DEN + NUM) * apart <= room[at]
+    return pd.Series(out)
+
+
+def may_match() -> Column:
+    """Whether sizes allow a link and a shared shingle at these places can be the pair's first one: enough must follow it."""
+    least = F.floor((NUM * (F.col("sa") + F.col("sb")) + DEN + NUM - 1) / (DEN + NUM))
+    return (F.least("sa", "sb") * DEN >= F.greatest("sa", "sb") * NUM) & (F.col("sa") - F.col("pa") >= least) & (F.col("sb") - F.col("pb") >= least)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -188,7 +212,7 @@ def _solve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.repartition("key", "salt").dropDuplicates(["key", "salt", "id"])
     rows = rows.withColumn("members", F.count("*").over(Window.partitionBy("key", "salt"))).where("heavy or members > 1")
     by_set = classes.select(F.col("f").alias("id"), "rep")
-    lists = common.cut(rows.join(common.small(by_set), "id").select("key", F.col("rep").alias("id"), "size", F.lit(True).alias("anchor")), "lists")
+    lists = common.cut(rows.join(common.small(by_set), "id").select("key", F.col("rep").alias("id"), "size", "pos", F.lit(True).alias("anchor")), "lists")
 
     def verify(pairs: DataFrame) -> DataFrame:
         sketch = common.small(classes.select("rep", "cells"), 50_000)

@@ -79,6 +79,6 @@ def _chunk(data: pa.Array, width: int) -> Iterator[np.ndarray]:
         if b - a >= width:
             yield np.unique(acc[a : b - width + 1]).view(np.int64) if b - a > width else acc[a : a + 1].view(np.int64)
         elif b > a:
-            yield mix(np.array([(words[a:b] * _STEP[: b - a]).sum() + _U(int(b - a) * 0x9E3779B97F4A7C15 % 2**64)], _U)).view(np.int64)
+            yield mix((words[a:b] * _STEP[: b - a]).sum(keepdims=True) + _U(int(b - a) * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)
         else:
             yield np.empty(0, np.int64)
