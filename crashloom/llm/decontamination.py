@@ -74,14 +74,15 @@ def _verified(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """(_d, _r, n_hit, items) of the documents in which a window truly occurs."""
     listed = listed.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "cands")
     near = common.small(listed, 100_000)
-    full = rows.join(near, rows["doc_id"].eqNullSafe(near["_d"]) & (rows["rid"] == near["_r"])).dropDuplicates(["_d", "_r"])
-    full = full.select("_d", "_r", "cands", words(common.ascii_lower(F.col("_t"))).alias("dw"))
+    full = rows.join(near, rows["doc_id"].eqNullSafe(near["_d"]) & (rows["rid"] == near["_r"]))
+    # tables in between keep the words and the hits from being worked out again where they are used
+    full = common.cut(full.select("_d", "_r", "cands", words(common.ascii_lower(F.col("_t"))).alias("dw")), "candidate-words")
     starts = """transform(cands, c -> struct(c.item as item, c.w as w, filter(transform(sequence(0, size(c.iw) - c.w), i ->
         if(c.shift + i >= 0 and c.shift + i + c.w <= size(dw) and slice(dw, greatest(c.shift + i, 0) + 1, c.w) = slice(c.iw, i + 1, c.w), c.shift + i, -1)), s -> s >= 0) as at))"""
-    hit = full.select("_d", "_r", F.expr(f"filter({starts}, x -> size(x.at) > 0)").alias("h")).where("size(h) > 0")
+    hit = common.cut(full.select("_d", "_r", F.expr(f"filter({starts}, x -> size(x.at) > 0)").alias("h")), "window-hits").where("size(h) > 0")
     places = "array_distinct(flatten(flatten(transform(h, x -> transform(x.at, s -> sequence(s, s + x.w - 1))))))"
     ids = "array_sort(array_distinct(transform(h, x -> cast(x.item as string))))"
-    return common.cut(hit.select("_d", "_r", F.expr(f"size({places})").alias("n_hit"), F.expr(ids).alias("items")), "hits")
+    return common.cut(hit.select("_d", "_r", F.expr(f"size({places})").alias("n_hit"), F.expr(ids).alias("items")).distinct(), "hits")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -90,6 +91,6 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated documents; all columns stay."""
-    bad = common.cut(contamination(docs, benchmark).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r")).distinct(), "contaminated")
+    bad = common.cut(contamination(docs, benchmark).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("__d"), F.col("rid").alias("__r")).distinct(), "contaminated")
     bad = common.small(bad)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_r")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("__r")), "left_anti")
