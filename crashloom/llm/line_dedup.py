@@ -8,7 +8,7 @@ If two lines are within t edits and the shorter is cut into t+1 segments, the ot
 holds one of them unchanged, near its place. Each line therefore offers the hashes of its own
 segments, keyed by length and segment, and probes those of lines 0 to t characters
 shorter at the few places that edits can have moved a segment to. Lines that meet
-are verified by a banded bit-parallel edit distance: the cells of a column within t of the
+are cut to what differs between them and verified by a banded bit-parallel edit distance: the cells of a column within t of the
 diagonal are bits of one number, and a column takes a dozen operations.
 
 Lines are identified by 64-bit hashes (two of them for equality). Lists of lines that
@@ -27,6 +27,10 @@ from . import common
 
 EDITS = 2
 EXACT, FUZZY = 10, 24
+#: Pieces of what differs between two lines, for a quick check of long differences.
+PIECES = 12
+#: Characters whose counts are compared first.
+LETTERS = "etaoinsrhldcumg "
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -37,29 +41,55 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(17), "line"))
 
 
-def segments(length: Column, edits: int = EDITS) -> list[tuple[Column, Column]]:
-    """(1-based place, length) of each of the edits+1 segments of a line of that length; longer ones last."""
-    parts = edits + 1
-    out, at = [], F.lit(1)
-    for i in range(parts):
-        size = F.floor(length / parts).cast("int") + (F.lit(i) >= parts - length % parts).cast("int")
-        out.append((at, size))
-        at = at + size
-    return out
+def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(characters less, segment, move) of each key of a line; the first edits+1 are its own segments.
 
+    If the other line is ``less`` characters shorter, edits before segment i can have moved it by up
+    to i places and those behind it must make up the difference.
+    """
+    own = [(0, i, 0) for i in range(edits + 1)]
+    moved = [(less, i, m) for less in range(edits + 1) for i in range(edits + 1) for m in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    return own + [x for x in moved if x not in own]
+
+
+def keyed(rows: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(key, id, size, anchor) of ``rows`` (h, n, line); an anchor is one of the line's own segments.
+
+    A line of n characters has segments of n div parts, and the last n mod parts of them one more.
+    """
+    parts, every = edits + 1, probes(edits)
+    pick = lambda k: "element_at(array(" + ", ".join(str(x[k]) for x in every) + "), p + 1)"
+    each = rows.select("h", "n", "line", F.explode(F.sequence(F.lit(0), F.lit(len(every) - 1))).alias("p"))
+    each = each.selectExpr("h", "n", "line", "p", f"n - {pick(0)} as l", f"{pick(1)} as i", f"{pick(2)} as m")
+    each = each.selectExpr("h", "n", "line", "p", "l", "i", f"cast(l div {parts} as int) + if(i >= {parts} - l % {parts}, 1, 0) as size", f"cast(l div {parts} as int) * i + greatest(0, i - ({parts} - l % {parts})) + 1 + m as at")
+    each = each.where("at >= 1 and at + size - 1 <= n")
+    return each.selectExpr("xxhash64(l, i, substring(line, at, size)) as key", "h as id", "n as size", f"p < {parts} as anchor")
+
+
+def letter_counts(line: str) -> Column:
+    """Counts of sixteen characters, modulo 16, in the nibbles of one number."""
+    terms = [f"shiftleft(cast((length({line}) - length(replace({line}, '{c}', ''))) & 15 as bigint), {4 * k})" for k, c in enumerate(LETTERS)]
+    return F.expr(" | ".join(terms))
 
-def keys(line: Column, n: Column, edits: int = EDITS) -> Column:
-    """array<struct<key, anchor>>: the line's own segments (anchors) and what it probes."""
-    out = []
-    for less in range(edits + 1):
-        length = n - less
-        for i, (at, size) in enumerate(segments(length, edits)):
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for move in range(low, high + 1):
-                key = F.xxhash64(length, F.lit(i), F.substring(line, at + move, size))
-                fits = (at + move >= 1) & (at + move + size - 1 <= n)
-                out.append(F.struct(F.when(fits, key).alias("key"), F.lit(less == 0 and move == 0).alias("anchor")))
-    return F.array(*out)
+
+def counts_allow(a: str, b: str, edits: int = EDITS) -> Column:
+    """Whether letter counts can belong to lines within ``edits`` edits: an edit changes two counts by one at most."""
+    terms = [f"least(({a} >>> {k} & 15) - ({b} >>> {k} & 15) & 15, ({b} >>> {k} & 15) - ({a} >>> {k} & 15) & 15)" for k in range(0, 64, 4)]
+    return F.expr(" + ".join(terms) + f" <= {2 * edits}")
+
+
+def trimmed(pairs: DataFrame, longest: int = 16) -> DataFrame:
+    """(a, b, x, y) with the common beginnings and ends cut from x and y, which leaves edit distances as they are.
+
+    The common beginning's length is found by halving steps from 2**longest on; a longer one is
+    cut as far as that.
+    """
+    steps = ", ".join(str(1 << k) for k in range(longest, -1, -1))
+    same = f"aggregate(array({steps}), 0, (p, k) -> if(p + k <= least(length(x), length(y)) and substring(x, p + 1, k) = substring(y, p + 1, k), p + k, p))"
+    for _ in range(2):
+        # a table in between keeps the length from being worked out again for each use
+        pairs = common.cut(pairs.selectExpr("a", "b", "x", "y", f"{same} as p"), "line-trim").selectExpr("a", "b", "reverse(substring(x, p + 1)) as x", "reverse(substring(y, p + 1)) as y")
+    return pairs
 
 
 def within(a: str, b: str, edits: int = EDITS) -> Column:
@@ -84,32 +114,40 @@ def within(a: str, b: str, edits: int = EDITS) -> Column:
 
 
 def may_match() -> Column:
-    return F.abs(F.col("sa") - F.col("sb")) <= EDITS
+    return (F.abs(F.col("sa") - F.col("sb")) <= EDITS) & counts_allow("pa", "pb")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(h, label): the hashes of the lines that are near other lines, with the least hash of their component."""
-    fuzzy = lines(docs).where(F.col("n") >= FUZZY)
-    rows = fuzzy.select("h", "n", F.explode(keys(F.col("line"), F.col("n"))).alias("k")).select(F.col("k.key").alias("key"), F.col("h").alias("id"), F.col("n").alias("size"), F.col("k.anchor").alias("anchor")).where("key is not null")
-    # one shuffle for all three steps; copies of a line are merged before it
-    rows = rows.groupBy("key", "id", "size").agg(F.max("anchor").alias("anchor"))
+    rows = keyed(lines(docs).where(F.col("n") >= FUZZY))
+    # one shuffle; a list matters if it holds two different lines and an own segment
     w = Window.partitionBy("key")
-    rows = rows.repartition("key").withColumn("members", F.count("*").over(w)).withColumn("anchors", F.max("anchor").over(w)).where("members > 1 and anchors")
-    lists = common.cut(rows.select("key", "id", "size", "anchor"), "segments")
+    rows = rows.repartition("key").withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("own", F.max("anchor").over(w)).where("low <> high and own")
+    found = common.cut(rows.groupBy("key", "id", "size").agg(F.max("anchor").alias("anchor")), "segments")
+    wanted = common.cut(found.select(F.col("id").alias("h")).distinct(), "wanted-lines")
+    texts = lines(docs).select("h", "line").join(common.small(wanted), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    texts = common.cut(texts.withColumn("counts", letter_counts("line")), "line-texts")
+    counts = common.small(texts.select(F.col("h").alias("id"), F.col("counts").alias("pos")))
+    lists = common.cut(found.join(counts, "id").select("key", "id", "size", "pos", "anchor"), "lists")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = common.cut(pairs, "line-pairs")
-        wanted = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted-lines")
-        texts = common.cut(lines(docs).select("h", "line").join(common.small(wanted), "h", "left_semi").dropDuplicates(["h"]), "line-texts")
+        pairs = common.cut(pairs.select("a", "b"), "line-pairs")
         both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
         longer = F.length("x") >= F.length("y")
         both = both.select("a", "b", F.when(longer, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(longer, F.col("y")).otherwise(F.col("x")).alias("y"))
-        return both.where(within("x", "y")).select("a", "b")
+        near = common.cut(common.cut(trimmed(both), "line-rest").where(_pieces_allow()), "line-check")
+        return near.where(within("x", "y")).select("a", "b")
 
     labels, _ = common.link_lists(lists, verify, may_match())
     return labels.withColumnRenamed("v", "h")
 
 
+def _pieces_allow() -> Column:
+    """Whether enough of the PIECES pieces of y are in x near their places: an edit touches one of them and moves the others by one."""
+    return F.expr(f"""length(y) < {4 * PIECES} or size(filter(sequence(0, {PIECES - 1}), i -> instr(substring(x, greatest(1, i * cast(length(y) div {PIECES} as int) + 1 - {EDITS}), cast(length(y) div {PIECES} as int) + {2 * EDITS}),
+        substring(y, i * cast(length(y) div {PIECES} as int) + 1, cast(length(y) div {PIECES} as int))) > 0)) >= {PIECES - EDITS}""")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, drop): for each document the numbers of its lines that aren't the first of their class."""
     labels = common.small(classes(docs))
@@ -129,15 +167,15 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) for each row of ``docs``."""
-    return _cleaned(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+    return _cleaned(docs.select("doc_id", "text")).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
 
 
 def _cleaned(docs: DataFrame) -> DataFrame:
-    gone = common.small(repeats(docs.select("doc_id", "text")), 100_000).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), F.col("drop").alias("_drop"))
+    gone = common.small(repeats(docs.select("doc_id", "text"))).select(F.col("doc_id").alias("__d"), F.col("rid").alias("__r"), F.col("drop").alias("__drop"))
     text = F.col("text").cast("string")
-    found = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_r")), "left")
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(_l) - 1), _drop), i -> _l[i]), '\n')")
-    found = found.withColumn("_l", F.split(text, "\n", -1))
-    found = found.withColumn("n_lines", F.coalesce(F.size("_l"), F.lit(0)).cast("long")).withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    found = found.withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long")).withColumn("n_dropped", F.when(F.col("_drop").isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
-    return found.withColumn("text", F.when(F.col("_drop").isNull(), text).otherwise(kept))
+    found = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__r")), "left")
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(__l) - 1), __drop), i -> __l[i]), '\n')")
+    found = found.withColumn("__l", F.split(text, "\n", -1))
+    found = found.withColumn("__n_lines", F.coalesce(F.size("__l"), F.lit(0)).cast("long")).withColumn("__n_lines", F.when(text.isNull(), 0).otherwise(F.col("__n_lines")).cast("long"))
+    found = found.withColumn("__n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long")).withColumn("__n_dropped", F.when(F.col("__drop").isNull(), 0).otherwise(F.col("__n_dropped")).cast("long"))
+    return found.withColumn("text", F.when(F.col("__drop").isNull(), text).otherwise(kept))
