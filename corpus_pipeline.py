@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from crashloom.llm import decontamination, line_dedup, ngram_join, packing, toxicity
 from crashloom.llm.common import checkpoint_dir, held_out, table
@@ -20,7 +19,7 @@ from crashloom.llm.queries import END_ID, SEQUENCE, tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as toxic go."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), lambda k: ~held_out(k, 5, 0))
-    return toxicity.score(docs, model, tuple(docs.columns)).where(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

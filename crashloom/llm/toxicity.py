@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 POSITIVES, UNLABELLED = 3000, 9000
 FEATURES = 4096
 CLASSIFIERS = 3
-STEPS, RATE, RIDGE = 250, 0.05, 1e-4
+STEPS, RATE, RIDGE = 400, 0.05, 1e-3
+#: Standard errors by which a feature's document frequencies must differ.
+CLEAR = 5.0
 #: Words that a worker remembers.
 REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -123,7 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, features: int = FEATURES) -
     a, b = F.col("p") / float(max(1, n_p)), F.col("u") / float(max(1, n_u))
     both = (F.col("p") + F.col("u") + 1) / float(n_p + n_u + 2)
     z = F.abs(a - b) / F.sqrt(both * (1 - both) * (1 / max(1, n_p) + 1 / max(1, n_u)) + F.lit(1e-12))
-    chosen = df.where("p + u >= 4").orderBy(F.desc(z), "f").limit(features).select("f").collect()
+    chosen = df.where("p + u >= 4").where(z >= CLEAR).orderBy(F.desc(z), "f").limit(features).select("f").collect()
     model = Model(sorted(r[0] for r in chosen), np.zeros(len(chosen)), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -190,3 +192,15 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{types}, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows that are predicted as toxic; all columns stay, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield x.filter(pa.array([shared.value.score(t) < 0.5 for t in x.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
