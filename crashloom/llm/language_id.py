@@ -75,7 +75,7 @@ class Model:
     """Dense transition tables, one for each language, over the bytes that the samples hold.
 
     An entry holds the next state's row offset; its sign bit says that a phrase
-    ended. Class 0 is any byte that was not learned, class 1 the padding.
+    began. Class 0 is any byte that was not learned, class 1 the padding.
     """
 
     def __init__(self, samples: dict[str, bytes]):
@@ -95,10 +95,9 @@ class Model:
         out = np.tile(start, (len(go), 1))
         for s, edges in enumerate(go):
             out[s, 1] = s * w
-            for c, to in edges.items():
+            # what follows the start, or a byte that was not learned, begins a phrase
+            for c, to in edges.items() if s else ():
                 out[s, self.classes[c]] = to * w
-        # the first phrase of a block begins at its first byte: that is no end of another
-        out[0] &= np.int32(2**31 - 1)
         return out.ravel()
 
     def phrases(self, blocks: np.ndarray) -> np.ndarray:
@@ -106,13 +105,13 @@ class Model:
         columns = np.ascontiguousarray(blocks.T)
         out = np.empty((len(blocks), len(self.langs)), np.int32)
         for k, table in enumerate(self.tables):
-            state, ended = np.zeros(len(blocks), np.int32), np.ones(len(blocks), np.int32)
+            state, begun = np.zeros(len(blocks), np.int32), np.zeros(len(blocks), np.int32)
             for c in columns:
                 state += c
                 state = table.take(state)
-                ended += state < 0
+                begun += state < 0
                 state &= np.int32(2**31 - 1)
-            out[:, k] = ended
+            out[:, k] = begun
         return out
 
 
@@ -142,7 +141,7 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]
         best = need[:, : len(model.langs)].argmin(axis=1)
         two = np.partition(need, 1, axis=1)[:, :2]
         for i, b, (x, y) in zip(part, best, two):
-            langs[i], scores[i] = model.langs[b], float(1 - x / y)
+            langs[i], scores[i] = model.langs[b], float(1 - x / max(y, 1))
     return langs, scores
 
 
