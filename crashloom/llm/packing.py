@@ -2,9 +2,9 @@
 
 Documents become token ids with an end token. A document of n tokens is cut, if it is
 longer than a sequence, into a first piece of ``n mod L`` tokens and whole pieces of L.
-Bins are then filled one pattern at a time: subset sums of the lengths that are still
-available, as bits of one integer, find the fullest feasible combination; it is
-removed, as many times as the remaining counts allow.
+Bins are then filled one pattern at a time: the longest piece left is fixed, and subset sums
+of the lengths that are still available, as bits of one integer, find the fullest feasible
+combination with it; it is removed, as many times as the remaining counts allow.
 
 Only the number of pieces of each length (at most L counts) reaches the driver, so the plan
 doesn't grow with the data. Pieces learn their rank within their length from counts over
@@ -90,7 +90,10 @@ def plan(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, int, i
     """(length, first rank, copies, times, first sequence, offset) of each length in each pattern."""
     left, rank, out, seq = dict(counts), dict.fromkeys(counts, 0), [], 0
     while any(left.values()):
-        pattern = fullest(left, limit)
+        # each bin takes the longest piece that is left, so long ones don't remain for the end
+        longest = max(s for s, n in left.items() if n)
+        pattern = fullest(left | {longest: left[longest] - 1}, limit - longest)
+        pattern[longest] = pattern.get(longest, 0) + 1
         times = min(left[s] // n for s, n in pattern.items())
         offset = 0
         for s, n in sorted(pattern.items(), reverse=True):
