@@ -3,10 +3,11 @@
 An item's windows are its runs of 13 words; an item with fewer words is one window. A
 document is hit where it holds all words of a window in order.
 
-* Rarity: the words of the items are counted over all documents. A document that
-  holds a window holds its rarest word, so one prefix word for each window is enough.
-  Neighbouring windows mostly share it, so an item has a few anchors.
-* Candidates: document words join anchors; each match is an alignment (item,
+* Rarity: the items' shingles, pairs of neighbouring words, are counted over all
+  documents. A document that holds a window holds its rarest shingle, so one prefix
+  shingle for each window is enough. Neighbouring windows mostly share it, so an item
+  has a few anchors. Single words count as shingles only if an item is a single word.
+* Candidates: document shingles join anchors; each match is an alignment (item,
   shift) that passes if some window around the anchor fits within both texts.
 * Verification: along each distinct alignment the windows are compared exactly.
 
@@ -33,18 +34,24 @@ def words(lowered: Column) -> Column:
     return F.filter(F.split(lowered, SEPARATORS, -1), lambda x: x != "")
 
 
+def shingles(ws: str, single: bool) -> Column:
+    """Neighbouring words as array<struct<at, token>>; with ``single`` also each word by itself."""
+    pairs = f"transform(zip_with(slice({ws}, 1, greatest(size({ws}) - 1, 0)), slice({ws}, 2, greatest(size({ws}) - 1, 0)), (a, b) -> concat(a, ' ', b)), (t, i) -> struct(i as at, t as token))"
+    return F.expr(f"concat({pairs}, transform({ws}, (t, i) -> struct(i as at, t as token)))" if single else pairs)
+
+
 def _windows(benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").alias("item"), words(common.ascii_lower(F.col("text").cast("string"))).alias("iw")).where("item is not null and size(iw) > 0").distinct()
     return items.withColumn("w", F.least(F.size("iw"), F.lit(WINDOW))).withColumn("k", F.xxhash64("item", "iw"))
 
 
-def _anchors(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """(word, k, at, w, n): each item's windows reduced to their rarest word and its place in the item."""
-    starts = items.select("k", "iw", "w", F.explode(F.expr("sequence(0, size(iw) - w)")).alias("i"))
-    places = starts.select("k", "w", F.size("iw").alias("n"), "i", F.posexplode(F.expr("slice(iw, i + 1, w)")).alias("j", "word")).withColumn("word", F.lower("word"))
-    rated = places.join(common.small(counts), "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    best = rated.groupBy("k", "w", "n", "i").agg(F.min(F.struct("df", "word", (F.col("i") + F.col("j")).alias("at"))).alias("x"))
-    return best.select("x.word", "k", "x.at", "w", "n").distinct()
+def _anchors(items: DataFrame, counts: DataFrame, single: bool) -> DataFrame:
+    """(token, k, at, w, n): each item's windows reduced to their rarest shingle and its place in the item."""
+    starts = items.select("k", "iw", "w", F.explode(F.expr("sequence(0, size(iw) - w)")).alias("i")).withColumn("ww", F.expr("transform(slice(iw, i + 1, w), x -> lower(x))"))
+    places = starts.select("k", "w", F.size("iw").alias("n"), "i", F.explode(shingles("ww", single)).alias("s")).select("k", "w", "n", "i", "s.at", "s.token")
+    rated = places.join(common.small(counts), "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    best = rated.groupBy("k", "w", "n", "i").agg(F.min(F.struct("df", "token", (F.col("i") + F.col("at")).alias("at"))).alias("x"))
+    return best.select("x.token", "k", "x.at", "w", "n").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -52,12 +59,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("_t"), F.xxhash64(text).alias("rid"))
     items = common.cut(_windows(benchmark), "items")
+    single = items.where("w = 1").limit(1).count() > 0
     # lower() folds more than A-Z, so equal words stay equal; exact words are compared below
-    each = rows.select("doc_id", "rid", F.posexplode(words(F.lower("_t"))).alias("pos", "word"))
-    vocabulary = common.cut(items.select(F.explode("iw").alias("word")).select(F.lower("word").alias("word")).distinct(), "vocabulary")
-    counts = common.cut(each.select("word").join(common.small(vocabulary), "word").groupBy("word").agg(F.count("*").alias("df")), "rarity")
-    anchors = common.cut(_anchors(items, counts), "anchors")
-    found = rows.select("doc_id", "rid", F.posexplode(words(F.lower("_t"))).alias("pos", "word")).join(common.small(anchors), "word")
+    each = rows.select("doc_id", "rid", words(F.lower("_t")).alias("ws")).select("doc_id", "rid", F.explode(shingles("ws", single)).alias("s")).select("doc_id", "rid", F.col("s.at").alias("pos"), "s.token")
+    own = items.select(F.expr("transform(iw, x -> lower(x))").alias("ws"))
+    vocabulary = common.cut(own.select(F.explode(shingles("ws", single)).alias("s")).select("s.token").distinct(), "vocabulary")
+    counts = common.cut(each.select("token").join(common.small(vocabulary), "token").groupBy("token").agg(F.count("*").alias("df")), "rarity")
+    anchors = common.cut(_anchors(items, counts, single), "anchors")
+    found = each.join(common.small(anchors), "token")
     shift = F.col("pos") - F.col("at")
     # the last window start that still covers the anchor must not lie before the text
     candidates = found.withColumn("shift", shift).where("shift + least(at, n - w) >= 0").select("doc_id", "rid", "k", "shift").distinct()
@@ -73,7 +82,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _verified(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """(_d, _r, n_hit, items) of the documents in which a window truly occurs."""
     listed = listed.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "cands")
-    near = common.small(listed, 100_000)
+    near = common.small(listed, 20_000)  # a row holds the item words of a document's candidates
     full = rows.join(near, rows["doc_id"].eqNullSafe(near["_d"]) & (rows["rid"] == near["_r"]))
     # tables in between keep the words and the hits from being worked out again where they are used
     full = common.cut(full.select("_d", "_r", "cands", words(common.ascii_lower(F.col("_t"))).alias("dw")), "candidate-words")

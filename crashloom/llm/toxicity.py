@@ -37,7 +37,7 @@ STEPS, RATE, RIDGE = 400, 0.05, 1e-3
 #: Standard errors by which a feature's document frequencies must differ.
 CLEAR = 5.0
 #: Words that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
