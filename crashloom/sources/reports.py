@@ -94,14 +94,15 @@ def traces(reports: DataFrame, langs=fixed.CLUSTER_LANGS, functions=(), files=()
     df = df.withColumn("_e", frames.first_error(F.col("_p"))).withColumn("_f", frames.parsed_frames(F.col("_p")))
     df = df.withColumn("_f", frames.with_modules(F.col("_f"), F.col("_maps"))).withColumn("_f", frames.filtered(F.col("_f"), langs, functions, files))
     df = fold(df, "_f")
-    error = F.when(F.col("_corrupt").isNotNull(), "not a report").otherwise(F.coalesce("_e", F.when(F.size("frames") == 0, "Current stack trace length is null")))
+    error = F.when(F.col("_corrupt").isNotNull(), "not a report").otherwise(F.coalesce("_e", F.when(F.size("_f") == 0, "Current stack trace length is null")))
     return df.withColumn("parse_error", error).drop("_p", "_f", "_e", "_maps")
 
 
 def fold(df: DataFrame, column: str) -> DataFrame:
     """``df`` with frames (recursion folded), keys and fingerprint of the frames in ``column``."""
     keys = frames.frame_keys(F.col(column))
-    df = df.withColumn("_m", frames.fold_mask(keys)).withColumn("frames", frames.apply_mask(F.col(column), F.col("_m"))).drop("_m")
+    # filters on what follows must not pull the Python function into an expression's lambda
+    df = df.withColumn("_m", frames.fold_mask.asNondeterministic()(keys)).withColumn("frames", frames.apply_mask(F.col(column), F.col("_m"))).drop("_m")
     df = df.withColumn("keys", frames.frame_keys(F.col("frames")))
     return df.withColumn("fingerprint", frames.fingerprint(F.col("keys")))
 
