@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from . import common
-from .shingles import mix, shingle_sets
+from .shingles import mix, parts, shingle_sets
 
 WIDTH = 5
 #: Similarity as a ratio of integers, so that comparisons are exact.
@@ -80,7 +80,7 @@ def sets(docs: DataFrame) -> DataFrame:
     """(doc_id, f, g, n, cells): two fingerprints, the size and the histogram of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in parts(batches):
             f, g, n, cells = [], [], [], []
             for s in shingle_sets(x.column(1), WIDTH):
                 u = s.view(np.uint64)
@@ -99,7 +99,7 @@ def _counts(docs: DataFrame) -> DataFrame:
     top = np.int64(-(2**63) + int(COUNTED * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in parts(batches):
             found = [s[: np.searchsorted(s, top)] for s in map(np.sort, shingle_sets(x.column(0), WIDTH))]
             tokens, df = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(df, pa.int64())], ["token", "df"])
@@ -113,7 +113,7 @@ def _lists(docs: DataFrame, heavy: np.ndarray, boundary: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = far.value
-        for x in batches:
+        for x in parts(batches):
             keys, ids, sizes, flags, places = [], [], [], [], []
             for s in shingle_sets(x.column(0), WIDTH):
                 n = len(s)
@@ -149,7 +149,7 @@ def _lists(docs: DataFrame, heavy: np.ndarray, boundary: int) -> DataFrame:
 
 def _arrays(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in parts(batches):
             got = list(shingle_sets(x.column(1), WIDTH))
             at = np.cumsum([0, *map(len, got)]).astype(np.int32)
             values = pa.array(np.concatenate(got) if got else np.empty(0, np.int64))

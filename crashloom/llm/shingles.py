@@ -49,6 +49,13 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return words, np.searchsorted(starts, at)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``rows``, so that what is made of one stays small."""
+    for x in batches:
+        for i in range(0, x.num_rows, rows):
+            yield x.slice(i, rows)
+
+
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes (int64) of its word shingles.
 
