@@ -14,12 +14,13 @@ from .graph import components, cut
 
 
 def relations(members: DataFrame, new: DataFrame) -> DataFrame:
-    """(report_id, cluster, kind, measure) of each new report to each cluster it shares a frame with; to others it is outer.
+    """(report_id, cluster, kind, measure, diameter, open) of each new report to each cluster it shares a frame with; to others it is outer.
 
     ``members``: id, cluster, keys; ``new``: report_id, keys. A cluster's members are looked at
     in order of ids: at distance 0 the report is a dup; at more than the threshold it is outer at
     once, so a dup behind a far member doesn't count; else it is inner if the cluster doesn't
-    grow wider by it, with the cluster's diameter as measure.
+    grow wider by it, with the cluster's diameter as measure. It is ``open`` if members that are
+    added later can change it: no old one is at distance 0 or far.
     """
     m = members.select("id", "cluster", F.col("keys").alias("km"))
     r = new.select("report_id", F.col("keys").alias("kr"))
@@ -28,7 +29,7 @@ def relations(members: DataFrame, new: DataFrame) -> DataFrame:
     seen = d.groupBy("report_id", "cluster").agg(F.min(F.when(F.col("dist") == 0, F.col("id"))).alias("dup"), F.min(F.when(F.col("dist") > THRESHOLD, F.col("id"))).alias("far"), F.max("dist").alias("widest"))
     wide = diameters(members).select("cluster", "diameter")
     kind = F.when(F.col("dup").isNotNull() & (F.col("far").isNull() | (F.col("dup") < F.col("far"))), "dup").when(F.col("far").isNull() & (F.col("diameter") >= F.col("widest")), "inner").otherwise("outer")
-    return seen.join(wide, "cluster").select("report_id", "cluster", kind.alias("kind"), F.when(kind == "inner", F.col("diameter")).alias("measure"))
+    return seen.join(wide, "cluster").select("report_id", "cluster", kind.alias("kind"), F.when(kind == "inner", F.col("diameter")).alias("measure"), "diameter", (F.col("dup").isNull() & F.col("far").isNull()).alias("open"))
 
 
 def nearest(related: DataFrame) -> DataFrame:
@@ -37,6 +38,53 @@ def nearest(related: DataFrame) -> DataFrame:
     return inner.groupBy("report_id").agg(F.min(F.struct("measure", "cluster")).alias("x")).select("report_id", F.col("x.cluster").alias("cluster"))
 
 
+def _settled(members: DataFrame, batch: DataFrame, traces: DataFrame, related: DataFrame, unique_lines: bool) -> DataFrame | None:
+    """(report_id, dup, cluster, stays) of the reports that fit a cluster or may be dups of what the batch adds; None if there are none.
+
+    ``batch``: report_id, rep, crashline; ``traces``: rep, keys, the distinct ones; ``related``: the
+    relations of traces to old members. Each report depends on earlier ones only, so the rounds
+    have one fixed point, that of insertion in order of ids; a round settles one more link of each chain.
+    """
+    dups = related.where("kind = 'dup'").select("rep").distinct()
+    open_ = cut(related.where("open").join(dups, "rep", "left_anti").select("rep", "cluster", (F.col("kind") == "inner").alias("inner"), "diameter"), "open")
+    if open_.limit(1).count() == 0:
+        return None
+    keyed = open_.join(traces, "rep")
+    by = keyed.where("inner").select("cluster", F.col("rep").alias("by"), F.col("keys").alias("km"))
+    # what an added trace does to another of its cluster; equal traces are at distance 0
+    both = by.join(keyed.select("cluster", "rep", "diameter", F.col("keys").alias("kr")), "cluster").withColumn("dist", F.when(F.col("by") == F.col("rep"), 0.0).when(F.arrays_overlap("kr", "km"), 1 - similarity("kr", "km")).otherwise(1.0))
+    events = cut(both.select("cluster", "by", "rep", (F.col("dist") == 0).alias("zero"), (F.col("dist") > THRESHOLD).alias("far"), (F.col("dist") > F.col("diameter")).alias("wide")).where("zero or far or wide"), "events")
+    live = cut(batch.join(open_, "rep"), "live")
+    lines = members.select("cluster", "crashline").where("crashline <> ''").distinct().withColumn("known", F.lit(True))
+    first = lambda flag: F.min(F.when(F.col(flag), F.col("at"))).alias(flag)
+    state = None
+    while True:
+        if state is None:
+            seen = live.select("*", *(F.lit(None).cast(live.schema["report_id"].dataType).alias(x) for x in ("zero", "far", "wide")))
+        else:
+            added = state.where("stays").groupBy("cluster", F.col("rep").alias("by")).agg(F.min("report_id").alias("at"))
+            seen = live.join(events.join(added, ["cluster", "by"]).groupBy("rep", "cluster").agg(first("zero"), first("far"), first("wide")), ["rep", "cluster"], "left")
+        # members added before the report, in order: a dup unless a far one comes first
+        before = lambda x: F.coalesce(F.col(x) < F.col("report_id"), F.lit(False))
+        dup = before("zero") & (F.col("far").isNull() | (F.col("zero") < F.col("far")))
+        fits = F.col("inner") & ~dup & ~before("far") & ~before("wide")
+        chosen = seen.groupBy("report_id", "rep", "crashline").agg(F.max(dup).alias("dup"), F.min(F.when(fits, F.struct("diameter", "cluster"))).alias("x"))
+        chosen = chosen.select("report_id", "rep", "crashline", "dup", F.when(~F.col("dup"), F.col("x.cluster")).alias("cluster"))
+        stays = F.col("cluster").isNotNull()
+        if unique_lines:
+            firsts = chosen.where("cluster is not null and crashline <> ''").groupBy("cluster", "crashline").agg(F.min("report_id").alias("first"))
+            chosen = chosen.join(firsts, ["cluster", "crashline"], "left").join(lines, ["cluster", "crashline"], "left")
+            stays = stays & F.coalesce(F.col("first") == F.col("report_id"), F.lit(True)) & F.col("known").isNull()
+        step = cut(chosen.select("report_id", "rep", "dup", "cluster", stays.alias("stays")), "settled")
+        if state is not None:
+            was = state.select("report_id", F.struct("dup", "cluster", "stays").alias("was"))
+            if step.join(was, "report_id").where(~F.struct("dup", "cluster", "stays").eqNullSafe(F.col("was"))).limit(1).count() == 0:
+                return step
+        elif step.where("stays").limit(1).count() == 0:
+            return step
+        state = step
+
+
 def update(members: DataFrame, new: DataFrame, unique_lines: bool = False) -> DataFrame:
     """(report_id, outcome, cluster) of each new report.
 
@@ -44,28 +92,28 @@ def update(members: DataFrame, new: DataFrame, unique_lines: bool = False) -> Da
     are clustered with the old clusters and join one (moved, removed) or form new ones
     (new, new_removed), numbered from the largest old number on.
 
-    ``members``: id, cluster, keys, crashline; ``new``: report_id, keys, crashline. An insertion
-    can widen a cluster only up to its diameter, and the relation looks at distances from
-    members, so members inserted in this batch matter to later reports only as dups or far
-    members: reports that go to one cluster are compared with each other in a second step,
-    in order of ids.
+    ``members``: id, cluster, keys, crashline; ``new``: report_id (unique), keys, crashline. Reports
+    are inserted in order of ids, and each one added is a member for later ones: these are dups at
+    distance 0 of it, and deviant if they are too far from it. Insertions never widen a cluster, so
+    diameters stay. Deviants meet the clusters with what was added.
     """
-    related = cut(relations(members, new), "relations")
-    dups = related.where("kind = 'dup'").select("report_id").distinct()
-    placed = nearest(related.join(dups, "report_id", "left_anti"))
-    own = new.join(placed, "report_id")
-    # within the batch: equal traces that go to one cluster are dups of the first
-    w = Window.partitionBy("cluster", "keys").orderBy("report_id")
-    own = cut(own.withColumn("again", F.row_number().over(w) > 1), "placed")
-    lines = members.select(F.lit(0).alias("late"), F.col("id").cast("string").alias("rid"), "cluster", "crashline")
-    fresh = own.where(~F.col("again")).select(F.lit(1).alias("late"), F.col("report_id").cast("string").alias("rid"), "cluster", "crashline")
-    first = dedup_crash_lines(lines.union(fresh).withColumn("was", F.col("cluster")), order=("late", "rid")).where("late = 1") if unique_lines else fresh.withColumn("was", F.col("cluster"))
-    inserted = first.select(F.col("rid"), F.when(F.col("cluster") == 0, "deduplicated").otherwise("added").alias("outcome"), F.col("was").alias("cluster"))
-    rid = F.col("report_id").cast("string").alias("rid")
-    duplicates = dups.select(rid).union(own.where("again").select(rid)).select("rid", F.lit("duplicate").alias("outcome"), F.lit(None).cast("int").alias("cluster"))
-    deviants = cut(new.join(related.where("kind = 'dup'").select("report_id"), "report_id", "left_anti").join(placed, "report_id", "left_anti"), "deviants")
-    out = accumulate(members, deviants, unique_lines)
-    return duplicates.union(inserted.select("rid", "outcome", F.col("cluster").cast("int"))).union(out.select(F.col("report_id").cast("string").alias("rid"), "outcome", "cluster")).withColumnRenamed("rid", "report_id")
+    traces = cut(new.groupBy("keys").agg(F.min("report_id").alias("rep")).select("rep", "keys"), "batch-traces")
+    batch = cut(new.join(traces.withColumnRenamed("keys", "_keys"), F.col("keys").eqNullSafe(F.col("_keys"))).drop("_keys"), "batch")
+    related = cut(relations(members, traces.withColumnRenamed("rep", "report_id")).withColumnRenamed("report_id", "rep"), "relations")
+    copies = batch.join(related.where("kind = 'dup'").select("rep").distinct(), "rep").select("report_id")
+    settled = _settled(members, batch.select("report_id", "rep", "crashline"), traces, related, unique_lines)
+    rid = F.col("report_id").cast("string").alias("report_id")
+    none = F.lit(None).cast("int").alias("cluster")
+    out = copies.select(rid, F.lit("duplicate").alias("outcome"), none)
+    old = members.select(F.concat(F.lit("m"), F.col("id")).alias("id"), "cluster", "keys", "crashline")
+    done = copies
+    if settled is not None:
+        kept = settled.where("dup or cluster is not null")
+        out = out.union(kept.select(rid, F.when(F.col("dup"), "duplicate").when(F.col("stays"), "added").otherwise("deduplicated"), F.col("cluster").cast("int")))
+        old = old.union(settled.where("stays").select("report_id", "cluster").join(batch, "report_id").select(F.concat(F.lit("r"), F.col("report_id")), "cluster", "keys", "crashline"))
+        done = done.union(kept.select("report_id"))
+    deviants = cut(batch.join(done, "report_id", "left_anti").select("report_id", "keys", "crashline"), "deviants")
+    return out.union(accumulate(cut(old, "members"), deviants, unique_lines).select(rid, "outcome", "cluster"))
 
 
 def accumulate(members: DataFrame, deviants: DataFrame, unique_lines: bool = False) -> DataFrame:
@@ -104,10 +152,10 @@ def accumulate(members: DataFrame, deviants: DataFrame, unique_lines: bool = Fal
     fresh = rank(named.where("old is null").groupBy("grp").agg(F.min("report_id").alias("first")), ["first"], "nth").select("grp", "nth")
     placed = named.join(fresh, "grp", "left").withColumn("cluster", F.coalesce("old", (F.col("top") + F.col("nth")).cast("int")))
     if unique_lines:
-        earlier = members.select(F.lit(0).alias("late"), F.col("id").cast("string").alias("rid"), F.col("cluster").cast("int"), "crashline")
-        later = placed.select(F.lit(1).alias("late"), F.col("report_id").cast("string").alias("rid"), "cluster", "crashline")
-        kept = dedup_crash_lines(earlier.union(later), order=("late", "rid")).where("late = 1 and cluster <> 0").select(F.col("rid").alias("_kept"))
-        placed = placed.join(kept, placed["report_id"].cast("string") == F.col("_kept"), "left").withColumn("stays", F.col("_kept").isNotNull())
+        earlier = members.select(F.lit(0).alias("late"), F.lit(None).cast(deviants.schema["report_id"].dataType).alias("rid"), F.col("id").cast("string").alias("mid"), F.col("cluster").cast("int"), "crashline")
+        later = placed.select(F.lit(1).alias("late"), F.col("report_id").alias("rid"), F.lit("").alias("mid"), "cluster", "crashline")
+        kept = dedup_crash_lines(earlier.union(later), order=("late", "rid", "mid")).where("late = 1 and cluster <> 0").select(F.col("rid").alias("_kept"))
+        placed = placed.join(kept, placed["report_id"] == F.col("_kept"), "left").withColumn("stays", F.col("_kept").isNotNull())
     else:
         placed = placed.withColumn("stays", F.lit(True))
     outcome = F.when(F.col("old").isNotNull(), F.when(F.col("stays"), "moved").otherwise("removed")).otherwise(F.when(F.col("stays"), "new").otherwise("new_removed"))

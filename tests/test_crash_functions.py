@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +145,75 @@ def test_update(spark):
     assert len(got) == 4
 
 
+def plain_update(members, new, unique_lines):
+    """Insertion one by one: {report_id: (outcome, cluster)}, deviants left out, and the clusters afterwards."""
+    clusters, lines, out = {}, {}, {}
+    for _, c, k, line in sorted(members):
+        clusters.setdefault(c, []).append(k)
+        lines.setdefault(c, set()).add(line)
+    dist = lambda a, b: 1 - plain_similarity(a, b)
+    for r, k, line in sorted(new):
+        inner, dup = [], False
+        for c, held in clusters.items():
+            width, kind = max((dist(a, b) for a in held for b in held if a is not b), default=0.0), "inner"
+            for m in held:
+                if dist(k, m) == 0 or dist(k, m) > 0.3:
+                    kind = "dup" if dist(k, m) == 0 else "outer"
+                    break
+            if kind == "inner" and width >= max(dist(k, m) for m in held):
+                inner.append((width, c))
+            dup |= kind == "dup"
+        if dup:
+            out[r] = ("duplicate", None)
+        elif inner:
+            c = min(inner)[1]
+            out[r] = ("added", c)
+            if unique_lines and line and line in lines[c]:
+                out[r] = ("deduplicated", c)
+            else:
+                clusters[c].append(k)
+                lines[c].add(line)
+    return out, clusters
+
+
+MEMBERS = "id long, cluster int, keys array<string>, crashline string"
+REPORTS = "report_id long, keys array<string>, crashline string"
+
+
+def test_update_within_a_batch(spark):
+    """Two reports that fit a cluster but not each other, a proper prefix of the one that is added, and a copy of the other."""
+    members = [(1, 1, list("abcdefghij"), "f:1"), (2, 1, list("abcdexyzij"), "f:2")]
+    new = [(9, list("abcdefgzip"), "f:9"), (10, list("abcdexghqj"), "f:10"), (11, list("abcdefgzi"), "f:11"), (12, list("abcdexghqj"), "f:12")]
+    assert plain_update(members, new[1:2], True)[0] == {10: ("added", 1)}, "it fits without the other"
+    got = {r.report_id: (r.outcome, r.cluster) for r in incremental.update(spark.createDataFrame(members, MEMBERS), spark.createDataFrame(new, REPORTS), True).collect()}
+    assert got == {"9": ("added", 1), "10": ("new", 2), "11": ("duplicate", None), "12": ("new", 2)}
+
+
+@pytest.mark.parametrize("unique_lines", [False, True])
+def test_update_as_one_by_one(spark, unique_lines):
+    rng = random.Random(3)
+    base = {1: "abcdefghij", 2: "klmnopqrst", 3: "abcdefklmn"}
+
+    def near(c):
+        k = list(base[c])
+        for _ in range(rng.randrange(3)):
+            k[rng.randrange(3, len(k))] = rng.choice("uvw")
+        return k[: rng.choice((10, 10, 9, 8))]
+
+    line = lambda: rng.choice(["", *(f"f:{i}" for i in range(12))])
+    members = [(i, c, near(c), line()) for i, c in enumerate((1, 1, 1, 2, 2, 3, 3))]
+    new = [(i, near(rng.choice((1, 2, 3))), line()) for i in range(5, 105)]
+    want, after = plain_update(members, new, unique_lines)
+    kinds = [x for x, _ in want.values()]
+    assert len(kinds) - kinds.count("duplicate") > 2 and ("deduplicated" in kinds) == unique_lines and len(want) < len(new)
+    got = {int(r.report_id): (r.outcome, r.cluster) for r in incremental.update(spark.createDataFrame(members, MEMBERS), spark.createDataFrame(new, REPORTS), unique_lines).collect()}
+    assert {r: got[r] for r in want} == want and len(got) == len(new)
+    # deviants meet the clusters as they are after the insertions
+    for r, k, _ in new:
+        if got[r][0] in ("moved", "removed"):
+            assert all(1 - plain_similarity(k, m) < 0.3 for m in after[got[r][1]])
+
+
 def test_first_of_nulls_and_empty(spark):
     rows = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "k string, o int")
     assert sorted(r.o for r in dedup.dedup(rows, ("k",), ("o",)).collect()) == [1, 2]
