@@ -57,36 +57,40 @@ def lzw_decode(stream: bytes, code_size: int, most: int) -> np.ndarray:
         got = _literal_stream(bits)
         if got is not None:
             return got[:most]
-    # bit offsets and widths of the codes of a segment, up to a full table of 4096
+    # bit offsets and widths of the codes of a segment; behind them, with the full table of 4096, codes have 12 bits
     first = clear + 2
     nth = np.arange(1 << 13)
     table = np.minimum(first + np.maximum(nth - 1, 0), 4095)  # the table's size when the n-th code is read
     widths = np.maximum(code_size + 1, np.floor(np.log2(np.maximum(table, 1))).astype(np.int64) + 1)
     widths = np.minimum(widths, 12)
     offsets = np.append(0, np.cumsum(widths))
+    late = np.arange(len(offsets)) * 12
     powers = 1 << np.arange(12)
     out, at, total = [], 0, 0
     while at + code_size + 1 <= len(bits) and total < most:
-        n = int(np.searchsorted(offsets, len(bits) - at, side="right")) - 1
-        n = min(n, len(widths))
-        if n <= 0:
-            break
-        w = widths[:n]
-        where = at + offsets[:n, None] + np.arange(12)
-        codes = ((bits[np.minimum(where, len(bits) - 1)] * (np.arange(12) < w[:, None])) * powers).sum(axis=1)
-        stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
-        m = int(stop[0]) if len(stop) else n
+        held, m, last = [], 0, clear + 1
+        while m < most - total:
+            w, places = (np.full(len(widths), 12), late) if held else (widths, offsets)
+            n = min(int(np.searchsorted(places, len(bits) - at, side="right")) - 1, len(w))
+            where = at + places[:n, None] + np.arange(12)
+            codes = ((bits[np.minimum(where, len(bits) - 1)] * (np.arange(12) < w[:n, None])) * powers).sum(axis=1)
+            stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
+            k = int(stop[0]) if len(stop) else n
+            held.append(codes[:k])
+            m += k
+            if len(stop):
+                last = codes[k]
+                at += int(places[k + 1])
+                break
+            if n < len(w):
+                break
+            at += int(places[n])
         if m:
-            got = _segment(codes[:m], clear, most - total)
+            got = _segment(np.concatenate(held), clear, most - total)
             out.append(got)
             total += len(got)
-        if not len(stop):
-            if n < len(widths):
-                break
-            raise ValueError("a code stream without a clear code for more codes than the table allows")
-        if codes[m] == clear + 1:
+        if last == clear + 1:
             break
-        at += int(offsets[m + 1])
     return np.concatenate(out)[:most] if out else np.empty(0, np.uint8)
 
 
@@ -118,6 +122,9 @@ def _segment(codes: np.ndarray, clear: int, most: int) -> np.ndarray:
         steps[live] += steps[up[live]]
         up = np.where(live, up[np.maximum(up, 0)], -1)
     length = steps + 1
+    # only codes that begin within ``most``; strings come from earlier ones
+    n = min(n, int(np.searchsorted(np.cumsum(length), most)) + 1)
+    literal, codes, parent, length = literal[:n], codes[:n], parent[:n], length[:n]
     start = np.append(0, np.cumsum(length))
     total = int(start[-1])
     owner = np.repeat(np.arange(n), length)

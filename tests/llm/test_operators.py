@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import struct
 import re
 import zlib
 from collections import Counter
@@ -244,8 +245,8 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, texts)).count() == len(texts)
 
 
-def lzw(data, size):
-    """A plain encoder with the table's full growth."""
+def lzw(data, size, deferred=False):
+    """A plain encoder with the table's full growth; ``deferred``: once full, the table is used on without a clear code."""
     clear, out, table = 1 << size, [], {}
 
     def reset():
@@ -265,7 +266,7 @@ def lzw(data, size):
             nxt += 1
             if nxt > 1 << width and width < 12:
                 width += 1
-        else:
+        elif not deferred:
             out.append((clear, width))
             reset()
             width, nxt = size + 1, clear + 2
@@ -289,6 +290,21 @@ def test_lzw_streams(size):
         gif_media.lzw_decode(b"\xff" * 40, size, 100)
 
 
+@pytest.mark.parametrize("size", [2, 5, 8])
+def test_lzw_deferred_clear(size):
+    rng = np.random.default_rng(size)
+    data = rng.integers(0, 1 << size, 240_000).astype(np.uint8)
+    stream = lzw(data.tolist(), size, True)
+    assert len(stream) * 8 > 12 * (3 << 13), "more codes than the table has, several times"
+    for most in (1, 5000, 9000, len(data) - 1, len(data)):
+        assert (gif_media.lzw_decode(stream, size, most) == data[:most]).all()
+    assert (gif_media.lzw_decode(stream[: len(stream) // 2], size, 20_000) == data[:20_000]).all()
+    if size == 8:
+        head = b"GIF89a" + struct.pack("<HHBBB", 400, 600, 0xF7, 0, 0) + gif_media._GRAY.tobytes()
+        image = b"\x2c" + struct.pack("<HHHHB", 0, 0, 400, 600, 0) + b"\x08" + gif_media._blocks(stream)
+        assert (gif_media.decode(head + image + b"\x3b")[2][0].indices.ravel() == data).all()
+
+
 def test_gif_frames():
     import struct
 
