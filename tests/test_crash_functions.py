@@ -238,6 +238,13 @@ def test_instructions():
     assert c([], "amd64", 0, 0) is None
 
 
+def test_instructions_behind_the_sixteenth():
+    c = instructions.classify
+    assert c(["mov rax, [rbx]", *["inc ecx"] * 20, "call rax"], "amd64", 1 << 20, 0) == "CallAvTainted"
+    assert c(["lw a0, 0(a1)", *["addi a2, a2, 1"] * 30, "sw a3, 0(a0)"], "riscv64", 1 << 20, 0) == "DestAvTainted"
+    assert c(["mov rax, [rbx]", "ret", *["inc ecx"] * 20, "call rax"], "amd64", 1 << 20, 0) == "SourceAv"
+
+
 def test_crash_line_text(spark):
     row = spark.createDataFrame([("/a/f.c:12:5", "/a/./b/../c.h")], "l string, p string").select(text.without_column(F.col("l")).alias("l"), text.normal_path(F.col("p")).alias("p"), text.strip_prefix(F.col("p"), "/a").alias("s")).first()
     assert (row.l, row.p, row.s) == ("/a/f.c:12", "/a/c.h", "./b/../c.h")
