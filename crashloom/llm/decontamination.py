@@ -34,6 +34,11 @@ def words(lowered: Column) -> Column:
     return F.filter(F.split(lowered, SEPARATORS, -1), lambda x: x != "")
 
 
+def folded(text: Column) -> Column:
+    """Lower case that folds each letter by itself: a capital sigma's lower case depends on what is around it."""
+    return F.lower(F.replace(text, F.lit("Σ"), F.lit("σ")))
+
+
 def shingles(ws: str, single: bool) -> Column:
     """Neighbouring words as array<struct<at, token>>; with ``single`` also each word by itself."""
     pairs = f"transform(zip_with(slice({ws}, 1, greatest(size({ws}) - 1, 0)), slice({ws}, 2, greatest(size({ws}) - 1, 0)), (a, b) -> concat(a, ' ', b)), (t, i) -> struct(i as at, t as token))"
@@ -47,7 +52,7 @@ def _windows(benchmark: DataFrame) -> DataFrame:
 
 def _anchors(items: DataFrame, counts: DataFrame, single: bool) -> DataFrame:
     """(token, k, at, w, n): each item's windows reduced to their rarest shingle and its place in the item."""
-    starts = items.select("k", "iw", "w", F.explode(F.expr("sequence(0, size(iw) - w)")).alias("i")).withColumn("ww", F.expr("transform(slice(iw, i + 1, w), x -> lower(x))"))
+    starts = items.select("k", "iw", "w", F.explode(F.expr("sequence(0, size(iw) - w)")).alias("i")).withColumn("ww", F.transform(F.expr("slice(iw, i + 1, w)"), folded))
     places = starts.select("k", "w", F.size("iw").alias("n"), "i", F.explode(shingles("ww", single)).alias("s")).select("k", "w", "n", "i", "s.at", "s.token")
     rated = places.join(common.small(counts), "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     best = rated.groupBy("k", "w", "n", "i").agg(F.min(F.struct("df", "token", (F.col("i") + F.col("at")).alias("at"))).alias("x"))
@@ -60,9 +65,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("_t"), F.xxhash64(text).alias("rid"))
     items = common.cut(_windows(benchmark), "items")
     single = items.where("w = 1").limit(1).count() > 0
-    # lower() folds more than A-Z, so equal words stay equal; exact words are compared below
-    each = rows.select("doc_id", "rid", words(F.lower("_t")).alias("ws")).select("doc_id", "rid", F.explode(shingles("ws", single)).alias("s")).select("doc_id", "rid", F.col("s.at").alias("pos"), "s.token")
-    own = items.select(F.expr("transform(iw, x -> lower(x))").alias("ws"))
+    # folded() folds more than A-Z, letter by letter, so equal words stay equal; exact words are compared below
+    each = rows.select("doc_id", "rid", words(folded(F.col("_t"))).alias("ws")).select("doc_id", "rid", F.explode(shingles("ws", single)).alias("s")).select("doc_id", "rid", F.col("s.at").alias("pos"), "s.token")
+    own = items.select(F.transform("iw", folded).alias("ws"))
     vocabulary = common.cut(own.select(F.explode(shingles("ws", single)).alias("s")).select("s.token").distinct(), "vocabulary")
     counts = common.cut(each.select("token").join(common.small(vocabulary), "token").groupBy("token").agg(F.count("*").alias("df")), "rarity")
     anchors = common.cut(_anchors(items, counts, single), "anchors")

@@ -401,6 +401,15 @@ def test_decontamination(spark):
     assert decontamination.contamination(docs(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_of_capital_sigma(spark):
+    """A sigma at a word's end and a letter behind a mark: lower case of the whole text differs from that of the words."""
+    texts = [(0, "ΟΔΟΣ'ΑΒ"), (1, "x ΟΔΟΣ.ΑΒ: y"), (2, "οδος αβ"), (3, "ΟΔΟΣ ΓΔ")]
+    for item in ("ΟΔΟΣ ΑΒ", "ΟΔΟΣ'ΑΒ"):
+        bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.contamination(docs(spark, texts), bench).collect()}
+        assert got == {0: (2, 2, ["7"]), 1: (4, 2, ["7"]), 2: (2, 0, []), 3: (2, 0, [])}
+
+
 @given
 def test_pipeline(spark):
     import corpus_pipeline
