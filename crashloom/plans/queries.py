@@ -294,10 +294,17 @@ def strip_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", text.strip_prefix(p, "/en").alias("path"))
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'ReturnAv' WHEN 1 THEN CASE WHEN user_id * 1024 < 65536 THEN 'CallAvNearNull' ELSE 'CallAv' END WHEN 2 THEN CASE WHEN user_id * 1024 < 65536 THEN 'DestAvNearNull' ELSE 'DestAv' END
-    WHEN 3 THEN CASE WHEN user_id * 1024 < 65536 THEN 'SourceAvNearNull' ELSE 'SourceAv' END WHEN 4 THEN 'CallAvTainted' ELSE CASE WHEN user_id * 1024 < 65536 THEN 'BranchAvNearNull' ELSE 'BranchAv' END END AS short FROM events""")
+_NEAR = "user_id * 1024 < 65536"
+
+
+@query(f"""SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'ReturnAv' WHEN 1 THEN CASE WHEN {_NEAR} THEN 'CallAvNearNull' ELSE 'CallAv' END WHEN 2 THEN CASE WHEN {_NEAR} THEN 'DestAvNearNull' ELSE 'DestAv' END
+    WHEN 3 THEN CASE WHEN {_NEAR} THEN 'SourceAvNearNull' ELSE 'SourceAv' END WHEN 4 THEN CASE WHEN {_NEAR} THEN 'SourceAvNearNull' ELSE 'CallAvTainted' END WHEN 5 THEN CASE WHEN {_NEAR} THEN 'BranchAvNearNull' ELSE 'BranchAv' END
+    WHEN 6 THEN CASE WHEN {_NEAR} THEN 'SourceAvNearNull' ELSE 'DestAvTainted' END WHEN 7 THEN 'CallAvTainted' WHEN 8 THEN CASE WHEN {_NEAR} THEN 'DestAvNearNull' ELSE 'DestAv' END ELSE 'AccessViolation' END AS short FROM events""")
 def instruction_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as memory faults in six kinds of code."""
-    code = F.expr("""case event_id % 6 when 0 then array('ret') when 1 then array('call rax') when 2 then array('mov dword ptr [rdi], eax') when 3 then array('mov eax, dword ptr [rsi]', 'ret')
-        when 4 then array('mov rax, qword ptr [rbx]', 'add rax, 8', 'mov rcx, rax', 'call rcx') else array('jmp rdx') end""")
-    return A.table(spark, sf_dir, "events").select("event_id", instruction_class(code, F.lit("amd64"), (F.col("user_id") * 1024).cast("decimal(20,0)"), F.lit(1).cast("decimal(20,0)")).alias("short"))
+    """Events as memory faults in ten kinds of code: the sixth is for another processor and the seventh raised by the kernel."""
+    code = F.expr("""case event_id % 10 when 0 then array('ret') when 1 then array('call rax') when 2 then array('mov dword ptr [rdi], eax') when 3 then array('cmovne eax, dword ptr [rsi]', 'ret')
+        when 4 then array('mov rax, qword ptr [rbx]', 'add rax, 8', 'mov rcx, rax', 'call rcx') when 5 then array('jmp rdx') when 6 then array('ldr x0, [x1]', 'add x2, x0, #8', 'str x3, [x2]')
+        when 7 then array('mov rax, qword ptr [rbx]', 'call rax') when 8 then array('rep movsb') else array('jmp 0x1234') end""")
+    kind = F.col("event_id") % 10
+    found = instruction_class(code, F.when(kind == 6, "arm64").otherwise("amd64"), (F.col("user_id") * 1024).cast("decimal(20,0)"), F.lit(1).cast("decimal(20,0)"), F.lit(fixed.SIGSEGV), F.when(kind == 7, fixed.SI_KERNEL).otherwise(1))
+    return A.table(spark, sf_dir, "events").select("event_id", found.alias("short"))

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.frames import fold_mask
-from .operators.instructions import instruction_class
+from .operators.instructions import classified
 from .functions.severity import catalog
 
 
@@ -24,6 +24,6 @@ class UbsanWarnings:
 def register(spark: SparkSession) -> None:
     """crash_fold_mask, crash_instruction_class, crash_ubsan_warnings and the view severity_catalog."""
     spark.udf.register("crash_fold_mask", fold_mask)
-    spark.udf.register("crash_instruction_class", instruction_class)
+    spark.udf.register("crash_instruction_class", classified)
     spark.udtf.register("crash_ubsan_warnings", UbsanWarnings)
     catalog(spark).createOrReplaceTempView("severity_catalog")

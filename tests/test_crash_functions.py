@@ -232,12 +232,49 @@ def test_instructions():
     assert c(["ret"], "amd64", 1 << 20, 0) == "ReturnAv"
     assert c(["call 0x1"], "amd64", 992, 1000) == "StackOverflow"
     assert c(["mov qword ptr [rax], rbx"], "amd64", 0, 0) == "DestAvNearNull"
-    assert c(["mov rax, [rbx]", "mov [rax], 1"], "amd64", 1 << 20, 0) == "DestAvTainted"
-    assert c(["ldr x0, [x1]", "add x2, x0, #8", "br x2"], "arm64", 1 << 20, 0) == "BranchAvTainted"
+    assert c(["mov rax, [rbx]", "mov [rax], rcx"], "amd64", 1 << 20, 0) == "DestAvTainted"
+    assert c(["mov rax, [rbx]", "mov [rax], 1", "jmp rax"], "amd64", 1 << 20, 0) == "BranchAvTainted"
+    assert c(["ldr x0, [x1]", "add x2, x0, #8", "blr x2"], "arm64", 1 << 20, 0) == "CallAvTainted"
+    assert c(["ldr x0, [x1]", "add x2, x0, #8", "br x2"], "arm64", 1 << 20, 0) == "SourceAv"
     assert c(["sw a0, 0(a1)"], "riscv64", 1 << 20, 0) == "DestAv"
     assert c([], "amd64", 0, 0) is None
 
 
+def test_instruction_rules_by_signal_and_code():
+    c, far, kernel = instructions.classify, 1 << 20, instructions.SI_KERNEL
+    tainted = ["mov rax, qword ptr [rbx]", "call rax"]
+    assert c(tainted, "amd64", 8, 0) == "SourceAvNearNull"
+    assert c(tainted, "amd64", 8, 0, code=kernel) == c(tainted, "amd64", far, 0) == "CallAvTainted"
+    assert c(tainted, "amd64", far, 0, signal=instructions.SIGBUS) == "SourceAv"
+    assert c(["mov [rdi], eax"], "amd64", 8, 0, signal=instructions.SIGBUS) == "DestAv"
+    assert c(["jmp 0x1234"], "amd64", far, 0) == "AccessViolation"
+    assert c(["jmp qword ptr [rip + 0x10]"], "amd64", far, 0) == "BranchAv"
+    assert c(["cmovne eax, [rbx]"], "amd64", far, 0) == "SourceAv"
+    assert c(["rep movsb"], "amd64", far, 0) == c(["rep movsb byte ptr [rdi], byte ptr [rsi]"], "amd64", far, 0) == "DestAv"
+    assert c(["add eax, [rbx]"], "amd64", far, 0) == "AccessViolation"
+    assert c(["movzx eax, byte ptr [rbx]", "call rax"], "amd64", far, 0) == "SourceAv"
+    assert c(["mov rax, [rbx]", "xchg rax, rcx", "jmp rcx"], "amd64", far, 0) == "BranchAvTainted"
+    assert c(["mov rax, [rbx]", "lea rcx, [rax + 8]", "mov rax, 5", "jmp [rcx*8]"], "amd64", far, 0) == "BranchAvTainted"
+    assert c(["mov rsp, [rbx]", "ret"], "amd64", far, 0) == "ReturnAv"
+
+
+def test_instruction_rules_of_other_processors():
+    c, far = instructions.classify, 1 << 20
+    for isa in ("arm", "arm64", "riscv64"):
+        assert c(["nop"], isa, far, 0) == c(["bl 0x10"], isa, far, 0) == "AccessViolation"
+    assert c(["ldr pc, [r0]"], "arm", far, 0) == "SegFaultOnPc"
+    assert c(["ldr r1, [r0]", "moveq pc, r1"], "arm", far, 0) == "SegFaultOnPc"
+    assert c(["ldr r1, [r0]", "adds r2, r1, #1", "bx r2"], "arm", far, 0) == "BranchAvTainted"
+    assert c(["ldrb r1, [r0]", "bx lr"], "arm", 8, 0) == "SourceAvNearNull"
+    assert c(["strh r1, [r0]"], "arm", 8, 0) == "DestAvNearNull"
+    assert c(["ldm r0, {r1, r2}"], "arm", far, 0) == "AccessViolation"
+    assert c(["ldp x0, x1, [x2]", "stp x3, x4, [x1, #16]"], "arm64", far, 0) == "DestAvTainted"
+    assert c(["ldr x0, [x1]", "b.eq 0x10", "blr x0"], "arm64", far, 0) == "SourceAv"
+    assert c(["ld a0, 0(a1)", "add a2, a0, a3", "jalr a2"], "riscv64", far, 0) == "CallAvTainted"
+    assert c(["ld a0, 0(a1)", "addi a0, a3, 1", "jalr a0"], "riscv64", far, 0) == "SourceAv"
+    assert c(["ld a0, 0(a1)", "sd a5, 8(a0)"], "riscv64", far, 0, code=instructions.SI_KERNEL) == "DestAvTainted"
+
+
 def test_instructions_behind_the_sixteenth():
     c = instructions.classify
     assert c(["mov rax, [rbx]", *["inc ecx"] * 20, "call rax"], "amd64", 1 << 20, 0) == "CallAvTainted"
