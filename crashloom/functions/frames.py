@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, BooleanType
 
 from ..sources.schemas import FRAME
 from . import fixed
-from .strings import strip
+from .strings import let, strip
 
 ZERO = "cast(0 as decimal(20,0))"
 
@@ -28,12 +28,11 @@ def _re(text: Column, pattern: str | Column, group: int = 1) -> Column:
 
 def hex_number(text: Column) -> Column:
     """Unsigned 64-bit value of hex digits; null if there are none or too many."""
-    digits = F.regexp_replace(text, "^0+(?=.)", "")
-    return F.when(digits.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(digits, 16, 10).cast("decimal(20,0)"))
+    return let(F.regexp_replace(text, "^0+(?=.)", ""), lambda digits: F.when(digits.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(digits, 16, 10).cast("decimal(20,0)")))
 
 
 def _number(text: Column) -> Column:
-    return F.when(text.rlike(r"^\+?[0-9]{1,18}$"), F.regexp_replace(text, r"^\+", "").cast("bigint"))
+    return let(text, lambda t: F.when(t.rlike(r"^\+?[0-9]{1,18}$"), F.regexp_replace(t, r"^\+", "").cast("bigint")))
 
 
 def frame(address=None, function=None, module=None, offset=None, file=None, line=None, column=None) -> Column:
@@ -50,13 +49,16 @@ def _parsed(value: Column, ok: Column, entry: Column) -> Column:
     return F.struct(value.alias("f"), F.when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit("Couldn't parse stack trace entry: "), entry)).alias("e"))
 
 
-def _source(location: Column) -> tuple[Column, Column, Column, Column]:
-    """file, line, column and validity of file[:line[:column]]; the last two colons count."""
+def _source(location: Column) -> Column:
+    """struct<file, line, column, ok> of file[:line[:column]]; the last two colons count."""
     p = r"^(.*?)(?::([^:]*)(?::([^:]*))?)?$"
-    file, line, column = (_re(location, p, k) for k in (1, 2, 3))
-    colons = F.length(location) - F.length(F.replace(location, F.lit(":"), F.lit("")))
-    ok = (file != "") & ((colons < 1) | _number(line).isNotNull()) & ((colons < 2) | _number(column).isNotNull())
-    return strip(file), _number(line), _number(column), (location == "") | ok
+
+    def read(x: Column) -> Column:
+        ok = (x["file"] != "") & ((x["colons"] < 1) | x["line"].isNotNull()) & ((x["colons"] < 2) | x["column"].isNotNull())
+        return F.struct(strip(x["file"]).alias("file"), x["line"].alias("line"), x["column"].alias("column"), (x["empty"] | ok).alias("ok"))
+
+    split = lambda t: F.struct((t == "").alias("empty"), _re(t, p, 1).alias("file"), _number(_re(t, p, 2)).alias("line"), _number(_re(t, p, 3)).alias("column"), (F.length(t) - F.length(F.replace(t, F.lit(":"), F.lit("")))).alias("colons"))
+    return let(let(location, split), read)
 
 
 def asan_entry(entries: Column) -> Column:
@@ -80,12 +82,14 @@ def asan_entry(entries: Column) -> Column:
         F.when(x["named"], strip(_re(x["rest"], name(x), 2))).otherwise(x["rest"]).alias("location"),
     ))
 
-    def last(x: Column) -> Column:
-        file, line, column, ok = _source(x["location"])
-        ok = ok & x["address"].isNotNull() & x["named_well"] & ((x["offset"] == "") | hex_number(x["offset"]).isNotNull())
-        return _parsed(frame(x["address"], x["function"], x["module"], hex_number(x["offset"]), file, line, column), ok, x["e"])
+    f = F.transform(d, lambda x: F.struct(x.alias("x"), _source(x["location"]).alias("at"), hex_number(x["offset"]).alias("offset")))
+
+    def last(y: Column) -> Column:
+        x, at = y["x"], y["at"]
+        ok = at["ok"] & x["address"].isNotNull() & x["named_well"] & ((x["offset"] == "") | y["offset"].isNotNull())
+        return _parsed(frame(x["address"], x["function"], x["module"], y["offset"], at["file"], at["line"], at["column"]), ok, x["e"])
 
-    return F.transform(d, last)
+    return F.transform(f, last)
 
 
 def gdb_entry(entries: Column) -> Column:
@@ -95,10 +99,9 @@ def gdb_entry(entries: Column) -> Column:
     def one(e: Column) -> Column:
         where = _re(e, p, 3)
         at = e.rlike(r" +at +\S[^()]*$")
-        file, line, column, ok = _source(F.when(at, where).otherwise(""))
         function = strip(F.regexp_replace(_re(e, p, 2), r" \(.*$", ""))
-        known = _re(e, p, 1)
-        return _parsed(frame(hex_number(known), function, F.when(at, "").otherwise(where), None, file, line, column), e.rlike(r"^ *#[0-9]+ ") & ok, e)
+        known = hex_number(_re(e, p, 1))
+        return let(_source(F.when(at, where).otherwise("")), lambda s: _parsed(frame(known, function, F.when(at, "").otherwise(where), None, s["file"], s["line"], s["column"]), e.rlike(r"^ *#[0-9]+ ") & s["ok"], e))
 
     seen = F.transform(entries, one)
     # a frame without source and without address says nothing about where it is
@@ -246,9 +249,8 @@ def parsed_frames(parsed: Column) -> Column:
 
 
 def parse(entries: Column, lang: str) -> Column:
-    """struct<frames, error> of raw entries in one format. Where both are used, name the parsed entries first."""
-    seen = parsed_entries(entries, lang)
-    return F.struct(parsed_frames(seen).alias("frames"), first_error(seen).alias("error"))
+    """struct<frames, error> of raw entries in one format."""
+    return let(parsed_entries(entries, lang), lambda seen: F.struct(parsed_frames(seen).alias("frames"), first_error(seen).alias("error")))
 
 
 def dispatch(report_columns: Sequence[str]) -> Column:

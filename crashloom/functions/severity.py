@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.schemas import SEVERITY
 from . import fixed
 from .frames import hex_number
-from .strings import rstrip, strip
+from .strings import let, rstrip, strip
 
 LOW = "NOT_EXPLOITABLE"
 
@@ -59,15 +59,23 @@ def sanitizer_class(short: Column, access: Column, null: Column) -> Column:
 
 def sanitizer_short(lines: Column) -> Column:
     """Short description of the class of a sanitizer report (array<string>)."""
-    head = F.get(lines, F.lit(0))
     summary = r"SUMMARY: *(AddressSanitizer|libFuzzer): ([A-Za-z_\-\(\)]+)"
-    found = F.get(F.filter(lines, lambda x: x.rlike(summary)), F.lit(0))
-    kind, short = F.regexp_extract(found, summary, 1), F.regexp_extract(found, summary, 2)
-    access = F.coalesce(_has(F.get(lines, F.lit(1)), "(READ|WRITE|ACCESS)", 1), _has(F.get(lines, F.lit(2)), "(READ|WRITE|ACCESS)", 1), F.lit("UNDEF"))
-    address = hex_number(_has(head, "on.*address 0x([0-9a-f]+)", 1))
-    null = F.coalesce(near_null(address), F.lit(False))
-    none = F.lit("UNDEF")
-    return F.when(head.contains("LeakSanitizer"), "memory-leaks").when(head.contains("MemorySanitizer"), "use-of-uninitialized-value").when(kind == "libFuzzer", sanitizer_class(short, none, F.lit(False))).when(found.isNotNull(), sanitizer_class(short, access, null))
+
+    def read(ls: Column) -> Column:
+        head, found = F.get(ls, F.lit(0)), F.get(F.filter(ls, lambda x: x.rlike(summary)), F.lit(0))
+        access = F.coalesce(_has(F.get(ls, F.lit(1)), "(READ|WRITE|ACCESS)", 1), _has(F.get(ls, F.lit(2)), "(READ|WRITE|ACCESS)", 1), F.lit("UNDEF"))
+        null = F.coalesce(near_null(hex_number(_has(head, "on.*address 0x([0-9a-f]+)", 1))), F.lit(False))
+        return let(found, lambda f: F.struct(
+            head.contains("LeakSanitizer").alias("leak"), head.contains("MemorySanitizer").alias("msan"), f.isNotNull().alias("found"),
+            F.regexp_extract(f, summary, 1).alias("kind"), F.regexp_extract(f, summary, 2).alias("short"), access.alias("access"), null.alias("null"),
+        ))
+
+    def named(x: Column) -> Column:
+        fuzz = x["kind"] == "libFuzzer"
+        known = sanitizer_class(x["short"], F.when(fuzz, "UNDEF").otherwise(x["access"]), ~fuzz & x["null"])
+        return F.when(x["leak"], "memory-leaks").when(x["msan"], "use-of-uninitialized-value").when(x["found"], known)
+
+    return let(let(lines, read), named)
 
 
 def ubsan_severity(lines: Column) -> Column:

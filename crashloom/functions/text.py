@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import PARSERS
-from .strings import rstrip, strip
+from .strings import let, strip
 
 
 def crash_line(frames: Column) -> Column:
     """``file[:line[:column]]`` or ``module+0xoffset`` of the first frame; null if it has neither."""
-    f = F.get(frames, F.lit(0))
+    return let(F.get(frames, F.lit(0)), frame_line)
+
+
+def frame_line(f: Column) -> Column:
     d = f["debug"]
     source = F.concat(d["file"], F.when(d["line"] != 0, F.concat(F.lit(":"), d["line"], F.when(d["column"] != 0, F.concat(F.lit(":"), d["column"])).otherwise(""))).otherwise(""))
     return F.when(d["file"] != "", source).when((f["module"] != "") & (f["offset"] != 0), F.concat(f["module"], F.lit("+0x"), F.lower(F.conv(f["offset"].cast("string"), 10, 16))))
@@ -26,18 +29,25 @@ _HEADER = r"^(.+?):(\d+):(?:(\d+):)? runtime error: "
 
 def ubsan_crash_line(lines: Column) -> Column:
     """A warning's place: the file of its first frame, with line and column of its header where it has them."""
-    head = F.get(lines, F.lit(0))
-    known = head.rlike(_HEADER)
-    number = lambda c: F.coalesce(F.nullif(c, F.lit("")).cast("bigint"), F.lit(0))
-    line, column = number(F.regexp_extract(head, _HEADER, 2)), number(F.regexp_extract(head, _HEADER, 3))
-    top = F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: x.startswith("    #0 "))
-    parsed = F.get(PARSERS["asan"](F.slice(top, 1, 1)), F.lit(0))
-    frame = F.when(parsed["e"].isNull(), parsed["f"])
-    d = frame["debug"]
+    number = lambda c: F.coalesce(c.try_cast("bigint"), F.lit(0))
     place = lambda file, l, c: F.concat(file, F.when(l != 0, F.concat(F.lit(":"), l, F.when(c != 0, F.concat(F.lit(":"), c)).otherwise(""))).otherwise(""))
-    own = F.when(known, place(F.regexp_extract(head, _HEADER, 1), line, column))
-    both = place(d["file"], F.when(known & (line != 0), line).otherwise(d["line"]), F.when(known & (column != 0), column).otherwise(d["column"]))
-    return F.when(d["file"] != "", both).otherwise(F.coalesce(own, crash_line(F.array(frame))))
+
+    def read(ls: Column) -> Column:
+        head = F.get(ls, F.lit(0))
+        top = F.filter(F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1))), lambda x: x.startswith("    #0 "))
+        return F.struct(
+            head.rlike(_HEADER).alias("known"), F.regexp_extract(head, _HEADER, 1).alias("file"), number(F.regexp_extract(head, _HEADER, 2)).alias("line"), number(F.regexp_extract(head, _HEADER, 3)).alias("column"),
+            F.get(PARSERS["asan"](F.slice(top, 1, 1)), F.lit(0)).alias("top"),
+        )
+
+    def choose(x: Column) -> Column:
+        frame = F.when(x["top"]["e"].isNull(), x["top"]["f"])
+        d = frame["debug"]
+        own = F.when(x["known"], place(x["file"], x["line"], x["column"]))
+        both = place(d["file"], F.when(x["known"] & (x["line"] != 0), x["line"]).otherwise(d["line"]), F.when(x["known"] & (x["column"] != 0), x["column"]).otherwise(d["column"]))
+        return F.when(d["file"] != "", both).otherwise(F.coalesce(own, crash_line(F.array(frame))))
+
+    return let(let(lines, read), choose)
 
 
 def lua_crash_line(exception: Column) -> Column:
@@ -96,8 +106,12 @@ def ubsan_name(folder: Column, seed: Column, line: Column) -> Column:
     return F.concat(F.concat_ws("_", folder, seed, F.replace(line, F.lit(":"), F.lit("_"))), F.lit(".casrep"))
 
 
-def summary_line(kind: Column, severity: Column, short: Column, line: Column, path: Column) -> Column:
-    return F.concat_ws(": ", kind, severity, short, F.when(F.coalesce(line, F.lit("")) != "", line).otherwise(path))
+def summary_line(kind: Column, severity: Column, short: Column, line: Column, path: Column, ubsan: Column | None = None) -> Column:
+    """``kind: severity: short: place``, and ``short: place`` for an undefined-behaviour warning; the place is the crash line or else the report's path."""
+    place = F.when(F.trim(F.coalesce(line, F.lit(""))) != "", line).otherwise(path)
+    known = F.when(severity.isin("EXPLOITABLE", "PROBABLY_EXPLOITABLE", "NOT_EXPLOITABLE"), severity).otherwise("UNDEFINED")
+    full = F.concat_ws(": ", kind, known, short, place)
+    return full if ubsan is None else F.when(ubsan, F.concat_ws(": ", short, place)).otherwise(full)
 
 #: The sections of a report's text in order: title and column.
 SECTIONS = [
@@ -125,43 +139,92 @@ def report_text(columns: list[str]) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def finding_title(line: Column, short: Column) -> Column:
-    """At most 500 bytes of class and crash line, cut between characters."""
-    full = F.concat_ws(" ", short, F.lit("at"), line)
-    # 125 characters can't exceed 500 bytes; longer text is cut where its bytes run out
-    fits = F.aggregate(F.sequence(F.lit(1), F.least(F.length(full), F.lit(500))), F.lit(0), lambda acc, n: F.when(F.octet_length(F.substring(full, F.lit(1), n)) <= 500, n).otherwise(acc))
-    return F.when(F.octet_length(full) <= 500, full).otherwise(F.substring(full, F.lit(1), fits))
+def _cut_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of at most ``most`` bytes, cut between characters."""
+    fits = F.aggregate(F.sequence(F.lit(0), F.least(F.length(text), F.lit(most))), F.lit(0), lambda acc, n: F.when(F.octet_length(F.substring(text, F.lit(1), n)) <= most, n).otherwise(acc))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(text, F.lit(1), fits))
 
 
-def tracker_severity(kind: Column) -> Column:
-    return F.when(kind == "EXPLOITABLE", "Critical").when(kind == "PROBABLY_EXPLOITABLE", "High").when(kind == "NOT_EXPLOITABLE", "Medium").otherwise("Info")
+def finding_title(product: Column, executable: Column, short: Column, line: Column) -> Column:
+    """``[product] [program] class in place`` in at most 500 bytes."""
+    name = F.regexp_extract(executable, "([^/]*)/*$", 1)
+    return _cut_bytes(F.concat(F.lit("["), product, F.lit("] ["), name, F.lit("] "), short, F.lit(" in "), line), 500)
 
+
+def tracker_severity(kind: Column, ubsan: Column) -> Column:
+    """struct<number, name>: what a tracker calls a class; an undefined-behaviour warning is low unless it is said to be exploitable."""
+    level = lambda number, name: F.struct(F.lit(number).alias("number"), F.lit(name).alias("name"))
+    return F.when(kind == "EXPLOITABLE", level("S0", "Critical")).when(kind == "PROBABLY_EXPLOITABLE", level("S1", "High")).when((kind == "NOT_EXPLOITABLE") & ~ubsan, level("S2", "Medium")).otherwise(level("S3", "Low"))
+
+#: Fixed value: words in a command that mark a finding of a security checker.
 SECURITY = "null_deref|out_of_bounds|int_overflow|div_by_zero|neg_size|num_trunc"
 
 
+def reproduction(cmdline: Column, stdin: Column) -> Column:
+    return F.when(stdin != "", F.concat(cmdline, F.lit(" < "), stdin)).otherwise(cmdline)
+
+
+def security_tagged(cmdline: Column, stdin: Column) -> Column:
+    return reproduction(cmdline, stdin).rlike(SECURITY)
+
+
+#: The parts of a finding's description that are left out if they are empty: title and report column.
+DESCRIBED = [("Source", "Source"), ("ASAN report", "AsanReport"), ("UBSAN report", "UbsanReport"), ("Python report", "PythonReport"), ("Go report", "GoReport"), ("Rust report", "RustReport")]
+
+
+def finding_description(gdb: Column | None = None, gdb_run: bool = False) -> Column:
+    """Markdown for a tracker over a report's columns; ``gdb`` is the class of the debugger's report, null if it has none."""
+    said = lambda head, e: F.concat(F.lit(f"**{head}:** "), F.concat_ws(": ", e["Type"], e["ShortDescription"], e["Description"]), F.lit("\n"), e["Explanation"], F.lit("\n"))
+    block = lambda title, c: F.concat(F.lit(f"# {title}\n\n```\n"), F.array_join(c, "\n"), F.lit("\n```\n"))
+    filled = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    none = F.when(~filled("UbsanReport"), "**GDB severity (without ASAN):** No crash\n") if gdb_run else F.lit("")
+    debugger = none if gdb is None else F.when(gdb.isNotNull(), said("GDB severity (without ASAN)", gdb)).otherwise(none)
+    parts = [F.lit("**Crash line:** "), F.col("CrashLine"), F.lit("\n"), said("Severity", F.col("CrashSeverity")), F.coalesce(debugger, F.lit("")), F.lit("**Command:** "), reproduction(F.col("ProcCmdline"), F.col("Stdin"))]
+    parts += [F.lit("\n**OS:** "), F.concat_ws(" ", "OS", "OSRelease"), F.lit("\n**Architecture:** "), F.col("Architecture"), F.lit("\n\n")]
+    parts += [F.when(filled(c), F.concat(block(title, F.col(c)), F.lit("\n"))).otherwise("") for title, c in DESCRIBED]
+    parts += [block("Stack trace", F.col("Stacktrace")), F.lit("\n"), block("Environment variables", F.col("ProcEnviron"))]
+    return F.concat(*parts)
+
+
 def substitute_seed(argv: Column, seed: Column) -> Column:
     """Arguments with ``@@`` replaced by the seed's path."""
     return F.transform(argv, lambda a: F.replace(a, F.lit("@@"), seed))
 
 
 def seed_argument(argv: Column) -> Column:
-    """0-based place of the argument ``@@``; null if the seed goes to standard input."""
-    return F.nullif(F.array_position(F.transform(argv, lambda a: a.contains("@@")), True), F.lit(0).cast("bigint")).cast("int") - 1
+    """0-based place of the first argument behind the program that holds ``@@``; null if there is none, and the seed goes to standard input."""
+    rest = F.slice(argv, F.lit(2), F.greatest(F.size(argv), F.lit(1)))
+    return F.nullif(F.array_position(F.transform(rest, lambda a: a.contains("@@")), True), F.lit(0).cast("bigint")).cast("int")
+
+
+def with_seed_argument(argv: Column, keep: Column) -> Column:
+    """Arguments with ``@@`` appended where none has it, unless ``keep`` holds (seeds of other fuzzers or interpreters go to standard input)."""
+    return F.when(seed_argument(argv).isNull() & ~keep, F.array_append(argv, F.lit("@@"))).otherwise(argv)
 
 
-def tool(argv: Column, symbols: Column, hint: Column | None = None) -> Column:
-    """Which analysis a crash gets: the hint's, that of the interpreter called, of the sanitizer linked, else the debugger's."""
+def _chosen(hint: Column, rules: list[tuple[str, Column]]) -> Column:
+    """The first tool that the hint names, or whose condition holds if the hint is ``auto``; else the debugger's."""
+    out = None
+    for name, test in rules:
+        when = (hint == name) | ((hint == "auto") & F.coalesce(test, F.lit(False)))
+        out = F.when(when, name) if out is None else out.when(when, name)
+    return out.otherwise("gdb")
+
+
+def libfuzzer_tool(argv: Column, symbols: Column, hint: Column) -> Column:
+    """Which analysis the crashes of an in-process fuzzer get, by its command line and the symbols of its program."""
+    first, second = F.get(argv, F.lit(0)), F.coalesce(F.get(argv, F.lit(1)), F.lit(""))
+    ends = lambda *names: F.greatest(*[first.endswith(n) for n in names], F.lit(False))
+    return _chosen(hint, [
+        ("python", first.endswith(".py")), ("java", ends("jazzer", "java")), ("js", ends(".js", "node", "jsfuzz") | (first.endswith("npx") & (second == "jazzer"))),
+        ("lua", first.endswith(".lua") | first.isin("lua", "luajit") | second.endswith(".lua")), ("san", F.exists(symbols, lambda s: s.isin("__asan", "__msan", "runtime.go"))),
+    ])
+
+
+def afl_tool(argv: Column, symbols: Column, hint: Column) -> Column:
+    """Which analysis the crashes of a forking fuzzer get; a program without a command line is the debugger's."""
     first = F.get(argv, F.lit(0))
-    chosen = (
-        F.when(F.exists(argv, lambda a: a.rlike(r"(^|/)python[0-9.]*$|\.py$")), "python")
-        .when(first.rlike(r"(^|/)(jazzer|java)$"), "java")
-        .when(first.rlike(r"(^|/)(node|npx|jsfuzz)$"), "js")
-        .when(F.exists(argv, lambda a: a.endswith(".lua")), "lua")
-        .when(first.rlike(r"(^|/)(dotnet|mono)$"), "csharp")
-        .when(F.exists(symbols, lambda s: s.isin("__asan", "__msan", "__ubsan", "__tsan", "runtime.go")), "san")
-        .otherwise("gdb")
-    )
-    return F.when(hint.isNotNull() & (hint != "auto"), hint).otherwise(chosen) if hint is not None else chosen
+    return _chosen(hint, [("csharp", first.endswith("dotnet") | first.endswith("mono")), ("python", first.endswith(".py")), ("san", F.exists(symbols, lambda s: s.isin("__asan", "__msan")))])
 
 
 def out_of_memory(stderr: Column) -> Column:
@@ -171,3 +234,8 @@ def out_of_memory(stderr: Column) -> Column:
 def outcome(stderr: Column) -> Column:
     """Where a crash goes after its analysis."""
     return F.when(stderr.contains("Timeout"), "timeout").when(stderr.contains("Out of memory"), "oom").when(stderr.contains("Program terminated (no crash)"), "no_crash").when(stderr != "", "error").otherwise("report")
+
+
+def outcome_name(name: Column, where: Column) -> Column:
+    """A seed's file name in its outcome's folder: what stands before the first ``-`` becomes the outcome."""
+    return F.when(where.isin("timeout", "oom") & name.contains("-"), F.concat(where, F.regexp_replace(name, "^[^-]*", ""))).otherwise(name)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import rstrip, strip
+from .strings import let, rstrip, strip
 
 EMPTY = "cast(array() as array<string>)"
 
@@ -21,7 +21,7 @@ def split_lines(text: Column) -> Column:
 
 def first_index(items: Column, test) -> Column:
     """0-based place of the first element for which ``test`` holds; null if there is none."""
-    return F.nullif(F.array_position(F.transform(items, lambda x: F.coalesce(test(x), F.lit(False))), True), F.lit(0).cast("bigint")).cast("int") - 1
+    return let(F.array_position(F.transform(items, lambda x: F.coalesce(test(x), F.lit(False))), True), lambda p: F.when(p > 0, p.cast("int") - 1))
 
 
 def last_index(items: Column, test) -> Column:
@@ -37,11 +37,13 @@ def part(items: Column, start: Column, stop: Column | None = None) -> Column:
 
 def asan_trace(text: Column) -> Column:
     """From the first line with frame 0 up to the next empty line, which must be there."""
-    lines = split_lines(text)
-    begin = first_index(lines, lambda x: x.contains(" #0 "))
-    rest = part(lines, begin)
-    end = first_index(rest, lambda x: x == "")
-    return F.when(begin.isNotNull() & end.isNotNull(), F.slice(rest, F.lit(1), end))
+    return asan_trace_of(split_lines(text))
+
+
+def asan_trace_of(lines: Column) -> Column:
+    """:func:`asan_trace` of lines."""
+    rest = let(lines, lambda ls: part(ls, first_index(ls, lambda x: x.contains(" #0 "))))
+    return let(rest, lambda r: let(first_index(r, lambda x: x == ""), lambda end: F.when(end.isNotNull(), F.slice(r, F.lit(1), end))))
 
 
 def gdb_trace(text: Column) -> Column:
@@ -68,8 +70,6 @@ def go_trace(text: Column) -> Column:
     pairs = F.transform(F.filter(rest, lambda x, i: i % 2 == 0), lambda x, i: F.concat(strip(x), F.lit(" in "), strip(F.get(rest, 2 * i + 1))))
     return F.when(begin.isNotNull() & (F.size(rest) % 2 == 0), pairs)
 
-_JAVA_HEAD = r"^(?:Caused by:|Exception in thread|== Java Exception:)"
-
 
 def java_trace(text: Column) -> Column:
     """The frames of the innermost cause, with the outer causes' frames that ``... N more`` stands for."""
@@ -129,10 +129,12 @@ def sanitizer_report(text: Column) -> Column:
     lines = F.transform(split_lines(text), lambda x: rstrip(x))
     asan = r"==\d+==\s*ERROR: (LeakSanitizer|AddressSanitizer|libFuzzer):"
     msan = r"==\d+==\s*WARNING: MemorySanitizer:"
-    begin = first_index(lines, lambda x: x.rlike(asan) | x.rlike(msan))
-    end = last_index(lines, lambda x: x != "")
-    kind = F.when(F.get(lines, begin).rlike(asan), "asan").otherwise("msan")
-    return F.when(begin.isNotNull(), F.struct(kind.alias("kind"), part(lines, begin, end + 1).alias("lines")))
+
+    def carved(ls: Column, begin: Column) -> Column:
+        kind = F.when(F.get(ls, begin).rlike(asan), "asan").otherwise("msan")
+        return F.when(begin.isNotNull(), F.struct(kind.alias("kind"), part(ls, begin, last_index(ls, lambda x: x != "") + 1).alias("lines")))
+
+    return let(lines, lambda ls: let(first_index(ls, lambda x: x.rlike(asan) | x.rlike(msan)), lambda begin: carved(ls, begin)))
 
 
 def log_format(text: Column) -> Column:
@@ -157,4 +159,18 @@ def js_log(text: Column) -> Column:
     """Lines of a JS log that are frames or name the error."""
     return F.filter(split_lines(text), lambda x: x.rlike(r"^\s*at ") | x.contains("Error:"))
 
+
+def csharp_log(text: Column) -> Column:
+    """Lines from the unhandled exception to the last that isn't empty; null if there is none, and the log is a sanitizer's."""
+    lines = split_lines(text)
+    begin = first_index(lines, lambda x: x.rlike(r"^Unhandled [Ee]xception(?:\. .*|:\s*$)"))
+    end = last_index(lines, lambda x: x != "")
+    return F.when(begin.isNotNull(), part(lines, begin, end + 1))
+
+
+def lua_log(text: Column) -> Column:
+    """Lines of the exception with its traceback; null if there is none."""
+    found = lua_exception(text)
+    return F.when(found.isNotNull(), split_lines(found))
+
 EXTRACTORS = {"asan": asan_trace, "gdb": gdb_trace, "python": python_trace, "go": go_trace, "java": java_trace, "rust": rust_trace, "js": js_trace, "csharp": csharp_trace, "lua": lua_trace}

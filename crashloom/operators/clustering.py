@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import THRESHOLD
+from ..functions.fixed import DEPTH, THRESHOLD
 from ..functions.similarity import similarity, upper_bound
 from .graph import components, cut
 
@@ -20,13 +22,23 @@ DIGITS = 12
 def candidate_pairs(traces: DataFrame, least: float = 0.0, id: str = "id", keys: str = "keys") -> DataFrame:
     """(id_a, id_b, ka, kb), id_a < id_b, of traces that share a frame and whose similarity may exceed ``least``.
 
-    Traces without a common frame have similarity 0, so an equi-join on frames finds all
-    pairs. To exceed ``least`` > 0 a pair must share one of the frames that weigh most: the first
-    ones of a trace whose remaining weights can't make up ``least``. Only those are joined.
+    Traces without a common frame have similarity 0, so an equi-join on frames finds all pairs. A frame
+    at place i adds at most exp(-DEPTH i) to a similarity, which is relative to the sum of these over the shorter trace. So to
+    exceed ``least`` the shorter trace shares one of its frames besides any that weigh no more than ``least`` of
+    its sum together: these are taken from the frames that most traces hold. The shorter one's other
+    frames are joined with all frames of the longer one.
     """
     t = traces.select(F.col(id).alias("i"), F.col(keys).alias("k")).where("size(k) > 0")
-    each = t.select("i", F.explode(F.array_distinct("k")).alias("f"))
-    pairs = each.withColumnRenamed("i", "id_a").join(each.withColumnRenamed("i", "id_b"), "f").where("id_a < id_b").select("id_a", "id_b").distinct()
+    each = t.select("i", F.size("k").alias("n"), F.posexplode("k").alias("p", "f"))
+    each = each.groupBy("i", "n", "f").agg(F.sum(F.exp(-DEPTH * (F.col("p") + 1))).alias("w"))
+    every = each.select(F.struct("n", "i").alias("b"), "f")
+    if least > 0:
+        held = each.groupBy("f").agg(F.count("*").alias("df"))
+        total = math.exp(-DEPTH) * (1 - F.exp(-DEPTH * F.col("n"))) / (1 - math.exp(-DEPTH))
+        rest = F.sum("w").over(Window.partitionBy("i").orderBy(F.desc("df"), "f"))
+        each = each.join(held, "f").withColumn("rest", rest).where(F.col("rest") > least * total - SLACK)
+    found = each.select(F.struct("n", "i").alias("a"), "f").join(every, "f").where("a < b").select("a.i", F.col("b.i").alias("j")).distinct()
+    pairs = found.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
     pairs = pairs.join(t.select(F.col("i").alias("id_a"), F.col("k").alias("ka")), "id_a").join(t.select(F.col("i").alias("id_b"), F.col("k").alias("kb")), "id_b")
     return pairs.where(upper_bound("ka", "kb") > least - SLACK) if least > 0 else pairs
 
@@ -125,9 +137,18 @@ def diameters(members: DataFrame) -> DataFrame:
 
 
 def report_distances(members: DataFrame, reports: DataFrame) -> DataFrame:
-    """(report_id, cluster, dist): the distance of a report from its farthest member. ``reports``: report_id, keys."""
+    """(report_id, cluster, dist): the distance of a report from its farthest member. ``reports``: report_id, keys.
+
+    Clusters of which no member shares a frame with the report are left out: they are at distance 1.
+    """
+    unique = cut(distinct_members(members), "members")
+    sizes = unique.groupBy("cluster").agg(F.count("*").alias("size"))
     r = reports.select("report_id", F.col("keys").alias("kr"))
-    return distinct_members(members).join(r, F.lit(True)).groupBy("report_id", "cluster").agg(F.max(1 - similarity("kr", "keys")).alias("dist"))
+    frames = lambda df, keys, *names: df.select(*names, F.explode(F.array_distinct(keys)).alias("f"))
+    met = frames(r, "kr", "report_id").join(frames(unique, "keys", "cluster", "id"), "f").select("report_id", "cluster", "id").distinct()
+    each = met.join(r, "report_id").join(unique.select("cluster", "id", "keys"), ["cluster", "id"])
+    far = each.groupBy("report_id", "cluster").agg(F.max(1 - similarity("kr", "keys")).alias("d"), F.count("*").alias("met"))
+    return far.join(sizes, "cluster").select("report_id", "cluster", F.when(F.col("met") < F.col("size"), F.lit(1.0)).otherwise(F.col("d")).alias("dist"))
 
 
 def silhouettes(members: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a table in the shared checkpoint folder and read back.
 
-    A lost executor then costs a re-read, and loops keep short plans. A temporary
-    folder is used only where the session names none.
+    A lost executor then costs a re-read, and loops keep short plans. Only a local session
+    may name no folder, and gets a temporary one.
     """
     spark = df.sparkSession
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/crashloom-{name}-{uuid.uuid4().hex}"

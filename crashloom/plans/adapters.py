@@ -39,10 +39,11 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 MEMBERS = f"SELECT id, cluster, keys FROM ({TRACES}) JOIN (SELECT o_orderkey AS id, min(o_custkey)::INT AS cluster FROM orders GROUP BY 1) USING (id)"
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, frames): an order's lines as frames with source positions."""
+def frames(spark: SparkSession, sf_dir: str, distinct: bool = False) -> DataFrame:
+    """(id, frames): an order's lines as frames with source positions; some lines occur twice."""
     one = "named_struct('address', cast(x.l_partkey as decimal(20,0)), 'function', concat('f', x.l_partkey % 20), 'module', '', 'offset', cast(0 as decimal(20,0)), 'debug', named_struct('file', concat('/src/part', x.l_partkey, '.c'), 'line', cast(x.l_linenumber as bigint), 'column', cast(x.l_suppkey as bigint)))"
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.expr(_ordered(one)).alias("frames"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return (lines.distinct() if distinct else lines).groupBy(F.col("l_orderkey").alias("id")).agg(F.expr(_ordered(one)).alias("frames"))
 
 
 #: The kinds of findings that events stand for, in order of their number.
@@ -78,8 +79,9 @@ def tracebacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, log): a conversation's turns as the calls of a Python traceback."""
     one = "concat('  File \"/app/', x.role, '.py\", line ', x.turn + 1, ', in turn_', x.turn, '\\n    call()\\n')"
     calls = f"array_join(transform(array_sort(collect_list(struct(turn, role))), x -> {one}), '')"
-    return table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null and role is not null").groupBy("conv_id").agg(F.expr(f"concat('Traceback (most recent call last):\\n', {calls}, 'ValueError: turns ', count(*), '\\n')").alias("log"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.coalesce("turn", F.lit(0)).alias("turn"), F.coalesce("role", F.lit("none")).alias("role"))
+    return turns.groupBy("conv_id").agg(F.expr(f"concat('Traceback (most recent call last):\\n', {calls}, 'ValueError: turns ', count(*), '\\n')").alias("log"))
 
 
 TRACEBACKS = """SELECT conv_id, 'Traceback (most recent call last):' || chr(10) || string_agg('  File "/app/' || role || '.py", line ' || (turn + 1) || ', in turn_' || turn || chr(10) || '    call()' || chr(10), '' ORDER BY turn, role)
-    || 'ValueError: turns ' || count(*) || chr(10) AS log FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL GROUP BY conv_id"""
+    || 'ValueError: turns ' || count(*) || chr(10) AS log FROM (SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'none') AS role FROM conversations) GROUP BY conv_id"""

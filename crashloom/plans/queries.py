@@ -10,20 +10,7 @@ from ..operators import clustering, dedup, incremental, ranges, sarif, summary
 from ..operators.instructions import instruction_class
 from ..sources.reports import anonymised, fold
 from . import adapters as A
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLE_SQL, QUERIES, query
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces without repeats, counted by their first frame."""
@@ -42,12 +29,12 @@ def trace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup(t, ("fingerprint",), ("id",)).join(copies, "fingerprint").select("id", F.array_join("keys", ",").alias("keys"), "copies")
 
 
-@query("""WITH t AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS k FROM events GROUP BY 1)
-SELECT user_id, len(k)::BIGINT AS n_before, array_to_string([k[i] FOR i IN range(1, len(k) + 1) IF i = len(k) OR k[i] <> k[i + 1]], ',') AS folded FROM t""")
+@query("""SELECT l_orderkey AS id, sum(l_linenumber % 3 + 1)::BIGINT AS n_before, string_agg('d|/src/part' || l_partkey || '.c|' || l_linenumber || '|' || l_suppkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS folded
+FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) GROUP BY 1""")
 def trace_fold_period1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = A.table(spark, sf_dir, "events").groupBy("user_id").agg(F.expr("transform(array_sort(collect_list(struct(ts, event_id, event_type))), x -> x.event_type)").alias("k"))
-    folded = F.expr("filter(k, (x, i) -> i = size(k) - 1 or x <> k[least(i + 1, size(k) - 1)])")
-    return t.select("user_id", F.size("k").cast("long").alias("n_before"), F.array_join(folded, ",").alias("folded"))
+    """Frames that call themselves once or twice are folded to one; an order's frames differ otherwise."""
+    t = A.frames(spark, sf_dir, distinct=True).select("id", F.expr("flatten(transform(frames, f -> array_repeat(f, cast(f.debug.line % 3 as int) + 1)))").alias("calls"))
+    return fold(t, "calls").select("id", F.size("calls").cast("long").alias("n_before"), F.array_join("keys", ",").alias("folded"))
 
 
 @query()
@@ -94,7 +81,7 @@ def san_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's report: carved out of its log, classified, its trace parsed and its crash line taken."""
     logs = A.sanitizer_logs(spark, sf_dir).withColumn("r", traces.sanitizer_report(F.col("log")))
     logs = logs.withColumn("short", severity.sanitizer_short(F.col("r.lines")))
-    parsed = logs.withColumn("p", frames.parse(traces.asan_trace(F.array_join("r.lines", "\n")), "asan"))
+    parsed = logs.withColumn("p", frames.parse(traces.asan_trace_of(F.col("r.lines")), "asan"))
     out = severity.with_class(parsed, "short")
     return out.select("event_id", "short", F.col("severity.Type").alias("kind"), text.crash_line(F.col("p.frames")).alias("crashline"), F.size("p.frames").cast("long").alias("n_frames"))
 
@@ -104,9 +91,9 @@ def signal_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "events").select("event_id", severity.signal_class(F.col("event_id") % 32).alias("short"))
 
 
-@query("SELECT (l_partkey * l_suppkey) < 65536 AS near_null, count(*) AS frames FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey, l_partkey, (l_partkey * l_suppkey) < 65536 AS near_null, count(*) AS frames FROM lineitem GROUP BY ALL")
 def near_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "lineitem").groupBy(severity.near_null(F.col("l_partkey") * F.col("l_suppkey")).alias("near_null")).agg(F.count("*").alias("frames"))
+    return A.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey", severity.near_null(F.col("l_partkey") * F.col("l_suppkey")).alias("near_null")).agg(F.count("*").alias("frames"))
 
 
 #: Similarity in SQL: each row of the table is a fold over the one before it.
@@ -155,16 +142,18 @@ def update_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.update(members, new, True)
 
 
-_SPLIT = f"t AS ({A.COARSE}), n AS (SELECT * FROM t WHERE id % 2 = 1), o AS (SELECT * FROM t WHERE id % 2 = 0)"
+_SPLIT = f"t AS (SELECT id, keys, CASE WHEN id % 14 = 7 THEN id - 1 ELSE id END AS name FROM ({A.COARSE})), n AS (SELECT * FROM t WHERE id % 2 = 1), o AS (SELECT * FROM t WHERE id % 2 = 0)"
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = _fingerprinted(A.coarse_traces(spark, sf_dir)).withColumn("file_name", F.format_string("%012d.casrep", F.floor(F.col("id") / 4).cast("bigint")))
+    """Orders of odd and of even number as reports; every seventh of the odd ones has the name of the one before it."""
+    name = F.format_string("%012d.casrep", F.when(F.col("id") % 14 == 7, F.col("id") - 1).otherwise(F.col("id")).cast("bigint"))
+    t = _fingerprinted(A.coarse_traces(spark, sf_dir)).withColumn("file_name", name)
     return t.where("id % 2 = 1"), t.where("id % 2 = 0")
 
 
-@query(f"""WITH {_SPLIT}, k AS (SELECT min(id) AS id, keys FROM n WHERE keys NOT IN (SELECT keys FROM o) GROUP BY keys)
-SELECT id, array_to_string(keys, ',') AS keys FROM k WHERE id // 4 NOT IN (SELECT id // 4 FROM o)""")
+@query(f"""WITH {_SPLIT}, k AS (SELECT min_by(id, name) AS id, min(name) AS name, keys FROM n WHERE keys NOT IN (SELECT keys FROM o) GROUP BY keys)
+SELECT id, array_to_string(keys, ',') AS keys FROM k WHERE name NOT IN (SELECT name FROM o)""")
 def merge_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, old = _halves(spark, sf_dir)
     return dedup.merge_new(new, old).select("id", F.array_join("keys", ",").alias("keys"))

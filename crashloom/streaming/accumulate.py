@@ -22,19 +22,17 @@ def class_counts(stream: DataFrame, window: str = "1 hour", late: str = "2 hours
 def accumulate(stream: DataFrame, state: str, checkpoint: str, unique_lines: bool = False) -> StreamingQuery:
     """Each micro-batch (report_id, keys, crashline) is added to the clusters kept under ``state``.
 
-    The state is a folder of versions, one for each batch; a batch reads the last version
-    before its own number, so a batch that is run again gives the same result.
+    The state is a folder of versions, which hold what each batch adds; members keep their clusters. A batch
+    reads the versions before its own number, so a batch that is run again gives the same result.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         schema = "id string, cluster int, keys array<string>, crashline string, version long"
-        members = spark.read.schema(schema).parquet(state).where(F.col("version") < number) if _exists(spark, state) else spark.createDataFrame([], schema)
-        last = members.agg(F.max("version")).first()[0]
-        members = members.where(F.col("version") == F.lit(last)).drop("version") if last is not None else members.drop("version")
+        members = spark.read.schema(schema).parquet(state).where(F.col("version") < number).drop("version") if _exists(spark, state) else spark.createDataFrame([], "id string, cluster int, keys array<string>, crashline string")
         out = update(members, batch, unique_lines)
         fresh = out.where("outcome in ('added', 'moved', 'new')").join(batch.withColumn("report_id", F.col("report_id").cast("string")), "report_id").select(F.col("report_id").alias("id"), "cluster", "keys", "crashline")
-        members.select("id", "cluster", "keys", "crashline").unionByName(fresh).withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(state)
+        fresh.withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(state)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

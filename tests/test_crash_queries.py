@@ -8,7 +8,8 @@ import os
 import duckdb
 import pytest
 
-from crashloom.plans import queries as Q
+from crashloom.plans import queries, registry as Q
+from crashloom.plans import report_queries  # noqa: F401  registers its queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,4 +37,4 @@ def test_query(spark, name):
 
 
 def test_flagship(spark):
-    assert Q.flagship(spark, DATA).count() > 0
+    assert queries.flagship(spark, DATA).count() > 0
