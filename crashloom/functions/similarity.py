@@ -9,19 +9,23 @@ from .fixed import DEPTH, SHIFT
 
 
 def similarity(first: str, second: str) -> Column:
+    return F.expr(similarity_sql(first, second))
+
+
+def similarity_sql(first: str, second: str) -> str:
     """Position-dependent alignment of two array<string> columns, 1 for equal traces; null if one is empty.
 
     The best common subsequence, where a match at places i and j weighs
     exp(-(DEPTH * min(i, j) + SHIFT * |i - j|)), over the weight of a full match of the shorter.
     A row of the table is carried through an aggregate, so it runs in the JVM.
     """
-    return F.expr(f"""if(size({first}) > 0 and size({second}) > 0,
+    return f"""if(size({first}) > 0 and size({second}) > 0,
         aggregate(sequence(1, size({second})), array_repeat(0D, size({first}) + 1), (prev, i) ->
             aggregate(sequence(1, size({first})), array(0D), (cur, j) -> array_append(cur, greatest(
                 element_at(cur, -1), element_at(prev, j + 1),
                 element_at(prev, j) + if(element_at({first}, j) = element_at({second}, i), exp(-(least(i, j) * {DEPTH}D + abs(i - j) * {SHIFT}D)), 0D)))),
             r -> element_at(r, -1))
-        / aggregate(sequence(1, least(size({first}), size({second}))), 0D, (a, i) -> a + exp(-{DEPTH}D * i)), null)""")
+        / aggregate(sequence(1, least(size({first}), size({second}))), 0D, (a, i) -> a + exp(-{DEPTH}D * i)), null)"""
 
 
 def distance(first: str, second: str) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions.fixed import NEAR_NULL
 from .functions.frames import fold_mask
 from .operators.instructions import classified
 from .functions.severity import catalog
+from .functions.similarity import similarity_sql
 
 
 @F.udtf(returnType="nth int, warning string")
@@ -21,9 +23,22 @@ class UbsanWarnings:
             yield i, m.group(0)
 
 
+#: SQL functions by name: parameters, result and body.
+FUNCTIONS = {
+    "crash_similarity": ("first ARRAY<STRING>, second ARRAY<STRING>", "DOUBLE", similarity_sql("first", "second")),
+    "crash_fingerprint": ("keys ARRAY<STRING>", "STRING", "sha2(to_json(keys), 256)"),
+    "crash_line_without_column": ("line STRING", "STRING", r"regexp_replace(line, '(\\d+):\\d+$', '$1')"),
+    "crash_ubsan_key": ("line STRING", "STRING", r"regexp_extract(line, '(.+:\\d+):\\d', 1)"),
+    "crash_stem": ("name STRING", "STRING", r"regexp_replace(name, '(\\.gdb)?\\.casrep$', '')"),
+    "crash_near_null": ("address DECIMAL(20,0)", "BOOLEAN", f"address < {NEAR_NULL}"),
+}
+
+
 def register(spark: SparkSession) -> None:
-    """crash_fold_mask, crash_instruction_class, crash_ubsan_warnings and the view severity_catalog."""
+    """crash_fold_mask, crash_instruction_class, crash_ubsan_warnings, those of FUNCTIONS and the view severity_catalog."""
     spark.udf.register("crash_fold_mask", fold_mask)
     spark.udf.register("crash_instruction_class", classified)
     spark.udtf.register("crash_ubsan_warnings", UbsanWarnings)
+    for name, (parameters, result, body) in FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
     catalog(spark).createOrReplaceTempView("severity_catalog")

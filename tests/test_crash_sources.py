@@ -64,6 +64,8 @@ def test_sql(spark):
 
     sql.register(spark)
     assert spark.sql("SELECT count(*) AS n FROM severity_catalog").first().n == 75
+    row = spark.sql("SELECT crash_similarity(array('a', 'b'), array('a', 'b')) AS s, crash_similarity(array('a'), array('c')) AS z, crash_line_without_column('/a.c:1:2') AS l, crash_ubsan_key('/a.c:1:2') AS u, crash_stem('x.gdb.casrep') AS t, crash_near_null(5) AS n, length(crash_fingerprint(array('a'))) AS f").first()
+    assert (row.s, row.z, row.l, row.u, row.t, row.n, row.f) == (1.0, 0.0, "/a.c:1", "/a.c:1", "x", True, 64)
     log = "a.c:1:2: runtime error: x\nSUMMARY: UndefinedBehaviorSanitizer: y\nnoise\nb.c:1:2: runtime error: x\nSUMMARY: UndefinedBehaviorSanitizer: y"
     assert spark.createDataFrame([(log,)], "t string").createOrReplaceTempView("logs") is None
     assert spark.sql("SELECT w.nth FROM logs, LATERAL crash_ubsan_warnings(t) w").count() == 2
