@@ -6,14 +6,20 @@ shared checkpoint folder, size-checked broadcasts, and connected components.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-#: Rows that a side may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 400_000
+#: Rows and bytes that a side may have to be broadcast; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 24 << 20
+#: Bytes of an Arrow batch that a worker gets at a time; a row of more comes alone.
+ARROW_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
+    """The shared folder that the cluster names. Only a local session may have none, and gets a temporary one."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -38,15 +46,64 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/crashloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.cut_path = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`cut` that nothing reads any more."""
+    for df in tables:
+        path = None if df is None else df.__dict__.get("cut_path")
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _width(df: DataFrame) -> Column:
+    """About the bytes of a row."""
+    fixed, parts = 8, []
+    for f in df.schema:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            parts.append(F.octet_length(f.name))
+        elif isinstance(f.dataType, ArrayType) and not isinstance(f.dataType.elementType, (StringType, StructType, ArrayType)):
+            parts.append(8 * F.size(f.name))
+        elif isinstance(f.dataType, (ArrayType, StructType, MapType)):
+            parts.append(F.octet_length(F.to_json(F.struct(f.name))))
+        fixed += 8
+    return sum((F.coalesce(x, F.lit(0)).cast("long") for x in parts), F.lit(fixed).cast("long"))
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``rows`` rows of ``most`` bytes together, else leave it to a shuffle join.
+
+    ``df`` should be a table from :func:`cut`: its rows are counted and measured here.
+    """
+    if df.count() > rows:
+        return df
+    return F.broadcast(df) if (df.agg(F.sum(_width(df))).first()[0] or 0) <= most else df
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``rows`` rows, else leave it to a shuffle join.
+def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``rows`` through ``run`` in batches of ARROW_BYTES, whatever the length of their texts; a task gives memory back at its end."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
-    ``df`` should be a table from :func:`cut`: its rows are counted here.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(each, schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(c: Column) -> Column:
@@ -76,7 +133,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(down, "u")
         step = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(step, "edges")
+        last, e = e, cut(step, "edges")
+        discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break
@@ -109,7 +167,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).select(F.col("x.i").alias("a"), F.col("x.s").alias("sa"), F.col("y.i").alias("b"), F.col("y.s").alias("sb")).distinct()
 
 
-def link_lists(lists: DataFrame, verify, may_match: Column, turns: int = 4, pairs_per_row: float = 16.0) -> tuple[DataFrame, DataFrame]:
+def link_lists(lists: DataFrame, verify, may_match: Column, turns: int = 4, pairs_per_row: float = 16.0, dense=None) -> tuple[DataFrame, DataFrame]:
     """(labels, links) of the graph whose links are the verified pairs that share a list.
 
     ``lists``: key, id, size, pos, anchor (cut; each list with two members or more, of
@@ -122,22 +180,31 @@ def link_lists(lists: DataFrame, verify, may_match: Column, turns: int = 4, pair
     that are still in different components meet each other. Further pivots are
     tried while that last step would be large and they halve it. No pair is
     lost: a pair that is never compared is in one component already.
+
+    With ``dense``, the lists with more than ``pairs_per_row`` open pairs for each member go to
+    ``dense(lists, labels, links)`` after the first turn, which returns all links (a, b) among their members.
     """
-    links, open_lists, before = None, lists, None
+    links, labels, open_lists, before = None, None, lists, None
     for turn in range(turns):
         pairs = pivot_pairs(open_lists, may_match, turn)
         found = verify(pairs).select("a", "b")
-        links = cut(found if links is None else links.union(found).distinct(), "links")
+        known, links = links, cut(found if links is None else links.union(found).distinct(), "links")
+        discard(known, labels)
         labels = cut(connected_components(links), "labels")
         named = lists.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        spread = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.count("*").alias("labels")).where("labels > 1").select("key", ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("left"))
-        open_lists = cut(named.join(spread, "key").select("key", "id", "size", "pos", "anchor", "label", "left"), "open")
+        spread = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.count("*").alias("labels")).where("labels > 1").select("key", ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("left"), "n")
+        if open_lists is not lists:
+            discard(open_lists)
+        open_lists = cut(named.join(spread, "key").select("key", "id", "size", "pos", "anchor", "label", "left", "n"), "open")
         rows, total = open_lists.groupBy("key").agg(F.count("*").alias("n"), F.first("left").alias("left")).agg(F.sum("n"), F.sum("left")).first()
         if not rows:
             return labels, links
-        if total <= pairs_per_row * rows or (before is not None and total > before / 2):
+        if dense or total <= pairs_per_row * rows or (before is not None and total > before / 2):
             break
         before = total
-    found = verify(cross_pairs(open_lists, may_match)).select("a", "b")
+    many = F.col("left") > pairs_per_row * F.col("n")
+    found = verify(cross_pairs(open_lists.where(~many) if dense else open_lists, may_match)).select("a", "b")
+    if dense and open_lists.where(many).limit(1).count():
+        found = found.union(dense(open_lists.where(many), labels, links).select("a", "b"))
     links = cut(links.union(found).distinct(), "links")
     return cut(connected_components(links), "labels"), links

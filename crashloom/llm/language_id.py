@@ -5,9 +5,11 @@ text is cross-parsed against each automaton: from left to right it is cut into t
 longest phrases that occur in the language's sample. The language that needs the
 fewest phrases per byte wins; ties go to the smallest name.
 
-The parse runs over whole texts in blocks of ``BLOCK`` bytes, each started
-afresh, so that all blocks of an Arrow batch advance together through dense
-transition tables in numpy.
+The parse runs over whole texts. All blocks of ``BLOCK`` bytes of an Arrow batch first advance together
+through dense transition tables in numpy, each as if a phrase began with it. Then each block is
+parsed again from the state that the block before it ended in, as far as the states
+differ, which is a few phrases; where that changes a block's last state the next one is parsed again,
+too. So the phrases are those of one parse from the text's beginning to its end.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0, as is
 any text if no label was learned. With one language learned, a text is compared
@@ -23,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 #: Bytes of labelled text that are learned, over all languages together.
 SAMPLE_BYTES = 96 * 1024
 #: Documents that they are taken from, for each language, in the mean.
 SAMPLE_DOCS = 64
 BLOCK = 256
-#: Bytes of text that are parsed at a time.
-CHUNK = 1 << 21
-_FLAG = np.int32(-(2**31))
+#: Bytes of text that are parsed at a time; a longer text is parsed alone.
+CHUNK = 1 << 20
+_FLAG, _STATE = np.int32(-(2**31)), np.int32(2**31 - 1)
 
 
 def symbols(text: str) -> bytes:
@@ -100,22 +104,41 @@ class Model:
                 out[s, self.classes[c]] = to * w
         return out.ravel()
 
-    def phrases(self, blocks: np.ndarray) -> np.ndarray:
-        """The phrases that each row of byte classes needs, a column for each language."""
+    def phrases(self, blocks: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The phrases that each row of byte classes adds to its text's parse, a column for each language.
+
+        ``first`` marks rows that begin a text; another row goes on where the one before it ends.
+        """
         columns = np.ascontiguousarray(blocks.T)
         out = np.empty((len(blocks), len(self.langs)), np.int32)
+        held = np.empty(columns.shape, np.int32)
         for k, table in enumerate(self.tables):
-            state, begun = np.zeros(len(blocks), np.int32), np.zeros(len(blocks), np.int32)
-            for c in columns:
+            state = np.zeros(len(blocks), np.int32)
+            for c, was in zip(columns, held):
                 state += c
-                state = table.take(state)
-                begun += state < 0
-                state &= np.int32(2**31 - 1)
+                table.take(state, out=was)
+                np.bitwise_and(was, _STATE, out=state)
+            begun = (held < 0).sum(axis=0, dtype=np.int32)
+            todo = np.flatnonzero(~first)
+            while len(todo):
+                at, now = todo, state[todo - 1]
+                for c, was in zip(columns, held):
+                    old, new = was[at], table.take(now + c[at])
+                    begun[at] += (new < 0).astype(np.int32) - (old < 0)
+                    was[at] = new
+                    now = new & _STATE
+                    apart = now != old & _STATE
+                    at, now = at[apart], now[apart]
+                    if not len(at):
+                        break
+                state[at] = now
+                todo = at[at + 1 < len(blocks)] + 1
+                todo = todo[~first[todo]]
             out[:, k] = begun
         return out
 
 
-def _parse(model: Model, texts: list[str]) -> np.ndarray:
+def _parse(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data = [symbols(t) for t in texts]
     size = np.array([len(x) for x in data])
     blocks = -(-size // BLOCK)
@@ -123,7 +146,9 @@ def _parse(model: Model, texts: list[str]) -> np.ndarray:
     flat = np.ones(at[-1] * BLOCK, model.classes.dtype)
     for x, a in zip(data, at):
         flat[a * BLOCK : a * BLOCK + len(x)] = model.classes[np.frombuffer(x, np.uint8)]
-    got = model.phrases(flat.reshape(-1, BLOCK))
+    first = np.zeros(at[-1], bool)
+    first[at[:-1]] = True
+    got = model.phrases(flat.reshape(-1, BLOCK), first)
     return np.add.reduceat(got, at[:-1], axis=0), size
 
 
@@ -181,4 +206,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{types}, lang_pred string, score double")
+    return in_arrow(rows, run, f"{types}, lang_pred string, score double")
