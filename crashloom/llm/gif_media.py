@@ -4,8 +4,8 @@ The decoder reads the general format: global and local palettes, code streams wi
 growing code widths and clear codes, interlacing, transparency, delays and the disposal
 methods. A code stream is decoded a segment (from clear code to clear code) at a time in
 numpy: code widths depend only on the place in the segment, string lengths and
-sources follow from pointer doubling. Streams that consist of 9-bit literals, as the
-encoder here writes them, are recognised and decoded in one step.
+sources follow from pointer doubling. The encoder looks for the longest known string in a dictionary, as the
+format means it, and clears the table when it is full.
 
 :func:`store` writes each document's bytes losslessly as the samples of gray frames of 64
 columns and at most 1024 rows, reads the file back and derives features.
@@ -21,49 +21,63 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 WIDTH, ROWS, DELAY = 64, 1024, 4
-#: Literals between two clear codes, so that codes stay 9 bits wide.
-LITERALS = 254
 BINS = 8
 _GRAY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
 
 
-def _pack9(codes: np.ndarray) -> bytes:
-    bits = (codes[:, None] >> np.arange(9)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-
-
-def lzw_literals(data: np.ndarray) -> bytes:
-    """A code stream of literals with a clear code before every LITERALS of them."""
-    n = len(data)
-    full = -(-n // LITERALS)
-    codes = np.full((full, LITERALS + 1), 256, np.uint16)
-    flat = np.zeros(full * LITERALS, np.uint16)
-    flat[:n] = data
-    codes[:, 1:] = flat.reshape(full, LITERALS)
-    return _pack9(np.append(codes.ravel()[: full + n], np.uint16(257)))
+@lru_cache(maxsize=None)
+def _widths(code_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the n-th code behind a clear code, and where it begins; later codes have 12 bits, as those with a full table do."""
+    nth = np.arange(4096)
+    entries = np.minimum((1 << code_size) + 2 + np.maximum(nth - 1, 0), 4095)  # in the table when the n-th code is read
+    widths = np.minimum(np.maximum(code_size + 1, np.floor(np.log2(entries)).astype(np.int64) + 1), 12)
+    return widths, np.append(0, np.cumsum(widths))
+
+
+def lzw_encode(data: bytes, code_size: int = 8) -> bytes:
+    """The code stream of samples below 2**code_size."""
+    clear = 1 << code_size
+    codes, ends = [clear], []  # all codes, and behind which of them the table starts anew
+    table, entry, now = {}, clear + 2, -1
+    for b in data:
+        key = now << 8 | b
+        if now < 0:
+            now = b
+        elif key in table:
+            now = table[key]
+        else:
+            codes.append(now)
+            if entry < 4096:
+                table[key] = entry
+                entry += 1
+            else:
+                ends.append(len(codes))
+                codes.append(clear)
+                table, entry = {}, clear + 2
+            now = b
+    if now >= 0:
+        codes.append(now)
+    codes.append(clear + 1)
+    of = _widths(code_size)[0]
+    widths = np.concatenate([[code_size + 1], *(of[: b - a] for a, b in zip([0, *ends], [*ends, len(codes) - 1]))])
+    bits = (np.array(codes, np.uint16)[:, None] >> np.arange(12, dtype=np.uint16)).astype(np.uint8) & 1
+    return np.packbits(bits[np.arange(12) < widths[:, None]], bitorder="little").tobytes()
 
 
 def lzw_decode(stream: bytes, code_size: int, most: int) -> np.ndarray:
     """The indices of a code stream; decoding stops at the end code or after ``most`` indices."""
     clear, bits = 1 << code_size, np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
-    if code_size == 8:
-        got = _literal_stream(bits)
-        if got is not None:
-            return got[:most]
-    # bit offsets and widths of the codes of a segment; behind them, with the full table of 4096, codes have 12 bits
-    first = clear + 2
-    nth = np.arange(1 << 13)
-    table = np.minimum(first + np.maximum(nth - 1, 0), 4095)  # the table's size when the n-th code is read
-    widths = np.maximum(code_size + 1, np.floor(np.log2(np.maximum(table, 1))).astype(np.int64) + 1)
-    widths = np.minimum(widths, 12)
-    offsets = np.append(0, np.cumsum(widths))
+    widths, offsets = _widths(code_size)
     late = np.arange(len(offsets)) * 12
     powers = 1 << np.arange(12)
     out, at, total = [], 0, 0
@@ -94,19 +108,6 @@ def lzw_decode(stream: bytes, code_size: int, most: int) -> np.ndarray:
     return np.concatenate(out)[:most] if out else np.empty(0, np.uint8)
 
 
-def _literal_stream(bits: np.ndarray) -> np.ndarray | None:
-    codes = bits[: len(bits) // 9 * 9].reshape(-1, 9).astype(np.uint16) @ (1 << np.arange(9, dtype=np.uint16))
-    ends = np.flatnonzero(codes == 257)
-    if not len(ends):
-        return None
-    codes = codes[: ends[0]]
-    clears = np.flatnonzero(codes == 256)
-    gaps = np.diff(np.append(clears, len(codes)))
-    if not len(codes) or not len(clears) or clears[0] != 0 or codes.max() > 256 or gaps.max() > LITERALS + 1:
-        return None
-    return codes[codes != 256].astype(np.uint8)
-
-
 def _segment(codes: np.ndarray, clear: int, most: int) -> np.ndarray:
     """The indices of codes between two clear codes. Entry clear+2+i is the string of code i and the next string's first index."""
     n = len(codes)
@@ -154,7 +155,7 @@ def encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DE
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), _GRAY.tobytes()]
     for i in range(0, len(data), width * rows):
         part = data[i : i + width * rows]
-        out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, delay, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0), b"\x08", _blocks(lzw_literals(part))]
+        out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, delay, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0), b"\x08", _blocks(lzw_encode(part.tobytes()))]
     return b"".join([*out, b"\x3b"])
 
 
@@ -284,7 +285,7 @@ def frames(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataF
                 yield pa.RecordBatch.from_arrays([first, *(pa.array(c, t) for c, t in zip(part[1:], kinds[1:]))], names)
 
     rows = files.select(key, F.col(media).cast("binary").alias("_media"))
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, {FRAMES}")
+    return in_arrow(rows, run, f"`{key}` {rows.schema[0].dataType.simpleString()}, {FRAMES}")
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -306,7 +307,7 @@ def store(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array([n for _, n in got], pa.int64()), pa.array([encode(p) for p, _ in got], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, {STORED}")
+    return in_arrow(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, {STORED}")
 
 
 def digest(media: bytes) -> tuple[int, str, int, int, str, str]:
@@ -328,4 +329,4 @@ def digests(stored: DataFrame) -> DataFrame:
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "n_bytes", *names])
 
-    return stored.mapInArrow(run, f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, {DIGESTS}")
+    return in_arrow(stored, run, f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, {DIGESTS}")
