@@ -8,7 +8,7 @@ the rules whose interval is open. Of these the longest whose path the URL's path
 with wins; equally long ones are decided by the longer host, then by the text.
 
 An interval that crosses ranges is opened in each of them, so ranges are independent. The
-range bounds come from a hashed sample of the keys and only affect how work is
+range bounds come from a hashed sample of the keys, which is bounded, and only affect how work is
 dealt out; a host that many URLs share is spread by a hash of the row within its key.
 
 Defined results: a null URL and one without ``://`` have empty host and path, which
@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import ascii_lower
+from .common import ascii_lower, in_arrow
 
-#: URLs in a range, in the mean, and keys that are sampled for each range.
-RANGE_ROWS, SAMPLED = 50_000, 40
+#: URLs in a range, in the mean, the most ranges, and keys that are sampled for each range.
+RANGE_ROWS, RANGES, SAMPLED = 50_000, 4096, 40
 MARK = "\x01"
 
 
@@ -55,7 +55,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     clean = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").dropna()
     clean = clean.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("key", host_key("host"))
     total = rows.count()
-    n = max(1, -(-total // RANGE_ROWS))
+    n = min(RANGES, max(1, -(-total // RANGE_ROWS)))
     keep = F.pmod(F.col("salt"), F.lit(max(1, total // (n * SAMPLED)))) == 0
     drawn = sorted(tuple(r) for r in rows.where(keep).select("key", "salt").limit(4 * n * SAMPLED).collect()) if n > 1 else []
     bounds = [drawn[len(drawn) * i // n] for i in range(1, n)] if drawn else []
@@ -95,4 +95,4 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
                     c.append(v)
             yield pa.RecordBatch.from_arrays([x.column(3).take(pa.array(ids, pa.int64())), *(pa.array(c, pa.string()) for c in out[:4])], ["page_id", "host", "path", "rule", "verdict"])
 
-    return swept.mapInArrow(sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return in_arrow(swept, sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
