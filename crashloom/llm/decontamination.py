@@ -104,7 +104,8 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated documents; all columns stay."""
-    bad = common.cut(contamination(docs, benchmark).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("__d"), F.col("rid").alias("__r")).distinct(), "contaminated")
-    bad = common.small(bad)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("__r")), "left_anti")
+    """``docs`` without the contaminated documents; all columns stay, whatever their names."""
+    d, r = common.fresh(docs, "_bad_id", "_bad_row")
+    bad = contamination(docs.select("doc_id", "text"), benchmark).where(contaminated(F.col("n_hit"), F.col("n_words")))
+    bad = common.small(common.cut(bad.select(F.col("doc_id").alias(d), F.col("rid").alias(r)).distinct(), "contaminated"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col(r)), "left_anti")
