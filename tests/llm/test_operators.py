@@ -109,6 +109,58 @@ def test_ngram_join_without_documents(spark):
     assert [tuple(r) for r in ngram_join.join(docs(spark, [(1, None)])).collect()] == [(1, 0, 1)]
 
 
+def variants(rng, base, n, most):
+    """``n`` texts that each vary a few words of ``base``; some vary one that is varied already."""
+    out = []
+    for _ in range(n):
+        w = list(rng.choice(out) if out and rng.random() < 0.3 else base)
+        for _ in range(rng.randint(1, most)):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([[], [f"x{rng.random()}"], [w[i], f"x{rng.random()}"], [rng.choice(base)]])
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("dense", [0.0, 2.0, 1e9])
+def test_ngram_join_of_variants_of_one_text(spark, monkeypatch, dense):
+    """Lists with many open pairs go around centres, whatever the threshold for that."""
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    rng = random.Random(7)
+    texts = []
+    for n, most in ((90, 4), (60, 3), (18, 1)):
+        texts += variants(rng, [f"w{rng.randrange(10**6)}" for _ in range(n)], 50, most)
+    # families: variants of variants that don't link with the first text
+    base = [f"f{i}" for i in range(80)]
+    for family in variants(rng, base, 4, 6):
+        texts += variants(rng, family.split(), 12, 2)
+    got = sorted(tuple(r) for r in ngram_join.join(docs(spark, list(enumerate(texts)))).collect())
+    assert got == brute_components(list(enumerate(texts)))
+
+
+def test_ngram_join_by_subsets_of_light_sets(spark, monkeypatch):
+    """Small sets of unlike sizes are found by subsets, on either side of the boundary."""
+    seen = []
+    real = ngram_join._lists
+    monkeypatch.setattr(ngram_join, "choose_boundary", lambda mean: 12)
+    monkeypatch.setattr(ngram_join, "_lists", lambda d, heavy, boundary: seen.append(boundary) or real(d, heavy, boundary))
+    rng = random.Random(11)
+    texts = [t for n in (8, 10, 12, 14, 16, 17, 19) for k in range(8) for t in variants(rng, [f"v{n}-{k}-{i}" for i in range(n)], 3, 1)]
+    texts += [" ".join(w.split()[:-j]) for w in texts[:40] for j in (1, 2)]
+    got = sorted(tuple(r) for r in ngram_join.join(docs(spark, list(enumerate(texts)))).collect())
+    assert seen == [12] and got == brute_components(list(enumerate(texts)))
+    linked = {(n, m) for (_, n, c), (_, m, e) in zip(got, got[1:]) if c == e}
+    assert any(min(x) <= 12 < max(x) for x in linked) or len({c for _, _, c in got}) < len(got)
+
+
+def test_ngram_join_with_an_id_for_two_texts(spark):
+    base, other = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    texts = [(1, " ".join(base)), (1, " ".join(other)), (2, near(base)), (3, near(other)), (None, " ".join(base))]
+    got = Counter(tuple(r) for r in ngram_join.join(docs(spark, texts)).collect())
+    assert got == Counter([(1, 56, 1), (1, 56, 1), (2, 56, 1), (3, 56, 1), (None, 56, None)])
+    assert sorted(r.doc_id or 0 for r in ngram_join.keep_one(docs(spark, texts)).collect()) == [0, 1, 1]
+
+
 def test_boundary_grows_with_lists():
     assert ngram_join.choose_boundary(1.0) <= ngram_join.choose_boundary(100.0)
     assert all(ngram_join.need(a, b) == min(k for k in range(1, a + b) if 100 * k >= 80 * (a + b - k)) for a in range(1, 40) for b in ngram_join.partners(a))
@@ -139,6 +191,24 @@ def test_banded_distance(spark):
         assert [r.w for r in got] == [levenshtein(r.x, r.y) <= edits for r in got]
 
 
+def brute_lines(texts):
+    """Texts without the lines that repeat an earlier one, exactly or within edits, by comparing all lines."""
+    flat = [(d, no, x) for d, t in texts if t is not None for no, x in enumerate(t.split("\n")) if len(x) >= line_dedup.EXACT]
+    up = list(range(len(flat)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, (_, _, x) in enumerate(flat):
+        for j, (_, _, y) in enumerate(flat[:i]):
+            if x == y or (min(len(x), len(y)) >= line_dedup.FUZZY and levenshtein(x, y) <= line_dedup.EDITS):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    gone = {(flat[i][0], flat[i][1]) for i in range(len(flat)) if root(i) != i}
+    return {d: None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (d, no) not in gone) for d, t in texts}
+
+
 def test_line_dedup(spark):
     rng = random.Random(2)
     line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
@@ -154,20 +224,7 @@ def test_line_dedup(spark):
             ls.append("".join(x))
         texts.append((i, "\n".join(ls)))
     texts += [(100, None), (101, ""), (102, "\n\n")]
-    flat = [(d, no, x) for d, t in texts if t is not None for no, x in enumerate(t.split("\n")) if len(x) >= line_dedup.EXACT]
-    up = list(range(len(flat)))
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i, (_, _, x) in enumerate(flat):
-        for j, (_, _, y) in enumerate(flat[:i]):
-            if x == y or (min(len(x), len(y)) >= line_dedup.FUZZY and levenshtein(x, y) <= line_dedup.EDITS):
-                up[max(root(i), root(j))] = min(root(i), root(j))
-    gone = {(flat[i][0], flat[i][1]) for i in range(len(flat)) if root(i) != i}
-    want = {d: None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (d, no) not in gone) for d, t in texts}
+    want = brute_lines(texts)
     got = line_dedup.dedup(docs(spark, texts))
     assert got.columns == docs(spark, texts).columns
     assert {r.doc_id: r.text for r in got.collect()} == want
@@ -192,6 +249,57 @@ def test_language(spark):
     assert need[0][model.langs.index("en")] == plain
 
 
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_language_parses_whole_texts(monkeypatch, block):
+    """Phrases cross the ends of blocks, even phrases of many blocks."""
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    rng = random.Random(8)
+    samples = {"x": "".join(rng.choice("abc ") for _ in range(3000)), "y": "ab" * 1500, "z": "c"}
+    model = language_id.Model({k: v.encode() for k, v in samples.items()})
+    texts = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (1, 6, 255, 257, 2000)] + ["ab" * 700, samples["x"][100:2600] + "dd" + samples["x"][:1500]]
+    need, _ = language_id._parse(model, texts)
+    for text, row in zip(texts, need):
+        for k, lang in enumerate(model.langs):
+            count, i = 0, 0
+            while i < len(text):
+                n = 1
+                while i + n < len(text) and text[i : i + n + 1] in samples[lang]:
+                    n += 1
+                count, i = count + 1, i + n
+            assert row[k] == count
+
+
+def test_language_ties_go_to_the_smallest_name():
+    model = language_id.Model({"b": b"same words", "a": b"same words"})
+    assert language_id.judge(model, ["same words", "words same"])[0] == ["a", "a"]
+
+
+@given
+def test_language_query_against_a_plain_parse(spark):
+    """Every row of the query as phrases found one after the other through the automata's own edges."""
+    d = common.table(spark, DATA, "documents")
+    model = language_id.learn(d, ~common.held_out(F.col("doc_id"), 3, 1))
+    rows = d.where("lang is not null").where(~common.held_out(F.col("doc_id"), 3, 1))
+    assert model.langs == sorted(r[0] for r in rows.select("lang").distinct().collect())
+
+    def phrases(text, table):
+        state, n = 0, 0
+        for c in text:
+            v = table[state + c]
+            n, state = n + (v < 0), v & 0x7FFFFFFF
+        return n
+
+    tables = [t.tolist() for t in model.tables]
+    got = {r.doc_id: r for r in queries.op1_language_id(spark, DATA).collect()}
+    for r in d.select("doc_id", "text").collect():
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        need = [phrases(model.classes[np.frombuffer(language_id.symbols(r.text), np.uint8)].tolist(), t) for t in tables]
+        best, second = sorted(need)[:2]
+        assert got[r.doc_id].lang_pred == model.langs[need.index(best)] and got[r.doc_id].score == pytest.approx(1 - best / second)
+
+
 @given
 def test_language_held_out(spark):
     d = common.table(spark, DATA, "documents").select("doc_id", "lang")
@@ -214,6 +322,60 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     assert {r.score for r in toxicity.score(docs(spark, AWKWARD), empty).collect()} == {0.0}
 
 
+def plain_nnpu(pos, unl, n, prior):
+    """The same training over one document at a time."""
+    import math
+
+    w, m1, m2 = [0.0] * n + [math.log(prior / (1 - prior))], [0.0] * (n + 1), [0.0] * (n + 1)
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    flipped = 0
+    for t in range(1, toxicity.STEPS + 1):
+        score = lambda d: sum(w[i] for i in d) + w[n]
+        # risk of the negatives: what the unlabelled lose as negatives without the positives' share of it
+        negatives = sum(math.log1p(math.exp(score(d))) for d in unl) / len(unl) - prior * sum(math.log1p(math.exp(score(d))) for d in pos) / len(pos)
+        flipped += negatives < 0
+        g = [0.0] * (n + 1)
+        for docs_, part, size in ((pos, "p", len(pos)), (unl, "u", len(unl))):
+            for d in docs_:
+                s = sigmoid(score(d))
+                as_positive, as_negative = (s - 1) / size, s / size
+                if part == "p":
+                    x = prior * as_positive - prior * as_negative if negatives >= 0 else prior * as_negative
+                else:
+                    x = as_negative if negatives >= 0 else -as_negative
+                for i in [*d, n]:
+                    g[i] += x
+        for i in range(n + 1):
+            grad = g[i] + (toxicity.RIDGE * w[i] if i < n else 0.0)
+            m1[i], m2[i] = 0.9 * m1[i] + 0.1 * grad, 0.999 * m2[i] + 0.001 * grad * grad
+            w[i] -= toxicity.RATE * (m1[i] / (1 - 0.9**t)) / (math.sqrt(m2[i] / (1 - 0.999**t)) + 1e-8)
+    return w, flipped
+
+
+def test_nnpu_against_plain_loops():
+    rng = random.Random(12)
+    pos = [[0, rng.randrange(1, 6)] for _ in range(8)]
+    unl = [sorted({rng.randrange(1, 6), rng.randrange(1, 6)} | ({0} if i % 9 == 0 else set())) for i in range(27)]
+    flips = 0
+    for prior in (0.1, 0.6):
+        want, flipped = plain_nnpu(pos, unl, 6, prior)
+        flips += flipped
+        assert np.allclose(toxicity.train_nnpu(pos, unl, 6, prior), want, atol=1e-6)
+    assert flips, "the corrected risk was below zero at times"
+
+
+@given
+def test_toxicity_scores_against_plain_sums(spark):
+    d, labels = common.table(spark, DATA, "documents"), common.table(spark, DATA, "labels")
+    model = toxicity.learn(d, labels, lambda k: ~common.held_out(k, 5, 0))
+    got = {r.doc_id: r for r in queries.op2_toxicity(spark, DATA).collect()}
+    for r in d.select("doc_id", "text").collect():
+        features = {f for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()) for f in toxicity.word_features(w)}
+        z = model.intercept + sum(model.weights[model.ids[f]] for f in features if f in model.ids)
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_url_rules(spark):
     hosts = ["org", "example.org", "a.example.org", "xexample.org", "com", "b.com", "", "example.org.net"]
     paths = ["", "/", "/es/x", "/en/12", "/en/2", "/fr/", "/de/1?a://b"]
@@ -305,6 +467,14 @@ def test_lzw_deferred_clear(size):
         assert (gif_media.decode(head + image + b"\x3b")[2][0].indices.ravel() == data).all()
 
 
+def test_lzw_encoder():
+    rng = np.random.default_rng(1)
+    for data in (b"", b"a", bytes(64), rng.integers(0, 256, 30_000).astype(np.uint8).tobytes(), b"repeated words " * 5000, bytes(rng.integers(97, 101, 60_000).astype(np.uint8))):
+        assert gif_media.lzw_encode(data) == lzw(list(data), 8)
+        assert gif_media.lzw_decode(gif_media.lzw_encode(data), 8, len(data)).tobytes() == data
+    assert len(gif_media.encode(b"repeated words!!" * 4000)) < 64_000 / 5
+
+
 def test_gif_frames():
     import struct
 
@@ -358,6 +528,31 @@ def test_fullest_pattern():
         assert all(got[s] <= counts[s] for s in got) and sum(s * n for s, n in got.items()) == max(x for x in sums if x <= 100)
 
 
+def test_plan_against_brute_force():
+    """Bin by bin, the longest piece left with the fullest of all combinations of the others."""
+    from itertools import product
+
+    rng = random.Random(9)
+    for _ in range(30):
+        counts = {s: rng.randint(1, 4) for s in rng.sample(range(1, 40), 5)}
+        left, fills = dict(counts), []
+        while any(left.values()):
+            longest = max(s for s, n in left.items() if n)
+            rest = left | {longest: left[longest] - 1}
+            best = max(sum(s * k for s, k in zip(rest, ks)) for ks in product(*(range(n + 1) for n in rest.values())) if sum(s * k for s, k in zip(rest, ks)) <= 50 - longest)
+            fills.append(longest + best)
+            # several combinations can be as full; the plan's own is removed
+            pattern = packing.fullest(rest, 50 - longest)
+            assert sum(s * k for s, k in pattern.items()) == best
+            for s, k in [*pattern.items(), (longest, 1)]:
+                left[s] -= k
+        got = {}
+        for s, _, n, times, seq, _ in packing.plan(counts, 50):
+            for i in range(times):
+                got[seq + i] = got.get(seq + i, 0) + s * n
+        assert sorted(got.values()) == sorted(fills)
+
+
 def test_packing(spark):
     texts = AWKWARD + [(30 + i, " ".join(["word"] * (i * 37 % 900))) for i in range(60)]
     got = packing.pack(docs(spark, texts), queries.tokenizer_path()).collect()
@@ -410,6 +605,52 @@ def test_decontamination_of_capital_sigma(spark):
         assert got == {0: (2, 2, ["7"]), 1: (4, 2, ["7"]), 2: (2, 0, []), 3: (2, 0, [])}
 
 
+CLASHING = ["_kept", "kept_id", "kept_row", "_repeat_id", "_repeat_row", "_repeats", "_lines", "__l", "__d", "__r", "__drop", "__n_lines", "_bad_id", "_bad_row", "rid", "label", "key", "n", "score", "predicted", "component_id"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that are named as the stages' own keep their values, and null, empty, repeated and very long texts their rows."""
+    line = "a line that more than one of the documents hold, word by word"
+    texts = [(1, f"{line}\nfirst"), (2, f"{line}\nsecond and other words"), (3, " ".join(f"w{i}" for i in range(40))), (4, " ".join(f"w{i}" for i in range(40)) + " end"), (5, None), (None, "no id at all"), (6, " ".join(f"b{i}" for i in range(13))), (7, ""), (8, LONG), (8, LONG)]
+    d = docs(spark, texts).select("doc_id", "text", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING))
+    bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(13)))], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(d, labels, lambda k: ~common.held_out(k, 5, 0))
+    whole = Counter(r.doc_id for r in d.collect())
+    for got, gone in ((toxicity.drop_toxic(d, model), []), (line_dedup.dedup(d), []), (ngram_join.keep_one(d), [4]), (decontamination.drop_contaminated(d, bench), [6])):
+        rows = got.collect()
+        assert got.columns == d.columns
+        assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in CLASHING)
+        assert Counter(r.doc_id for r in rows) == Counter({k: n for k, n in whole.items() if k not in gone})
+    cleaned = {r.doc_id: r.text for r in line_dedup.dedup(d).collect()}
+    assert (cleaned[1], cleaned[2], cleaned[5], cleaned[7]) == (f"{line}\nfirst", "second and other words", None, "")
+
+
+@pytest.fixture(scope="module")
+def empty_tables(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("empty"))
+    if os.path.isdir(DATA):
+        for t in ("documents", "pages", "benchmark", "labels"):
+            common.table(spark, DATA, t).limit(0).coalesce(1).write.parquet(f"{d}/{t}.parquet")
+    return d
+
+
+@given
+@pytest.mark.parametrize("name", [*sorted(queries.QUERIES), "pipeline"])
+def test_empty_tables(spark, empty_tables, name):
+    import corpus_pipeline
+
+    run = corpus_pipeline.run if name == "pipeline" else queries.QUERIES[name]
+    assert run(spark, empty_tables).count() == 0
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    df = spark.createDataFrame([(i, "x" * 100, [1, 2], None) for i in range(100)], "a long, b string, c array<long>, d struct<e:string>")
+    assert "ResolvedHint" in common.small(df)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in common.small(df, most=9_000)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in common.small(df, rows=99)._jdf.queryExecution().analyzed().toString()
+
+
 @given
 def test_pipeline(spark):
     import corpus_pipeline
@@ -424,3 +665,64 @@ def test_pipeline(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, at, DATA)
     assert last.select("doc_id").distinct().count() == at.count()
     assert Counter(r.piece for r in last.where("piece = 0").collect())[0] == at.count()
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages on a small corpus, each against plain Python on its own input."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    item = [word() for _ in range(16)]
+    line = " ".join(word() for _ in range(9))
+    texts = []
+    for i in range(60):
+        w = [word() for _ in range(rng.randint(20, 60))]
+        if i % 6 == 1:
+            w += ["vile", "awful"]
+        if i % 10 == 2:
+            w[5:5] = item
+        t = " ".join(w)
+        texts.append(t + "\n" + line if i % 4 == 0 else t)
+        if i % 5 == 3:
+            texts.append(t + " tail")
+    rows = [(i, t) for i, t in enumerate([*texts, None, "", "x"])]
+    d = str(tmp_path)
+    docs(spark, rows).coalesce(2).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, int("vile" in (t or ""))) for i, t in rows], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(5, " ".join(item))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    at = common.table(spark, d, "documents")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r.doc_id, r.text) for r in at.orderBy("doc_id").collect()] if "text" in at.columns else None
+        at = common.cut(stage(spark, at, d), "stage")
+        after = {r.doc_id: r.text for r in at.collect()} if "text" in at.columns else at.collect()
+        if name == "toxicity":
+            model = toxicity.learn(common.table(spark, d, "documents"), common.table(spark, d, "labels"), lambda k: ~common.held_out(k, 5, 0))
+            want = {k: t for k, t in before if model.score(t) < 0.5}
+            assert sum("vile" in (t or "") for t in want.values()) == 0
+        elif name == "line_dedup":
+            want = brute_lines(before)
+        elif name == "ngram_join":
+            want = {k: t for (k, t), (_, _, c) in zip(before, brute_components(before)) if c == k}
+        elif name == "decontamination":
+            windows = {tuple(item[i : i + 13]) for i in range(len(item) - 12)}
+
+            def share(t):
+                w = re.findall("[0-9a-z]+", (t or "").lower())
+                hit = {j for i in range(len(w) - 12) if tuple(w[i : i + 13]) in windows for j in range(i, i + 13)}
+                return len(hit) * 20 >= len(w) if hit else False
+
+            want = {k: t for k, t in before if not share(t)}
+        else:
+            bpe = token_counts.Bpe(token_counts.load(queries.tokenizer_path()))
+            sizes = {k: bpe.count(t) + 1 for k, t in before}
+            assert {r.doc_id: r.length for r in after} == sizes
+            bins = Counter()
+            for r in after:
+                bins[r.sequence_id] += r.length
+            assert max(bins.values()) <= 1024 and len(bins) == -(-sum(sizes.values()) // 1024)
+            break
+        assert after == want, name
+        seen.append(len(before) - len(after))
+    assert seen[0] > 0 and seen[2] > 0 and seen[3] > 0
