@@ -15,7 +15,7 @@ def write_reports(df: DataFrame, path: str) -> None:
 
 def write_clusters(df: DataFrame, path: str) -> None:
     """Members under cluster=<N>; cluster 0 holds repeats and is left out. A large cluster is several tasks' work and files."""
-    df.where("cluster > 0").hint("rebalance", "cluster").write.partitionBy("cluster").json(path)
+    df.where("cluster > 0").hint("rebalance", F.col("cluster")).write.partitionBy("cluster").json(path)
 
 
 def write_split(df: DataFrame, good: str, bad: str, error: str = "parse_error") -> None:

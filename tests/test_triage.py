@@ -128,3 +128,10 @@ def test_distances_of_reports(spark):
     members = spark.createDataFrame([(1, 1, list("abc")), (2, 1, list("abd")), (3, 2, list("xyz"))], "id long, cluster int, keys array<string>")
     got = {(r.report_id, r.cluster): r.dist for r in clustering.report_distances(members, spark.createDataFrame([(9, list("abc")), (8, list("cq"))], "report_id long, keys array<string>")).collect()}
     assert set(got) == {(9, 1), (8, 1)} and got[8, 1] == 1.0 and 0 < got[9, 1] < 0.5
+
+
+def test_clusters_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 3, f"r{i}") for i in range(30)], "cluster int, name string")
+    sinks.write_clusters(rows, str(tmp_path / "out"))
+    got = spark.read.json(str(tmp_path / "out"))
+    assert sorted(r.cluster for r in got.select("cluster").distinct().collect()) == [1, 2] and got.count() == 20
