@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 
 from ..sources.schemas import FRAME
-from . import fixed
+from . import fixed, formats
 from .strings import let, strip
 
 ZERO = "cast(0 as decimal(20,0))"
@@ -120,14 +120,12 @@ def _simple(pattern: str, make: Callable[[Callable[[int], Column]], Column], num
 
     return parse
 
-_PYTHON = r'File "(.+)", line (\d+), in (.+)'
-_AGAIN = r"^\[Previous line repeated (\d+) more times\]"
 
 
 def python_entry(entries: Column) -> Column:
     """``File "file", line N, in function``; a marker of repeats copies the frame before it as often as it says."""
-    times = F.transform(entries, lambda e: F.when(e.rlike(_AGAIN), _number(_re(e, _AGAIN)).cast("int")).otherwise(F.when(e.startswith("["), F.lit(-1)).otherwise(F.lit(1))))
-    parsed = F.transform(entries, lambda e: _parsed(frame(function=_re(e, _PYTHON, 3), file=_re(e, _PYTHON, 1), line=_number(_re(e, _PYTHON, 2))), e.rlike(_PYTHON), e))
+    times = F.transform(entries, lambda e: F.when(e.rlike(formats.PYTHON_REPEATS), _number(_re(e, formats.PYTHON_REPEATS)).cast("int")).otherwise(F.when(e.startswith("["), F.lit(-1)).otherwise(F.lit(1))))
+    parsed = F.transform(entries, lambda e: _parsed(frame(function=_re(e, formats.PYTHON_FRAME, 3), file=_re(e, formats.PYTHON_FRAME, 1), line=_number(_re(e, formats.PYTHON_FRAME, 2))), e.rlike(formats.PYTHON_FRAME), e))
     # the frame a marker refers to is the last one before it that isn't a marker
     source = F.transform(entries, lambda e, i: F.when(~e.startswith("["), i).otherwise(F.coalesce(F.array_max(F.filter(F.transform(F.slice(entries, 1, i), lambda p, k: F.when(~p.startswith("["), k)), lambda k: k.isNotNull())), F.lit(-1))))
     copies = F.transform(F.arrays_zip(times.alias("n"), source.alias("s"), entries.alias("e")), lambda x: F.when(
@@ -159,19 +157,16 @@ def _lua(entries: Column) -> Column:
 
     return F.transform(known, one)
 
-_CSHARP = (
-    r"^at (\([\S ]+?\) )?(\S+?)(?: ?(\([\S ]*?\)))?(?: <(\w+)(?: \+ (\w+))?>| \[(\w+)\])?(?: in (?:<(\p{XDigit}+)(?:#\p{XDigit}+)?>|([\S ]+)):(?:line )?(\w+))?$"
-)
 
 
 def _csharp(entries: Column) -> Column:
     def one(e: Column) -> Column:
-        g = lambda k: _re(e, _CSHARP, k)
+        g = lambda k: _re(e, formats.CSHARP_FRAME, k)
         number = lambda c: F.when(c.rlike("^0x"), hex_number(F.substring(c, 3, 64)))
         absent = lambda c: c == ""
         base, more, il = number(g(4)), number(g(5)), number(g(6))
         address = F.when(~absent(g(4)), base + F.when(absent(g(5)), F.expr(ZERO)).otherwise(more)).when(~absent(g(6)), il)
-        ok = e.rlike(_CSHARP) & ((absent(g(4)) & absent(g(6))) | (address.isNotNull() & (address < F.expr("cast(18446744073709551616 as decimal(20,0))")))) & (absent(g(9)) | _number(g(9)).isNotNull())
+        ok = e.rlike(formats.CSHARP_FRAME) & ((absent(g(4)) & absent(g(6))) | (address.isNotNull() & (address < F.expr("cast(18446744073709551616 as decimal(20,0))")))) & (absent(g(9)) | _number(g(9)).isNotNull())
         return _parsed(frame(address, F.concat(g(1), g(2), g(3)), file=F.when(~absent(g(8)), g(8)).otherwise(g(7)), line=_number(g(9))), ok, e)
 
     return F.transform(entries, one)
@@ -189,9 +184,6 @@ def _js_location(loc: Column) -> tuple[Column, Column, Column, Column]:
     ok = (loc != "") & (second.isNull() | _number(second).isNotNull()) & (third.isNull() | _number(third).isNotNull())
     return F.when(file.startswith("/"), file).otherwise("<anonymous>"), F.coalesce(_number(second), F.lit(0)), F.coalesce(_number(third), F.lit(0)), ok
 
-_JS_FULL = r"^\s*at\s+(.+?)(?:\s+(\[as.*?\])?\s*)\((.*)\)$"
-_JS_BARE = r"^\s*at\s+(.+?)(?:(?:\s+(\[as.*?\]))?\s*)$"
-_JS_EVAL = r"^\s*at eval \(eval at (?:(.+?) (?:(\[as.*?\]) )?\((.*?)\)|(.+?)), (.*?)\)$"
 
 
 def _js(entries: Column) -> Column:
@@ -200,20 +192,20 @@ def _js(entries: Column) -> Column:
 
     def one(e: Column) -> Column:
         method = lambda c: F.when(c != "", F.concat(F.lit(" "), c)).otherwise("")
-        f1, l1, c1, ok1 = _js_location(_re(e, _JS_FULL, 3))
-        full = _parsed(frame(function=F.concat(_re(e, _JS_FULL, 1), method(_re(e, _JS_FULL, 2))), file=f1, line=l1, column=c1), ok1, e)
-        f2, l2, c2, ok2 = _js_location(_re(e, _JS_BARE, 1))
-        bare = _parsed(frame(file=f2, line=l2, column=c2), ok2 & e.rlike(_JS_BARE), e)
-        caller, inner, direct = _re(e, _JS_EVAL, 1), _re(e, _JS_EVAL, 3), _re(e, _JS_EVAL, 4)
+        f1, l1, c1, ok1 = _js_location(_re(e, formats.JS_FULL, 3))
+        full = _parsed(frame(function=F.concat(_re(e, formats.JS_FULL, 1), method(_re(e, formats.JS_FULL, 2))), file=f1, line=l1, column=c1), ok1, e)
+        f2, l2, c2, ok2 = _js_location(_re(e, formats.JS_BARE, 1))
+        bare = _parsed(frame(file=f2, line=l2, column=c2), ok2 & e.rlike(formats.JS_BARE), e)
+        caller, inner, direct = _re(e, formats.JS_EVAL, 1), _re(e, formats.JS_EVAL, 3), _re(e, formats.JS_EVAL, 4)
         f3, l3, c3, ok3 = _js_location(F.when(caller != "", inner).otherwise(direct))
-        _, l4, c4, ok4 = _js_location(_re(e, _JS_EVAL, 5))
-        name = F.when(caller == "", "eval").when(caller == "<anonymous>", F.concat(F.lit("eval"), method(_re(e, _JS_EVAL, 2)))).otherwise(F.concat(F.lit("eval at "), caller, method(_re(e, _JS_EVAL, 2))))
+        _, l4, c4, ok4 = _js_location(_re(e, formats.JS_EVAL, 5))
+        name = F.when(caller == "", "eval").when(caller == "<anonymous>", F.concat(F.lit("eval"), method(_re(e, formats.JS_EVAL, 2)))).otherwise(F.concat(F.lit("eval at "), caller, method(_re(e, formats.JS_EVAL, 2))))
         nested = (caller != "") & inner.rlike("[()]")
         # evaluated text begins in line 3 of what the runtime wraps around it
         shifted = F.when(l4 >= 3, l3 + l4 - 3).otherwise(l3)
         column = F.when((l4 >= 3) & (c4 != 0), c4).otherwise(c3)
-        from_eval = F.when(nested, _parsed(frame(function=F.lit("<anonymous>")), e.rlike(_JS_EVAL), e)).otherwise(_parsed(frame(function=name, file=f3, line=shifted, column=column), e.rlike(_JS_EVAL) & ok3 & ok4, e))
-        return F.when(e.rlike(_JS_FULL) & e.startswith("at eval") & e.contains("eval at"), from_eval).when(e.rlike(_JS_FULL), full).otherwise(bare)
+        from_eval = F.when(nested, _parsed(frame(function=F.lit("<anonymous>")), e.rlike(formats.JS_EVAL), e)).otherwise(_parsed(frame(function=name, file=f3, line=shifted, column=column), e.rlike(formats.JS_EVAL) & ok3 & ok4, e))
+        return F.when(e.rlike(formats.JS_FULL) & e.startswith("at eval") & e.contains("eval at"), from_eval).when(e.rlike(formats.JS_FULL), full).otherwise(bare)
 
     return F.transform(known, one)
 
@@ -289,13 +281,12 @@ def with_modules(frames: Column, maps: Column) -> Column:
 
     return F.when(F.coalesce(F.size(maps), F.lit(0)) > 0, F.transform(F.transform(frames, hit), one)).otherwise(frames)
 
-_MAP = r"^\s*0x([0-9a-f]+)\s+0x([0-9a-f]+)\s+0x[0-9a-f]+\s+0x([0-9a-f]+)\s+(?:[rwxps-]{3,5}\s+)?(\S.*)$"
 
 
 def mappings(lines: Column) -> Column:
     """array<struct<start, stop, name>> of a debugger's table of mapped files."""
-    named = F.filter(F.coalesce(lines, F.expr("cast(array() as array<string>)")), lambda x: x.rlike(_MAP))
-    return F.transform(named, lambda x: F.struct(hex_number(_re(x, _MAP, 1)).alias("start"), hex_number(_re(x, _MAP, 2)).alias("stop"), strip(_re(x, _MAP, 4)).alias("name")))
+    named = F.filter(F.coalesce(lines, F.expr("cast(array() as array<string>)")), lambda x: x.rlike(formats.MAP_LINE))
+    return F.transform(named, lambda x: F.struct(hex_number(_re(x, formats.MAP_LINE, 1)).alias("start"), hex_number(_re(x, formats.MAP_LINE, 2)).alias("stop"), strip(_re(x, formats.MAP_LINE, 4)).alias("name")))
 
 
 def based(maps: Column) -> Column:

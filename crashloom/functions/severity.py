@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.schemas import SEVERITY
-from . import fixed
+from . import fixed, formats
 from .frames import hex_number
 from .strings import let, rstrip, strip
 
@@ -59,7 +59,7 @@ def sanitizer_class(short: Column, access: Column, null: Column) -> Column:
 
 def sanitizer_short(lines: Column) -> Column:
     """Short description of the class of a sanitizer report (array<string>)."""
-    summary = r"SUMMARY: *(AddressSanitizer|libFuzzer): ([A-Za-z_\-\(\)]+)"
+    summary = formats.SUMMARY
 
     def read(ls: Column) -> Column:
         head, found = F.get(ls, F.lit(0)), F.get(F.filter(ls, lambda x: x.rlike(summary)), F.lit(0))
@@ -80,13 +80,13 @@ def sanitizer_short(lines: Column) -> Column:
 
 def ubsan_severity(lines: Column) -> Column:
     """Class of one warning: its description is in the first line, its name in the last."""
-    text = _has(F.get(lines, F.lit(0)), r".+: runtime error: (.+)", 1)
-    short = _has(F.get(lines, F.size(lines) - 1), r"SUMMARY: UndefinedBehaviorSanitizer: ([A-Za-z_\-\(\)]+)", 1)
+    text = _has(F.get(lines, F.lit(0)), formats.UBSAN_TEXT, 1)
+    short = _has(F.get(lines, F.size(lines) - 1), formats.UBSAN_SUMMARY, 1)
     return F.when((F.size(lines) > 1) & text.isNotNull(), own_class(short, text))
 
 
 def lua_severity(exception: Column) -> Column:
-    return own_class(_has(strip(F.substring_index(exception, "\n", 1)), r"\S+:(?: .+:)? (.+)", 1), F.lit(""))
+    return own_class(_has(strip(F.substring_index(exception, "\n", 1)), formats.LUA_ERROR, 1), F.lit(""))
 
 
 def _lines(text: Column) -> Column:
@@ -95,38 +95,38 @@ def _lines(text: Column) -> Column:
 
 def cpp_exception(text: Column) -> Column:
     lines = _lines(text)
-    p = r"terminate called after throwing an instance of (.+)"
+    p = formats.CPP_ERROR
     at = F.array_position(F.transform(lines, lambda x: x.rlike(p)), True).cast("int")
     name = F.regexp_replace(F.regexp_extract(F.get(lines, at - 1), p, 1), "^'+|'+$", "")
-    return F.when(at > 0, own_class(name, strip(F.coalesce(_has(F.get(lines, at), r"what\(\): +(.+)", 1), F.lit("")))))
+    return F.when(at > 0, own_class(name, strip(F.coalesce(_has(F.get(lines, at), formats.CPP_WHAT, 1), F.lit("")))))
 
 
 def python_exception(text: Column) -> Column:
-    p = r"(\w+): (.+)"
+    p = formats.PYTHON_ERROR
     found = F.get(F.filter(F.reverse(_lines(text)), lambda x: x.rlike(p)), F.lit(0))
     return own_class(_has(found, p, 1), F.regexp_extract(found, p, 2))
 
 
 def java_exception(text: Column) -> Column:
-    p = r"(?:Caused by: |Exception in thread .*? |== Java Exception: )(?:(\S+?): )?(.+)"
+    p = formats.JAVA_ERROR
     found = F.get(F.filter(F.reverse(F.split(text, "\n", -1)), lambda x: x.rlike(p)), F.lit(0))
     name, rest = F.regexp_extract(found, p, 1), F.regexp_extract(found, p, 2)
     return F.when(found.isNotNull(), own_class(F.when(name != "", name).otherwise(rest), F.when(name != "", rest).otherwise("")))
 
 
 def go_panic(text: Column) -> Column:
-    p = r"(runtime error:|panic:|fatal error:) (.+)"
+    p = formats.GO_ERROR
     found = F.get(F.filter(_lines(text), lambda x: x.rlike(p)), F.lit(0))
     return F.when(found.isNotNull(), own_class(F.lit("GoPanic"), F.regexp_extract(found, p, 2)))
 
 
 def js_exception(text: Column) -> Column:
-    p = r"(?m)^.*?(\S*Error):(?:\s+(.*))?$"
+    p = formats.JS_ERROR
     return F.when(text.rlike(p), own_class(F.regexp_extract(text, p, 1), F.regexp_extract(text, p, 2)))
 
 
 def csharp_exception(text: Column) -> Column:
-    p = r"(?m)^Unhandled [Ee]xception(:\n|\. )([\s\S]*?)\n[ \t]*(?:at [\S ]+|--- End of inner exception stack trace ---)$"
+    p = formats.CSHARP_ERROR
     body = F.regexp_extract(text, p, 2)
     inner = F.when(F.regexp_extract(text, p, 1) == ":\n", F.element_at(F.split(body, " ---> ", -1), -1)).otherwise(F.element_at(F.split(body, "\n ---> ", -1), -1))
     at = F.instr(inner, ": ")
@@ -134,7 +134,7 @@ def csharp_exception(text: Column) -> Column:
 
 
 def rust_panic(text: Column) -> Column:
-    p = r"thread '.+?' (\(\d+\) |)panicked at (?:'(.*)'|.+?:\n(.*))"
+    p = formats.RUST_ERROR
     quoted = F.regexp_extract(text, p, 2)
     return F.when(text.rlike(p), own_class(F.lit("RustPanic"), F.when(quoted != "", quoted).otherwise(F.regexp_extract(text, p, 3))))
 

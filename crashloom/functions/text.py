@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import formats
 from .frames import PARSERS
 from .strings import let, strip
 
@@ -24,7 +25,6 @@ def without_column(line: Column) -> Column:
     """A crash line cut after its line number."""
     return F.regexp_replace(line, r"(\d+):\d+$", "$1")
 
-_HEADER = r"^(.+?):(\d+):(?:(\d+):)? runtime error: "
 
 
 def ubsan_crash_line(lines: Column) -> Column:
@@ -36,7 +36,7 @@ def ubsan_crash_line(lines: Column) -> Column:
         head = F.get(ls, F.lit(0))
         top = F.filter(F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1))), lambda x: x.startswith("    #0 "))
         return F.struct(
-            head.rlike(_HEADER).alias("known"), F.regexp_extract(head, _HEADER, 1).alias("file"), number(F.regexp_extract(head, _HEADER, 2)).alias("line"), number(F.regexp_extract(head, _HEADER, 3)).alias("column"),
+            head.rlike(formats.UBSAN_PLACE).alias("known"), F.regexp_extract(head, formats.UBSAN_PLACE, 1).alias("file"), number(F.regexp_extract(head, formats.UBSAN_PLACE, 2)).alias("line"), number(F.regexp_extract(head, formats.UBSAN_PLACE, 3)).alias("column"),
             F.get(PARSERS["asan"](F.slice(top, 1, 1)), F.lit(0)).alias("top"),
         )
 

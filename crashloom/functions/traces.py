@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import formats
 from .strings import let, rstrip, strip
 
 EMPTY = "cast(array() as array<string>)"
@@ -57,27 +58,27 @@ def python_trace(text: Column) -> Column:
     rest = part(lines, begin)
     end = last_index(rest, lambda x: x != "")
     frames = F.transform(F.reverse(F.slice(rest, F.lit(1), end)), lambda x: strip(x))
-    return F.when(begin.isNotNull(), F.filter(frames, lambda x: x.rlike(r'File ".+", line [\d]+, in .+|\[Previous line repeated (\d+) more times\]')))
+    return F.when(begin.isNotNull(), F.filter(frames, lambda x: x.rlike(formats.PYTHON_LINE)))
 
 
 def go_trace(text: Column) -> Column:
     """Pairs of lines of the running goroutine; an odd number of lines is no trace."""
     lines = split_lines(text)
-    begin = first_index(F.slice(lines, F.lit(1), F.size(lines) - 1), lambda x: x.rlike(r"goroutine [0-9]+ (?:\[running.*\]|\[syscall\]):"))
+    begin = first_index(F.slice(lines, F.lit(1), F.size(lines) - 1), lambda x: x.rlike(formats.GO_ROUTINE))
     rest = part(lines, begin + 1)
     rest = F.slice(rest, F.lit(1), F.coalesce(first_index(rest, lambda x: x == ""), F.size(rest)))
-    rest = F.slice(rest, F.lit(1), F.coalesce(first_index(rest, lambda x: x.rlike(r"==\d+== ERROR: ")), F.size(rest)))
+    rest = F.slice(rest, F.lit(1), F.coalesce(first_index(rest, lambda x: x.rlike(formats.FUZZER_ERROR)), F.size(rest)))
     pairs = F.transform(F.filter(rest, lambda x, i: i % 2 == 0), lambda x, i: F.concat(strip(x), F.lit(" in "), strip(F.get(rest, 2 * i + 1))))
     return F.when(begin.isNotNull() & (F.size(rest) % 2 == 0), pairs)
 
 
 def java_trace(text: Column) -> Column:
     """The frames of the innermost cause, with the outer causes' frames that ``... N more`` stands for."""
-    blocks = F.regexp_extract_all(text, F.lit(r"(?m)^(?:Caused by:|Exception in thread|== Java Exception:)[\s\S]*?(?:\n\s+at .*\(.*\))+(?:\n\s+\.\.\. \d+ more)?"), F.lit(0))
+    blocks = F.regexp_extract_all(text, F.lit(formats.JAVA_BLOCK), F.lit(0))
 
     def shape(b: Column) -> Column:
-        tail = F.regexp_extract(b, r"((?:\n\s+at .*\(.*\))+)(?:\n\s+\.\.\. (\d+) more)?\z", 1)
-        more = F.regexp_extract(b, r"\n\s+\.\.\. (\d+) more\z", 1)
+        tail = F.regexp_extract(b, formats.JAVA_FRAMES, 1)
+        more = F.regexp_extract(b, formats.JAVA_MORE, 1)
         return F.struct(F.filter(F.transform(F.split(tail, "\n"), lambda x: strip(x)), lambda x: x != "").alias("body"), F.coalesce(F.nullif(more, F.lit("")).cast("int"), F.lit(0)).alias("more"))
 
     shaped = F.reverse(F.transform(blocks, shape))
@@ -92,43 +93,43 @@ def java_trace(text: Column) -> Column:
 
 
 def js_trace(text: Column) -> Column:
-    block = F.regexp_extract(text, r"(?m)^(?:.*Error:[\s\S]*?|Thrown at:\n*?)((?:\n\s*at \S+.*)+)", 1)
+    block = F.regexp_extract(text, formats.JS_BLOCK, 1)
     return F.when(block != "", F.transform(F.filter(F.split(block, "\n"), lambda x: x != ""), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), " +", " ")))
 
 
 def csharp_trace(text: Column) -> Column:
-    block = F.regexp_extract(text, r"(?m)^Unhandled [Ee]xception(?::\n|\. )[\s\S]*?((?:[ \n\t]*(?:at [\S ]+|--- End of inner exception stack trace ---))+)$", 1)
+    block = F.regexp_extract(text, formats.CSHARP_BLOCK, 1)
     lines = F.transform(F.split(block, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.when(block != "", F.filter(lines, lambda x: (x != "") & (x != "--- End of inner exception stack trace ---")))
 
 
 def rust_trace(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r" *\d+: *0x[0-9a-f]+ - .*\n(?: *at .*\n)?"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(formats.RUST_FRAME), F.lit(0))
     return F.when(F.size(found) > 0, F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), "\n", " "), " +", " ")))
 
 
 def lua_exception(text: Column) -> Column:
     """The message with its traceback, up to the last traceback line; null if there is none."""
-    found = F.regexp_extract(text, r"\S+: .+\n\s*stack traceback:\s*\n[\s\S]*.+: .+", 0)
+    found = F.regexp_extract(text, formats.LUA_BLOCK, 0)
     return F.nullif(found, F.lit(""))
 
 
 def lua_trace(text: Column) -> Column:
     lines = F.transform(split_lines(text), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     begin = first_index(lines, lambda x: x.endswith("stack traceback:"))
-    return F.when(begin.isNotNull(), F.filter(part(lines, begin), lambda x: x.rlike(r".+: in .+")))
+    return F.when(begin.isNotNull(), F.filter(part(lines, begin), lambda x: x.rlike(formats.LUA_LINE)))
 
 
 def ubsan_warnings(text: Column) -> Column:
     """array<string> of the warnings in a log, each from its header to its summary."""
-    return F.regexp_extract_all(text, F.lit(r".+: runtime error: [\s\S]*?SUMMARY: UndefinedBehaviorSanitizer: .*"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(formats.UBSAN_WARNING), F.lit(0))
 
 
 def sanitizer_report(text: Column) -> Column:
     """struct<kind, lines>: from the sanitizer's header to the last line that isn't empty; kind is asan or msan."""
     lines = F.transform(split_lines(text), lambda x: rstrip(x))
-    asan = r"==\d+==\s*ERROR: (LeakSanitizer|AddressSanitizer|libFuzzer):"
-    msan = r"==\d+==\s*WARNING: MemorySanitizer:"
+    asan = formats.SANITIZER_HEAD
+    msan = formats.MSAN_HEAD
 
     def carved(ls: Column, begin: Column) -> Column:
         kind = F.when(F.get(ls, begin).rlike(asan), "asan").otherwise("msan")
@@ -144,7 +145,7 @@ def log_format(text: Column) -> Column:
 
 def python_log(stderr: Column, stdout: Column) -> Column:
     """The text that holds a Python traceback; a sanitizer's header sends the search to stdout."""
-    sanitized = stderr.rlike(r"==\d+==\s*ERROR: (LeakSanitizer|AddressSanitizer|libFuzzer):")
+    sanitized = stderr.rlike(formats.SANITIZER_HEAD)
     return F.when(sanitized & stdout.contains("Uncaught Python exception: "), stdout).when(~sanitized & stderr.contains("Traceback "), stderr)
 
 
@@ -163,7 +164,7 @@ def js_log(text: Column) -> Column:
 def csharp_log(text: Column) -> Column:
     """Lines from the unhandled exception to the last that isn't empty; null if there is none, and the log is a sanitizer's."""
     lines = split_lines(text)
-    begin = first_index(lines, lambda x: x.rlike(r"^Unhandled [Ee]xception(?:\. .*|:\s*$)"))
+    begin = first_index(lines, lambda x: x.rlike(formats.CSHARP_HEAD))
     end = last_index(lines, lambda x: x != "")
     return F.when(begin.isNotNull(), part(lines, begin, end + 1))
 
