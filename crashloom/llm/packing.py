@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .token_counts import Bpe, load
+from .token_counts import load, shared_bpe
 
 #: Rows of one length that one task ranks, in the mean.
 RANKED = 20_000
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, path: str, limit: int, end_id: int) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(shared.value, frozenset())
+        bpe = shared_bpe(shared.value, frozenset())
         for x in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(x.column(1).to_pylist()):
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, path: str, limit: int, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(row, pa.int64())), *(pa.array(v, t) for v, t in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64())))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return common.in_arrow(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], limit: int) -> dict[int, int]:

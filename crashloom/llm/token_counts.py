@@ -20,13 +20,16 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a worker remembers.
-REMEMBERED = 200_000
+from .common import in_arrow
+
+#: Pieces of at most so many characters that a worker remembers.
+REMEMBERED, LONGEST = 60_000, 48
 #: A space beside other white space; no other kinds are left in a settled text.
 _ADJACENT = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ", " \xa0", "\xa0 ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -47,6 +50,13 @@ def _ids(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def _remember(seen: dict, piece: str, value) -> None:
+    if len(piece) <= LONGEST:
+        if len(seen) >= REMEMBERED:
+            seen.clear()
+        seen[piece] = value
+
+
 class Counter(dict):
     """Pieces to their number of tokens."""
 
@@ -54,10 +64,9 @@ class Counter(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
         b = self.bpe
-        n = self[piece] = sum(1 if x in b.whole else len(b.merge(x)) for x in b.split(piece))
+        n = sum(1 if x in b.whole else len(b.merge(x)) for x in b.split(piece))
+        _remember(self, piece, n)
         return n
 
 
@@ -68,23 +77,24 @@ class Encoder(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self[piece] = _ids(self.bpe.merge(piece))
+        ids = _ids(self.bpe.merge(piece))
+        _remember(self, piece, ids)
         return ids
 
 
 class Bpe:
-    """A byte-level BPE of a tokenizers file, given as its JSON text."""
+    """A byte-level BPE of a tokenizers file, given as its JSON text.
+
+    The library's own tokenizer is made only for a text that it must see whole.
+    """
 
     def __init__(self, spec: str, whole: frozenset[str] | None = None):
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
         import public_tokenizers
 
-        self.library = Tokenizer.from_str(spec)
+        self.spec = spec
         said = json.loads(spec)
         kind = said["pre_tokenizer"]
         if said["model"]["type"] != "BPE" or kind["type"] != "ByteLevel" or kind.get("add_prefix_space") or said["normalizer"] or not kind.get("use_regex", True):
@@ -92,16 +102,22 @@ class Bpe:
         self.special = [t["content"] for t in said["added_tokens"]]
         of = _bytes_of()
         vocab = {t: i for t, i in said["model"]["vocab"].items() if t not in self.special}
-        self.vocab = {bytes(of[c] for c in t): i for t, i in vocab.items()}
-        self.merge = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.vocab, special_tokens={}).encode_ordinary
+        ranks = {bytes(of[c] for c in t): i for t, i in vocab.items()}
+        self.merge = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.whole = whole if whole is not None else self.prove_whole()
+        self.whole = whole if whole is not None else self.prove_whole(ranks)
         self.counts, self.ids = Counter(self), Encoder(self)
 
-    def prove_whole(self) -> frozenset[str]:
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.spec)
+
+    def prove_whole(self, ranks: dict[bytes, int]) -> frozenset[str]:
         """The vocabulary strings that are one pre-token and encode alone as one token."""
         out = set()
-        for raw, i in self.vocab.items():
+        for raw, i in ranks.items():
             try:
                 s = raw.decode()
             except UnicodeDecodeError:
@@ -135,6 +151,12 @@ class Bpe:
         return b"".join(map(self.ids.__getitem__, got))
 
 
+@lru_cache(maxsize=1)
+def shared_bpe(spec: str, whole: frozenset[str]) -> Bpe:
+    """One for each worker process, which serves many tasks."""
+    return Bpe(spec, whole)
+
+
 def load(path: str) -> str:
     """The tokenizer file's text; the driver reads it and executors get it by broadcast."""
     with open(path, encoding="utf-8") as f:
@@ -147,11 +169,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((spec, Bpe(spec).whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(*shared.value)
+        bpe = shared_bpe(*shared.value)
         for x in batches:
             n = [bpe.count(t) for t in x.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("_text"), F.octet_length(text).cast("long").alias("_bytes"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return in_arrow(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

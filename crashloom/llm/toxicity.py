@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, in_arrow
+
 #: Documents sampled for training, in the mean: confirmed positives and unlabelled ones.
 POSITIVES, UNLABELLED = 3000, 9000
 FEATURES = 4096
@@ -37,7 +39,7 @@ STEPS, RATE, RIDGE = 400, 0.05, 1e-3
 #: Standard errors by which a feature's document frequencies must differ.
 CLEAR = 5.0
 #: Words that a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 40_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -104,8 +106,6 @@ def learn(docs: DataFrame, labels: DataFrame, train, features: int = FEATURES) -
     rows, prior = _samples(docs, labels, train)
     if rows is None:
         return Model([], np.zeros(0), 0.0)
-    from .common import cut
-
     rows = cut(rows, "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, features: int = FEATURES) -
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([p[f] for f in names], pa.int64()), pa.array([u[f] for f in names], pa.int64())], ["f", "p", "u"])
 
     n_p, n_u = rows.agg(F.sum(F.col("p").cast("long")), F.sum(F.col("u").cast("long"))).first()
-    df = rows.select("text", "p", "u").mapInArrow(count, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    df = in_arrow(rows.select("text", "p", "u"), count, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     a, b = F.col("p") / float(max(1, n_p)), F.col("u") / float(max(1, n_u))
     both = (F.col("p") + F.col("u") + 1) / float(n_p + n_u + 2)
     z = F.abs(a - b) / F.sqrt(both * (1 - both) * (1 / max(1, n_p) + 1 / max(1, n_u)) + F.lit(1e-12))
@@ -134,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, features: int = FEATURES) -
             got = [sorted(shared.value.found(t)) for t in x.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), x.column(3), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "p", "u", "ids"])
 
-    got = sorted(rows.mapInArrow(ids, "doc_id long, p boolean, u boolean, ids array<int>").collect())
+    got = sorted(in_arrow(rows, ids, "doc_id long, p boolean, u boolean, ids array<int>").collect())
     model.weights, model.intercept = train_ensemble([r.ids for r in got if r.p], [r.ids for r in got if r.u], len(chosen), prior)
     return model
 
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{types}, score double, predicted int")
+    return in_arrow(rows, run, f"{types}, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -203,4 +203,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for x in batches:
             yield x.filter(pa.array([shared.value.score(t) < 0.5 for t in x.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
