@@ -11,7 +11,8 @@ class in a cell, so dense documents make no pairs: a complement in the same cell
 always near enough, one in a neighbour cell is if its nearest start is.
 
 Positions are code points, ends exclusive. Weak parts are what a pattern finds that has the
-strong ones as its first choices, so they don't overlap those.
+strong ones as its first choices where they begin at the same place; one that begins earlier, such as an
+endpoint with a secret in its query, can hold a strong one.
 
 Defined results: a null text is an empty one, without findings. Repeated rows get the
 same findings each.
