@@ -119,7 +119,8 @@ def may_match() -> Column:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(h, label): the hashes of the lines that are near other lines, with the least hash of their component."""
-    rows = keyed(lines(docs).where(F.col("n") >= FUZZY))
+    # each line once, however many documents hold it; copies are combined before the shuffle
+    rows = keyed(lines(docs).where(F.col("n") >= FUZZY).select("h", "n", "line").distinct())
     # one shuffle; a list matters if it holds two different lines and an own segment
     w = Window.partitionBy("key")
     rows = rows.repartition("key").withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("own", F.max("anchor").over(w)).where("low <> high and own")
@@ -127,6 +128,7 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = common.cut(found.select(F.col("id").alias("h")).distinct(), "wanted-lines")
     texts = lines(docs).select("h", "line").join(common.small(wanted), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     texts = common.cut(texts.withColumn("counts", letter_counts("line")), "line-texts")
+    common.discard(wanted)
     counts = common.small(texts.select(F.col("h").alias("id"), F.col("counts").alias("pos")))
     lists = common.cut(found.join(counts, "id").select("key", "id", "size", "pos", "anchor"), "lists")
 
@@ -161,21 +163,23 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with the texts' repeated lines removed; all rows and columns stay."""
-    return _cleaned(docs).select(*docs.columns)
+    """``docs`` with the texts' repeated lines removed; all rows and columns stay, whatever their names."""
+    return _cleaned(docs)[0].select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) for each row of ``docs``."""
-    return _cleaned(docs.select("doc_id", "text")).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
-
-
-def _cleaned(docs: DataFrame) -> DataFrame:
-    gone = common.small(repeats(docs.select("doc_id", "text"))).select(F.col("doc_id").alias("__d"), F.col("rid").alias("__r"), F.col("drop").alias("__drop"))
-    text = F.col("text").cast("string")
-    found = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__r")), "left")
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(__l) - 1), __drop), i -> __l[i]), '\n')")
-    found = found.withColumn("__l", F.split(text, "\n", -1))
-    found = found.withColumn("__n_lines", F.coalesce(F.size("__l"), F.lit(0)).cast("long")).withColumn("__n_lines", F.when(text.isNull(), 0).otherwise(F.col("__n_lines")).cast("long"))
-    found = found.withColumn("__n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long")).withColumn("__n_dropped", F.when(F.col("__drop").isNull(), 0).otherwise(F.col("__n_dropped")).cast("long"))
-    return found.withColumn("text", F.when(F.col("__drop").isNull(), text).otherwise(kept))
+    found, lines_of, drop = _cleaned(docs.select("doc_id", "text"))
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return found.select("doc_id", count(lines_of).alias("n_lines"), count(drop).alias("n_dropped"), "text")
+
+
+def _cleaned(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with clean texts and two more columns: the lines that a text had, and the numbers of those that go."""
+    d, r, drop, lines_of = common.fresh(docs, "_repeat_id", "_repeat_row", "_repeats", "_lines")
+    gone = common.small(repeats(docs.select("doc_id", "text"))).select(F.col("doc_id").alias(d), F.col("rid").alias(r), F.col("drop").alias(drop))
+    text = docs["text"].cast("string")
+    found = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(r)), "left")
+    found = found.withColumn(lines_of, F.split(text, "\n", -1))
+    kept = F.expr(f"array_join(transform(array_except(sequence(0, size(`{lines_of}`) - 1), `{drop}`), i -> `{lines_of}`[i]), '\n')")
+    return found.withColumn("text", F.when(F.col(drop).isNull(), text).otherwise(kept)), lines_of, drop
