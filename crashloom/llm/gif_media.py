@@ -2,9 +2,8 @@
 
 The decoder reads the general format: global and local palettes, code streams with
 growing code widths and clear codes, interlacing, transparency, delays and the disposal
-methods. A code stream is decoded a segment (from clear code to clear code) at a time in
-numpy: code widths depend only on the place in the segment, string lengths and
-sources follow from pointer doubling. The encoder looks for the longest known string in a dictionary, as the
+methods. A code stream is decoded a segment (from clear code to clear code) at a time: code widths depend
+only on the place in the segment, so numpy reads its codes at once, and a table gives their strings. The encoder looks for the longest known string in a dictionary, as the
 format means it, and clears the table when it is full.
 
 :func:`store` writes each document's bytes losslessly as the samples of gray frames of 64
@@ -51,10 +50,11 @@ def lzw_encode(data: bytes, code_size: int = 8) -> bytes:
     table, entry, now = {}, clear + 2, -1
     for b in data:
         key = now << 8 | b
-        if now < 0:
+        got = table.get(key)
+        if got is not None:
+            now = got
+        elif now < 0:
             now = b
-        elif key in table:
-            now = table[key]
         else:
             codes.append(now)
             if entry < 4096:
@@ -76,70 +76,65 @@ def lzw_encode(data: bytes, code_size: int = 8) -> bytes:
 
 def lzw_decode(stream: bytes, code_size: int, most: int) -> np.ndarray:
     """The indices of a code stream; decoding stops at the end code or after ``most`` indices."""
-    clear, bits = 1 << code_size, np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
+    clear, bits = 1 << code_size, 8 * len(stream)
+    raw = np.zeros(len(stream) + 3, np.uint32)
+    raw[: len(stream)] = np.frombuffer(stream, np.uint8)
+    words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16  # the 24 bits from each byte on
     widths, offsets = _widths(code_size)
-    late = np.arange(len(offsets)) * 12
-    powers = 1 << np.arange(12)
+    full, late = np.full(len(widths), 12), np.arange(len(offsets)) * 12
     out, at, total = [], 0, 0
-    while at + code_size + 1 <= len(bits) and total < most:
-        held, m, last = [], 0, clear + 1
-        while m < most - total:
-            w, places = (np.full(len(widths), 12), late) if held else (widths, offsets)
-            n = min(int(np.searchsorted(places, len(bits) - at, side="right")) - 1, len(w))
-            where = at + places[:n, None] + np.arange(12)
-            codes = ((bits[np.minimum(where, len(bits) - 1)] * (np.arange(12) < w[:n, None])) * powers).sum(axis=1)
+    while at + code_size + 1 <= bits and total < most:
+        table, w, places, last, before = None, widths, offsets, clear + 1, b""
+        while total < most:
+            n = min(int(np.searchsorted(places, bits - at, side="right")) - 1, len(w))
+            where = at + places[:n]
+            codes = words[where >> 3] >> (where & 7).astype(np.uint32) & ((1 << w[:n]) - 1).astype(np.uint32)
             stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
             k = int(stop[0]) if len(stop) else n
-            held.append(codes[:k])
-            m += k
+            if k:
+                table = _SINGLE[code_size].copy() if table is None else table
+                before, m = _strings(codes[:k].tolist(), table, before, out)
+                total += m
             if len(stop):
                 last = codes[k]
                 at += int(places[k + 1])
                 break
+            at += int(places[n])
             if n < len(w):
                 break
-            at += int(places[n])
-        if m:
-            got = _segment(np.concatenate(held), clear, most - total)
-            out.append(got)
-            total += len(got)
+            w, places = full, late
         if last == clear + 1:
             break
-    return np.concatenate(out)[:most] if out else np.empty(0, np.uint8)
+    return np.frombuffer(b"".join(out)[:most], np.uint8)
+
+
+#: The table behind a clear code: the single samples, and the places of the clear and the end code.
+_SINGLE = {size: [bytes([i]) for i in range(1 << size)] + [b"", b""] for size in range(2, 9)}
 
 
-def _segment(codes: np.ndarray, clear: int, most: int) -> np.ndarray:
-    """The indices of codes between two clear codes. Entry clear+2+i is the string of code i and the next string's first index."""
-    n = len(codes)
-    entry = codes - (clear + 2)
-    literal = codes < clear
-    if not literal[0] or (entry >= np.arange(n)).any():
+def _strings(codes: list[int], table: list[bytes], before: bytes, out: list[bytes]) -> tuple[bytes, int]:
+    """Appends the strings of ``codes`` to ``out``, and new ones to ``table``; the last string and the number of samples."""
+    begin, size, at, put, add = len(out), len(table), 0, out.append, table.append
+    if not before:
+        before, at = table[codes[0]] if codes[0] < size else b"", 1
+        put(before)
+    if len(before) == 0:
         raise ValueError("a code stream names a string that isn't in the table")
-    # length of code i: 1, or one more than that of the code its entry began with
-    parent, length = np.where(literal, -1, entry), np.ones(n, np.int64)
-    up, steps = parent.copy(), np.where(literal, 0, 1)
-    while (up >= 0).any():
-        live = up >= 0
-        steps[live] += steps[up[live]]
-        up = np.where(live, up[np.maximum(up, 0)], -1)
-    length = steps + 1
-    # only codes that begin within ``most``; strings come from earlier ones
-    n = min(n, int(np.searchsorted(np.cumsum(length), most)) + 1)
-    literal, codes, parent, length = literal[:n], codes[:n], parent[:n], length[:n]
-    start = np.append(0, np.cumsum(length))
-    total = int(start[-1])
-    owner = np.repeat(np.arange(n), length)
-    place = np.arange(total) - start[owner]
-    # an index of a copied string comes from where its entry's first code was written
-    source = np.where(literal[owner], -1, start[np.maximum(parent[owner], 0)] + place)
-    value = np.where(literal, codes, 0)[owner]
-    root = np.where(source < 0, np.arange(total), source)
-    while True:
-        nxt = root[root]
-        if (nxt == root).all():
-            break
-        root = nxt
-    return value[root][:most].astype(np.uint8)
+    free = at + 4096 - size
+    for c in codes[at:free]:
+        if c < size:
+            now = table[c]
+        elif c == size:
+            now = before + before[:1]
+        else:
+            raise ValueError("a code stream names a string that isn't in the table")
+        put(now)
+        add(before + now[:1])
+        size += 1
+        before = now
+    # with a full table nothing is new
+    out += [table[c] for c in codes[max(at, free) :]]
+    return out[-1], sum(map(len, out[begin:]))
 
 
 def _blocks(data: bytes) -> bytes:
@@ -255,8 +250,10 @@ def _compose(width: int, height: int, frames: list[Frame]) -> None:
 
 def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
     """(3, bins) counts of the red, green and blue values of the pixels that aren't transparent."""
-    solid = canvas[canvas[..., 3] > 0]
-    return np.array([np.bincount(solid[:, k] * bins >> 8 if bins > 256 else solid[:, k].astype(np.int64) * bins >> 8, minlength=bins) for k in range(3)])
+    clear = canvas[..., 3] == 0
+    solid = canvas[~clear] if clear.any() else canvas.reshape(-1, 4)
+    fold = np.arange(256) * bins >> 8
+    return np.array([np.bincount(fold, np.bincount(solid[:, k], minlength=256), bins) for k in range(3)]).astype(np.int64)
 
 
 FRAMES = "frame int, delay_ms int, disposal int, width int, height int, pixels binary, red array<long>, green array<long>, blue array<long>, error string"
