@@ -9,10 +9,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
@@ -60,6 +60,26 @@ def discard(*tables: DataFrame | None) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, title: str, total: str | None = None) -> DataFrame:
+    """``df`` with 0, 1, ... in ``order`` within each ``group``, and the size of the group as ``total``; nulls come first and are a group.
+
+    Rows are sorted by ranges into a table, in which a row's number tells its task and its place there. What a
+    task has of a group is counted and the counts of earlier tasks are added, so no task sees a whole group.
+    """
+    keys = [F.col(c) for c in (*group, *order)]
+    rows = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), title)
+    task = F.shiftrightunsigned("_at", 33)
+    held = rows.groupBy(*group, task.alias("_task")).agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), "_task", (before - F.col("_low")).alias("_move"), F.sum("_n").over(whole).alias("_all"))
+    held = small(cut(held, f"{title}-counts"))
+    on = F.shiftrightunsigned(rows["_at"], 33) == held["_task"]
+    for i, c in enumerate(group):
+        on = on & rows[c].eqNullSafe(held[f"_g{i}"])
+    return rows.join(held, on).select(*df.columns, (F.col("_at") + F.col("_move")).alias(name), *([] if total is None else [F.col("_all").alias(total)]))
+
+
 def _width(df: DataFrame) -> Column:
     """About the bytes of a row."""
     fixed, parts = 8, []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, gif_media, language_id, line_dedup, ngram_join, packing, secret_scan, token_counts, toxicity, url_rules
+from . import decontamination, gif_media, language_id, line_dedup, merkle, ngram_join, packing, secret_scan, token_counts, toxicity, url_rules
 from .common import ascii_lower, held_out, table
 
 END_ID, SEQUENCE = 2, 1024
@@ -70,7 +70,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ngram_jaccard_join, op4_url_filter, op5_secret_scan, op6_line_dedup, op7_gif_media, op8_minimum_bin_slack, op9_decontamination, op10_token_counts)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = [F.translate("text", "\n", "") if f == "text" else F.col(f) for f in merkle.FIELDS]
+    suspect = F.when(held_out(F.col("doc_id"), 2, 0), merkle.digest(*changed))
+    found = merkle.prove(docs, suspect=suspect)
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ngram_jaccard_join, op4_url_filter, op5_secret_scan, op6_line_dedup, op7_gif_media, op8_minimum_bin_slack, op9_decontamination, op10_token_counts, op11_merkle_manifest)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -162,4 +170,34 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
-ORACLE_SQL = {"op3_ngram_jaccard_join": _OP3, "op4_url_filter": _OP4, "op5_secret_scan": _OP5, "op6_line_dedup": _OP6, "op9_decontamination": _OP9}
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII text: for each byte, eight steps of a bit."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295::BIGINT)"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}::VARCHAR) || ':' || {x}, '-')" for x in (text if f == "text" else f for f in merkle.FIELDS)) + ")"
+
+
+_OP11 = rf"""
+WITH RECURSIVE d AS (SELECT *, {_leaf("text")} AS leaf, CASE WHEN {_crc32("coalesce(doc_id::VARCHAR, '')")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS seen FROM documents),
+l AS (SELECT doc_id, source, leaf, coalesce(seen, leaf) AS seen, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, seen NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+t(source, lvl, i, n, h) AS (SELECT source, 0, i, n, leaf FROM l
+    UNION ALL SELECT source, max(lvl) + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY source, i // 3, (n + 2) // 3),
+r AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, i, n, h) AS (SELECT 0, i, n, h FROM r UNION ALL SELECT max(lvl) + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY i // 3, (n + 2) // 3),
+every AS (SELECT source, true AS low, lvl, i, h, n FROM t UNION ALL SELECT NULL::VARCHAR, false, lvl, i, h, n FROM u),
+run AS (SELECT source, low, lvl, i // 3 AS j, list(h ORDER BY i) AS hs, max(n) AS n FROM every GROUP BY source, low, lvl, i // 3),
+f(doc_id, leaf, source, low, lvl, i, h, proof, top) AS (
+    SELECT doc_id, leaf, source, true, 0, i, seen, '', NULL::VARCHAR FROM l
+    UNION ALL SELECT f.doc_id, f.leaf, f.source, f.low AND run.n > 1, CASE WHEN f.low AND run.n = 1 THEN 0 ELSE f.lvl + 1 END, CASE WHEN run.n > 1 THEN f.i // 3 ELSE r.i END,
+        CASE WHEN run.n > 1 THEN sha256(array_to_string(list_concat(list_concat(run.hs[1:f.i % 3], [f.h]), run.hs[f.i % 3 + 2:]), '')) ELSE f.h END,
+        CASE WHEN run.n > 1 THEN f.proof || array_to_string(list_concat(run.hs[1:f.i % 3], run.hs[f.i % 3 + 2:]), '') ELSE f.proof END, CASE WHEN NOT f.low AND run.n = 1 THEN run.hs[1] END
+    FROM f JOIN run ON f.low = run.low AND (NOT f.low OR f.source IS NOT DISTINCT FROM run.source) AND f.lvl = run.lvl AND f.i // 3 = run.j LEFT JOIN r ON f.source IS NOT DISTINCT FROM r.source WHERE f.top IS NULL)
+SELECT doc_id, leaf, r.h AS subroot, top AS root, sha256(proof) AS proof_sha256, f.h AS folded_root, f.h = top AS verified
+FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source WHERE top IS NOT NULL
+"""
+
+ORACLE_SQL = {"op3_ngram_jaccard_join": _OP3, "op4_url_filter": _OP4, "op5_secret_scan": _OP5, "op6_line_dedup": _OP6, "op9_decontamination": _OP9, "op11_merkle_manifest": _OP11}
