@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, gif_media, language_id, line_dedup, merkle, ngram_join, packing, secret_scan, token_counts, toxicity, url_rules
+from . import conversations, decontamination, gif_media, language_id, line_dedup, merkle, ngram_join, packing, personal_data, secret_scan, token_counts, toxicity, url_rules
 from .common import ascii_lower, held_out, table
 
 END_ID, SEQUENCE = 2, 1024
@@ -78,7 +78,23 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ngram_jaccard_join, op4_url_filter, op5_secret_scan, op6_line_dedup, op7_gif_media, op8_minimum_bin_slack, op9_decontamination, op10_token_counts, op11_merkle_manifest)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    report, repaired = conversations.repair(conversations.damage(rows))
+    done = report.join(conversations.digests(repaired).withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id"))).drop("_id")
+    every = rows.select(F.col("conv_id").alias("_id")).distinct()
+    found = every.join(done, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(F.col("_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.scan(table(spark, sf_dir, "documents"))
+    counts = [personal_data.count(F.col("base"), k).alias(f"n_{k}") for k in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal_data.rendered(F.col("base")), 256).alias("base_sha256"), personal_data.rendered(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ngram_jaccard_join, op4_url_filter, op5_secret_scan, op6_line_dedup, op7_gif_media, op8_minimum_bin_slack, op9_decontamination, op10_token_counts, op11_merkle_manifest, op12_conversation_repair, op13_personal_data)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -200,4 +216,41 @@ SELECT doc_id, leaf, r.h AS subroot, top AS root, sha256(proof) AS proof_sha256,
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source WHERE top IS NOT NULL
 """
 
-ORACLE_SQL = {"op3_ngram_jaccard_join": _OP3, "op4_url_filter": _OP4, "op5_secret_scan": _OP5, "op6_line_dedup": _OP6, "op9_decontamination": _OP9, "op11_merkle_manifest": _OP11}
+_WHITE = "[\\x20\\x09-\\x0D]"
+
+
+def _repair_step(q: int) -> str:
+    """SQL for the best (cost, audit, text) from state q before a row, of those behind it in g: deleting, keeping and reroling."""
+    to = conversations.NEXT[q]
+    role = conversations.ROLES[to]
+    add = lambda cost, letter, target, line: f"CASE WHEN {{0}} THEN struct_pack(c := g[{target + 1}].c + {cost}, a := '{letter}' || g[{target + 1}].a, t := {line} || CASE WHEN g[{target + 1}].t = '' THEN '' ELSE chr(10) || g[{target + 1}].t END) END"
+    ways = [f"struct_pack(c := g[{q + 1}].c + 3, a := 'D' || g[{q + 1}].a, t := g[{q + 1}].t)", add("2 + extra", "R", to, f"'{role}:' || text").format("free")]
+    ways += [add("extra", "K", after, "role || ':' || text").format(f"free AND role[1] = '{initial}'") for initial, steps in conversations.KEEPS.items() if (after := steps.get(q)) is not None]
+    return f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+
+
+def _inserted(h: str) -> str:
+    """SQL for the best from each state if a row may be inserted first."""
+    one = lambda q: f"least({h}[{q + 1}], struct_pack(c := {h}[{conversations.NEXT[q] + 1}].c + 2, a := 'I' || {h}[{conversations.NEXT[q] + 1}].a, t := '{conversations.ROLES[conversations.NEXT[q]]}:' || CASE WHEN {h}[{conversations.NEXT[q] + 1}].t = '' THEN '' ELSE chr(10) || {h}[{conversations.NEXT[q] + 1}].t END))"
+    return "[" + ", ".join(map(one, range(4))) + "]"
+
+
+_OP12 = rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM o WHERE code <> 0),
+r AS (SELECT conv_id, turn, role, text, row_number() OVER w AS i, lead(role[1]) OVER w AS after, count(*) OVER (PARTITION BY conv_id) AS n,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN again THEN 'd' WHEN regexp_matches(text, '[^.!? 	-]{_WHITE}*\z') THEN 't' ELSE '-' END AS fault FROM r),
+x AS (SELECT *, fault NOT IN ('b', 'd') AS free, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS extra FROM f),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (after IS NOT NULL AND role[1] || after NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM x GROUP BY conv_id),
+p(conv_id, i, g) AS (
+    SELECT conv_id, n + 1, [struct_pack(c := 0, a := '', t := ''), struct_pack(c := 4, a := 'II', t := 'user:' || chr(10) || 'assistant:'), struct_pack(c := 2, a := 'I', t := 'assistant:'), struct_pack(c := 0, a := '', t := '')] FROM s
+    UNION ALL SELECT p.conv_id, p.i - 1, list_transform([[{", ".join(map(_repair_step, range(4)))}]], lambda h: list_transform([{_inserted("h")}], lambda k: {_inserted("k")})[1])[1]
+    FROM p JOIN x ON p.conv_id IS NOT DISTINCT FROM x.conv_id AND p.i - 1 = x.i)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(p.g[1].c, 0)::BIGINT AS cost, coalesce(p.g[1].a, '') AS audit, sha256(coalesce(p.g[1].t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN s ON q.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN p ON q.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = 1
+"""
+
+ORACLE_SQL = {"op3_ngram_jaccard_join": _OP3, "op4_url_filter": _OP4, "op5_secret_scan": _OP5, "op6_line_dedup": _OP6, "op9_decontamination": _OP9, "op11_merkle_manifest": _OP11, "op12_conversation_repair": _OP12}
