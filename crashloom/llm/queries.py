@@ -238,9 +238,11 @@ def _inserted(h: str) -> str:
 _OP12 = rf"""
 WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code FROM conversations),
 d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM o WHERE code <> 0),
-r AS (SELECT conv_id, turn, role, text, row_number() OVER w AS i, lead(role[1]) OVER w AS after, count(*) OVER (PARTITION BY conv_id) AS n,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN again THEN 'd' WHEN regexp_matches(text, '[^.!? 	-]{_WHITE}*\z') THEN 't' ELSE '-' END AS fault FROM r),
+r AS (SELECT conv_id, turn, role, text, row_number() OVER w AS i, lead(role[1]) OVER w AS after, count(*) OVER (PARTITION BY conv_id) AS n FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+a AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM r),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN again THEN 'd' WHEN regexp_matches(text, '[^.!? 	-
+]{_WHITE}*\z') THEN 't' ELSE '-' END AS fault FROM a),
 x AS (SELECT *, fault NOT IN ('b', 'd') AS free, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS extra FROM f),
 s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
     count(*) FILTER (after IS NOT NULL AND role[1] || after NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM x GROUP BY conv_id),
