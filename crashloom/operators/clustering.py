@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.fixed import DEPTH, THRESHOLD
 from ..functions.similarity import similarity, upper_bound
-from .graph import components, cut
+from .graph import cut, discard, roots
 
 #: The bound may be a rounding error too small.
 SLACK = 1e-9
@@ -48,56 +47,51 @@ def distances(traces: DataFrame, least: float = 0.0, id: str = "id", keys: str =
     return candidate_pairs(traces, least, id, keys).select("id_a", "id_b", (1 - similarity("ka", "kb")).alias("dist"))
 
 
-def linkage(members: list, dist: dict, threshold: float = THRESHOLD) -> list[tuple[float, tuple]]:
-    """Complete-linkage clusters of one component as (height of the last merge, members).
+def link(near: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(v, first, height, size) of the items that complete linkage merges: the first item of their cluster, the height of its last merge, its items.
 
-    Merges go by the least distance below ``threshold``, ties by the smallest members.
-    Pairs that ``dist`` doesn't hold are at distance 1.
+    ``near``: id_a < id_b, dist, with all pairs below ``threshold``; others are too far to merge. In each round every pair of
+    clusters that are each other's nearest merges: no merge brings another cluster nearer than the farther one of its halves
+    was, so such a pair merges before anything else happens to it, in whatever order merges are taken. Ties go to the smallest
+    members, as the least distance of all would. The distance of two merged clusters is the largest of all pairs across, and
+    a pair that isn't in the table is too far: an edge stays only if each half of one has an edge to each half of the other.
+
+    A round is a few joins and aggregates on the edges; no cluster or component is gathered. Merges in which each cluster waits for
+    the next one need distances that more than double each time, so rounds are few.
     """
-    n = len(members)
-    d = np.ones((n, n))
-    place = {m: i for i, m in enumerate(members)}
-    for (a, b), x in dist.items():
-        d[place[a], place[b]] = d[place[b], place[a]] = round(x, DIGITS)
-    np.fill_diagonal(d, np.inf)
-    groups, height, alive = [[m] for m in members], [0.0] * n, np.ones(n, bool)
-    while alive.sum() > 1:
-        at = int(np.argmin(d))
-        i, j = sorted(divmod(at, n))
-        if d[i, j] >= threshold:
-            break
-        height[i] = float(d[i, j])
-        groups[i] += groups[j]
-        d[i] = np.maximum(d[i], d[j])
-        d[:, i] = d[i]
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        alive[j] = False
-    return [(height[i], tuple(sorted(groups[i]))) for i in range(n) if alive[i]]
+    kind = near.schema["id_a"].dataType
+    edges = cut(near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round("dist", DIGITS).alias("d")).where(F.col("d") < threshold), "edges")
+    merges = None
+    while edges.limit(1).count():
+        key = F.struct("d", "a", "b")
+        best = edges.select(F.explode(F.array("a", "b")).alias("v"), key.alias("e")).groupBy("v").agg(F.min("e").alias("e"))
+        pairs = cut(best.groupBy("e").agg(F.count("*").alias("n")).where("n = 2").select("e.a", "e.b", "e.d"), "merges")
+        merges = pairs if merges is None else merges.union(pairs)
+        into = pairs.select(F.explode(F.array("a", "b")).alias("v"), F.col("a").alias("to"))
+        moved = edges.join(into.select(F.col("v").alias("a"), F.col("to").alias("ta")), "a", "left").join(into.select(F.col("v").alias("b"), F.col("to").alias("tb")), "b", "left")
+        halves = F.when(F.col("ta").isNull(), 1).otherwise(2) * F.when(F.col("tb").isNull(), 1).otherwise(2)
+        moved = moved.select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y"), "d", halves.alias("need")).where("x <> y")
+        across = moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("d").alias("d"), F.count("*").alias("n"), F.max("need").alias("need"))
+        last, edges = edges, cut(across.where("n = need").select("a", "b", "d"), "edges")
+        discard(last)
+    if merges is None:
+        return near.sparkSession.createDataFrame([], StructType([StructField("v", kind), StructField("first", kind), StructField("height", DoubleType()), StructField("size", LongType())]))
+    parents = roots(merges.select(F.col("b").alias("v"), F.col("a").alias("parent")))
+    clusters = merges.join(parents.select(F.col("v").alias("a"), "root"), "a", "left").groupBy(F.coalesce("root", "a").alias("first")).agg(F.max("d").alias("height"), (F.count("*") + 1).alias("size"))
+    items = parents.select("v", F.col("root").alias("first"))
+    return items.union(clusters.select(F.col("first").alias("v"), "first")).join(clusters, "first").select("v", "first", "height", "size")
 
 
 def cluster(traces: DataFrame, threshold: float = THRESHOLD, id: str = "id", keys: str = "keys") -> DataFrame:
     """(id, cluster) by complete linkage of distinct traces, numbered from 1.
 
-    Equal traces are at distance 0 and are clustered as one. Complete linkage never
-    crosses the components of the graph of distances below the threshold, so each component
-    is clustered by itself. Numbers go to single traces in order of ids and then to merged
-    clusters in the order of their last merges.
+    Equal traces are at distance 0 and are clustered as one. Numbers go to single traces in
+    order of ids and then to merged clusters in the order of their last merges.
     """
     own = traces.select(F.col(id).alias("id"), F.col(keys).alias("keys"))
     rep = cut(own.groupBy("keys").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "traces")
-    near = cut(distances(rep, 1 - threshold, "rep").where(F.col("dist") < threshold), "distances")
-    parts = components(near, "id_a", "id_b")
-    edges = near.join(parts.withColumnRenamed("v", "id_a"), "id_a").select("label", "id_a", "id_b", "dist")
-    kind = own.schema["id"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = {(a, b): x for a, b, x in zip(pdf["id_a"], pdf["id_b"], pdf["dist"])}
-        got = linkage(sorted({m for pair in found for m in pair}), found, threshold)
-        return pd.DataFrame([(m, group[0], h, len(group)) for h, group in got for m in group], columns=["rep", "first", "height", "size"])
-
-    merged = edges.groupBy("label").applyInPandas(run, f"rep {kind}, first {kind}, height double, size long")
-    shaped = rep.join(merged, "rep", "left").withColumn("first", F.coalesce("first", "rep"))
+    merged = link(distances(rep, 1 - threshold, "rep").where(F.col("dist") < threshold), threshold)
+    shaped = rep.join(merged.withColumnRenamed("v", "rep"), "rep", "left").withColumn("first", F.coalesce("first", "rep"))
     shaped = cut(shaped.withColumn("many", (F.coalesce("size", F.lit(1)) > 1) | (F.col("n") > 1)).withColumn("height", F.coalesce("height", F.lit(0.0))), "linked")
     groups = shaped.groupBy("first").agg(F.max("many").alias("many"), F.max("height").alias("height"))
     numbers = rank(groups, ["many", "height", "first"], "cluster")

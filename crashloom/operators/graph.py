@@ -25,7 +25,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/crashloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.cut_path = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`cut` that nothing reads any more."""
+    for df in tables:
+        path = None if df is None else df.__dict__.get("cut_path")
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """(v, root) for (v, parent) of a forest without its roots; paths halve in each round."""
+    now = cut(parents.select("v", F.col("parent").alias("root")), "parents")
+    while True:
+        up = now.select(F.col("v").alias("root"), F.col("root").alias("next"))
+        last, now = now, cut(now.join(up, "root", "left").select("v", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "parents")
+        discard(last)
+        if now.where("moved").limit(1).count() == 0:
+            return now.select("v", "root")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -36,12 +58,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     e = cut(e.union(e.select("y", "x")).distinct(), "edges")
-    labels = cut(e.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("v"), F.least("x", "m").alias("label")), "labels")
+    last = labels = cut(e.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("v"), F.least("x", "m").alias("label")), "labels")
     while True:
         around = e.join(labels.select(F.col("v").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("m"))
         low = labels.join(around.withColumnRenamed("x", "v"), "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jumped = low.join(labels.select(F.col("v").alias("label"), F.col("label").alias("next")), "label", "left")
         step = cut(jumped.select("v", "old", F.least("label", "next").alias("label")), "labels")
+        discard(last)
+        last = step
         if step.where("label <> old").limit(1).count() == 0:
+            discard(e)
             return step.select("v", "label")
         labels = step.select("v", "label")

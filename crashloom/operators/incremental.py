@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import THRESHOLD
 from ..functions.similarity import similarity
-from .clustering import diameters, linkage
+from .clustering import diameters, link, rank
 from .dedup import dedup_crash_lines
-from .graph import components, cut
+from .graph import cut
 
 
 def relations(members: DataFrame, new: DataFrame) -> DataFrame:
@@ -134,21 +133,11 @@ def accumulate(members: DataFrame, deviants: DataFrame, unique_lines: bool = Fal
     both = across.join(wide.select(F.col("item").alias("ia"), F.col("diameter").alias("da")), "ia", "left").join(wide.select(F.col("item").alias("ib"), F.col("diameter").alias("db")), "ib", "left")
     clusters = F.col("ia").startswith("c") & F.col("ib").startswith("c")
     both = cut(both.select("ia", "ib", F.when(clusters, F.greatest("d", F.coalesce("da", F.lit(0.0)), F.coalesce("db", F.lit(0.0)))).otherwise(F.col("d")).alias("d")).where(F.col("d") < THRESHOLD), "item-distances")
-    labels = components(both, "ia", "ib")
-    edges = both.join(labels.withColumnRenamed("v", "ia"), "ia")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = {(a, b): x for a, b, x in zip(pdf["ia"], pdf["ib"], pdf["d"])}
-        got = linkage(sorted({m for p in found for m in p}), found)
-        return pd.DataFrame([(m, g[0]) for _, g in got for m in g], columns=["item", "grp"])
-
-    grouped = edges.groupBy("label").applyInPandas(run, "item string, grp string")
+    grouped = link(both.select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"), F.col("d").alias("dist"))).select(F.col("v").alias("item"), F.col("first").alias("grp"))
     items = deviants.select(F.concat(F.lit("r"), F.col("report_id")).alias("item"), "report_id", "crashline").join(grouped, "item", "left").withColumn("grp", F.coalesce("grp", "item"))
     old = grouped.where("item like 'c%'").groupBy("grp").agg(F.min(F.substring("item", 2, 20).cast("int")).alias("old"))
     top = members.agg(F.coalesce(F.max("cluster"), F.lit(0)).alias("top"))
     named = cut(items.join(old, "grp", "left").crossJoin(F.broadcast(top)), "deviant-groups")
-    from .clustering import rank
-
     fresh = rank(named.where("old is null").groupBy("grp").agg(F.min("report_id").alias("first")), ["first"], "nth").select("grp", "nth")
     placed = named.join(fresh, "grp", "left").withColumn("cluster", F.coalesce("old", (F.col("top") + F.col("nth")).cast("int")))
     if unique_lines:
