@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -14,10 +14,29 @@ from .graph import cut, discard, roots
 
 #: The bound may be a rounding error too small.
 SLACK = 1e-9
+#: Traces of a frame that one task joins with others at a time, and members of a cluster.
+HOT, BLOCK = 4096, 64
 #: Digits of a distance that count when merges are ordered.
 DIGITS = 12
 
 
+def _weighed(t: DataFrame) -> DataFrame:
+    """(i, n, f, w): what each distinct frame of a trace (i, k) of n frames can add to a similarity at most."""
+    each = t.where("size(k) > 0").select("i", F.size("k").alias("n"), F.posexplode("k").alias("p", "f"))
+    return each.groupBy("i", "n", "f").agg(F.sum(F.exp(-DEPTH * (F.col("p") + 1))).alias("w"))
+
+
+def _rare(each: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """The frames of :func:`_weighed` traces without the most common ones that together weigh ``least`` of the trace at most."""
+    rest = F.sum("w").over(Window.partitionBy("i").orderBy(F.desc("df"), "f"))
+    return each.join(held, "f").withColumn("rest", rest).where(F.col("rest") > least * weight(F.col("n")) - SLACK)
+
+
+def weight(n: Column) -> Column:
+    """The sum of exp(-DEPTH i) over the places 1 to n."""
+    return math.exp(-DEPTH) * (1 - F.exp(-DEPTH * n)) / (1 - math.exp(-DEPTH))
+
+
 def candidate_pairs(traces: DataFrame, least: float = 0.0, id: str = "id", keys: str = "keys") -> DataFrame:
     """(id_a, id_b, ka, kb), id_a < id_b, of traces that share a frame and whose similarity may exceed ``least``.
 
@@ -25,23 +44,39 @@ def candidate_pairs(traces: DataFrame, least: float = 0.0, id: str = "id", keys:
     at place i adds at most exp(-DEPTH i) to a similarity, which is relative to the sum of these over the shorter trace. So to
     exceed ``least`` the shorter trace shares one of its frames besides any that weigh no more than ``least`` of
     its sum together: these are taken from the frames that most traces hold. The shorter one's other
-    frames are joined with all frames of the longer one.
+    frames are joined with all frames of the longer one. The traces of a frame are dealt into parts of HOT, so
+    that what joins a frame of most traces is many tasks' work.
     """
     t = traces.select(F.col(id).alias("i"), F.col(keys).alias("k")).where("size(k) > 0")
-    each = t.select("i", F.size("k").alias("n"), F.posexplode("k").alias("p", "f"))
-    each = each.groupBy("i", "n", "f").agg(F.sum(F.exp(-DEPTH * (F.col("p") + 1))).alias("w"))
-    every = each.select(F.struct("n", "i").alias("b"), "f")
-    if least > 0:
-        held = each.groupBy("f").agg(F.count("*").alias("df"))
-        total = math.exp(-DEPTH) * (1 - F.exp(-DEPTH * F.col("n"))) / (1 - math.exp(-DEPTH))
-        rest = F.sum("w").over(Window.partitionBy("i").orderBy(F.desc("df"), "f"))
-        each = each.join(held, "f").withColumn("rest", rest).where(F.col("rest") > least * total - SLACK)
-    found = each.select(F.struct("n", "i").alias("a"), "f").join(every, "f").where("a < b").select("a.i", F.col("b.i").alias("j")).distinct()
+    each = _weighed(t)
+    held = each.groupBy("f").agg(F.count("*").alias("df"))
+    parts = (F.col("df") / HOT).cast("int") + 1
+    every = each.join(held, "f").select(F.struct("n", "i").alias("b"), "f", F.pmod(F.xxhash64("i"), parts).cast("int").alias("part"))
+    offers = _rare(each, held, least) if least > 0 else each.join(held, "f")
+    offers = offers.select(F.struct("n", "i").alias("a"), "f", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    found = offers.join(every, ["f", "part"]).where("a < b").select("a.i", F.col("b.i").alias("j")).distinct()
     pairs = found.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
     pairs = pairs.join(t.select(F.col("i").alias("id_a"), F.col("k").alias("ka")), "id_a").join(t.select(F.col("i").alias("id_b"), F.col("k").alias("kb")), "id_b")
     return pairs.where(upper_bound("ka", "kb") > least - SLACK) if least > 0 else pairs
 
 
+def pairs_across(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(l, r, kl, kr, bound) of traces (l, keys) and (r, keys) whose similarity may be ``least`` or more, by the rare frames of the shorter one; bound is above the similarity."""
+    sides = [d.select(F.col(c).alias("i"), F.col("keys").alias("k")).where("size(k) > 0") for d, c in ((left, "l"), (right, "r"))]
+    x, y = map(_weighed, sides)
+    held = x.select("f").union(y.select("f")).groupBy("f").agg(F.count("*").alias("df"))
+    parts = (F.col("df") / HOT).cast("int") + 1
+
+    def joined(short: DataFrame, long: DataFrame, condition: str) -> DataFrame:
+        offers = _rare(short, held, least).select("f", F.col("i").alias("s"), F.col("n").alias("ns"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        every = long.join(held, "f").select("f", F.col("i").alias("t"), F.col("n").alias("nt"), F.pmod(F.xxhash64("i"), parts).cast("int").alias("part"))
+        return offers.join(every, ["f", "part"]).where(condition)
+
+    found = joined(x, y, "ns <= nt").select(F.col("s").alias("l"), F.col("t").alias("r")).union(joined(y, x, "ns < nt").select(F.col("t").alias("l"), F.col("s").alias("r"))).distinct()
+    met = found.join(sides[0].select(F.col("i").alias("l"), F.col("k").alias("kl")), "l").join(sides[1].select(F.col("i").alias("r"), F.col("k").alias("kr")), "r")
+    return met.withColumn("bound", upper_bound("kl", "kr")).where(F.col("bound") > least - SLACK)
+
+
 def distances(traces: DataFrame, least: float = 0.0, id: str = "id", keys: str = "keys") -> DataFrame:
     """(id_a, id_b, dist) of the candidate pairs; other pairs are at distance 1."""
     return candidate_pairs(traces, least, id, keys).select("id_a", "id_b", (1 - similarity("ka", "kb")).alias("dist"))
@@ -111,11 +146,53 @@ def rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return rows.withColumn("_i", local).join(before.select("_p", "_b"), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
 
 
-def _pairs_within(members: DataFrame) -> DataFrame:
-    """(cluster, id_a, id_b, dist) of all pairs of distinct traces in a cluster, whose members must be compared in any case."""
-    a = members.select("cluster", F.col("id").alias("id_a"), F.col("keys").alias("ka"))
-    b = members.select("cluster", F.col("id").alias("id_b"), F.col("keys").alias("kb"))
-    return a.join(b, "cluster").where("id_a < id_b").select("cluster", "id_a", "id_b", (1 - similarity("ka", "kb")).alias("dist"))
+def running(df: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the earlier rows of a row's group, in an order without ties and without gathering a group in one task."""
+    rows = cut(df.repartitionByRange(*group, *order).withColumn("_v", value).withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = rows.groupBy("_p", *group).agg(F.sum("_v").alias("_s"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_p", *group, F.coalesce(F.sum("_s").over(earlier(Window.partitionBy(*group).orderBy("_p"))), F.lit(0)).alias("_b"))
+    local = F.coalesce(F.sum("_v").over(earlier(Window.partitionBy("_p", *group).orderBy(*order))), F.lit(0))
+    return rows.withColumn("_l", local).join(before, ["_p", *group]).withColumn(name, F.col("_b") + F.col("_l")).drop("_p", "_v", "_b", "_l")
+
+
+def common_start(first: str, second: str) -> Column:
+    """How many frames two traces begin alike."""
+    shorter = f"least(size({first}), size({second}))"
+    return F.expr(f"coalesce(get(filter(sequence(1, {shorter}), i -> {first}[i - 1] <> {second}[i - 1]), 0) - 1, {shorter})")
+
+
+def _farthest(unique: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(cluster, far, id, keys): the member that is farthest from its cluster's pivot (cluster, pivot)."""
+    apart = F.when(F.arrays_overlap("keys", "pivot"), 1 - similarity("keys", "pivot")).otherwise(F.lit(1.0))
+    met = unique.join(pivots, "cluster").select("cluster", F.struct(apart.alias("far"), "id", "keys").alias("x"))
+    return met.groupBy("cluster").agg(F.max("x").alias("x")).select("cluster", "x.*")
+
+
+def _widest(unique: DataFrame) -> DataFrame:
+    """(cluster, d): the largest distance of two distinct traces of a cluster, by branch and bound.
+
+    The traces farthest from a first one, and from that one, give a distance to beat: 1 can't be beaten. Traces of
+    the other clusters in order of their frames are cut into blocks, which share a beginning. Traces that begin with the same c frames have a
+    similarity of that beginning's weight at least, so pairs of blocks, and then pairs of traces, that can't beat it are left
+    out. The blocks of a cluster are many tasks' work.
+    """
+    first = unique.groupBy("cluster").agg(F.min(F.struct("id", "keys")).alias("x"), F.count("*").alias("n")).where("n > 1")
+    one = cut(_farthest(unique, first.select("cluster", F.col("x.keys").alias("pivot"))).join(first.select("cluster", "n"), "cluster"), "pivots")
+    two = _farthest(unique, one.where("far < 1 and n > 2").select("cluster", F.col("keys").alias("pivot"))).select("cluster", F.col("far").alias("second"))
+    low = cut(one.join(two, "cluster", "left").select("cluster", "n", F.greatest("far", F.coalesce("second", F.lit(0.0))).alias("low")), "widths")
+    open_ = unique.join(low.where("low < 1 and n > 3"), "cluster").select("cluster", "keys", "id", "low")
+    dealt = cut(running(open_, ["cluster"], ["keys"], F.lit(1), "at").withColumn("block", F.expr(f"at div {BLOCK}")), "dealt")
+    ends = dealt.groupBy("cluster", "block", "low").agg(F.min("keys").alias("k1"), F.max("keys").alias("k2"), F.max(F.size("keys")).alias("size"))
+    ends = cut(ends.select("cluster", "block", "low", "size", F.slice("k1", F.lit(1), common_start("k1", "k2")).alias("start")), "blocks")
+    side = lambda x: ends.select("cluster", *(F.col(c).alias(c + x) for c in ("block", "size", "start")), *(["low"] if x == "a" else []))
+    reach = lambda same, size: 1 - weight(same) / weight(size)
+    met = side("a").join(side("b"), "cluster").where("blocka <= blockb").where(reach(common_start("starta", "startb"), F.least("sizea", "sizeb")) > F.col("low") + SLACK)
+    traces = lambda x: dealt.select("cluster", F.col("block").alias("block" + x), F.col("at").alias("at" + x), F.col("keys").alias("k" + x))
+    pairs = met.select("cluster", "blocka", "blockb", "low").join(traces("a"), ["cluster", "blocka"]).join(traces("b"), ["cluster", "blockb"]).where("ata < atb")
+    pairs = pairs.where(reach(common_start("ka", "kb"), F.least(F.size("ka"), F.size("kb"))) > F.col("low") + SLACK)
+    best = pairs.groupBy("cluster").agg(F.max(F.when(F.arrays_overlap("ka", "kb"), 1 - similarity("ka", "kb")).otherwise(F.lit(1.0))).alias("best"))
+    return low.join(best, "cluster", "left").select("cluster", F.greatest("low", F.coalesce("best", F.lit(0.0))).alias("d"))
 
 
 def distinct_members(members: DataFrame) -> DataFrame:
@@ -125,8 +202,8 @@ def distinct_members(members: DataFrame) -> DataFrame:
 
 def diameters(members: DataFrame) -> DataFrame:
     """(cluster, size, diameter): the largest distance of two members, 0 for one. ``members``: id, cluster, keys."""
-    unique = distinct_members(members)
-    wide = _pairs_within(unique).groupBy("cluster").agg(F.max("dist").alias("d"))
+    unique = cut(distinct_members(members), "members")
+    wide = _widest(unique.where("size(keys) > 0"))
     return unique.groupBy("cluster").agg(F.sum("n").alias("size")).join(wide, "cluster", "left").select("cluster", "size", F.coalesce("d", F.lit(0.0)).alias("diameter"))
 
 
@@ -174,6 +251,9 @@ def silhouettes(members: DataFrame) -> DataFrame:
 
 
 def mean_silhouette(members: DataFrame) -> DataFrame:
-    """(clusters, reports, silhouette); fewer than two clusters are an error."""
+    """(clusters, reports, silhouette); no reports and fewer than two clusters are errors."""
     got = silhouettes(members).groupBy().agg(F.count_distinct("cluster").alias("clusters"), F.count("*").alias("reports"), F.avg("silhouette").alias("silhouette"))
-    return got.withColumn("silhouette", F.when(F.col("clusters") < 2, F.raise_error(F.lit("a silhouette needs two clusters"))).otherwise(F.col("silhouette")))
+    fail = lambda text: F.raise_error(F.lit(text))
+    checked = F.when(F.col("reports") == 0, fail("a silhouette needs reports")).when(F.col("clusters") < 2, fail("a silhouette needs two clusters")).otherwise(F.col("clusters"))
+    # a filter runs whatever columns are read
+    return got.withColumn("clusters", checked.cast("long")).where("clusters >= 2")
