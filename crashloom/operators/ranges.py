@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Half of the unsigned 64-bit numbers: with it taken off, addresses are signed ones in the same order.
+HALF = str(1 << 63)
+
+
+def _signed(c: Column) -> Column:
+    return (c.cast("decimal(20,0)") - F.lit(HALF).cast("decimal(20,0)")).cast("long")
+
+
+#: The aligned intervals of lengths that are powers of two which [_lowest, _highest) is made of, as (level, cell): at each level, an odd end gives one.
+_DYADIC = """aggregate(sequence(0, 63), named_struct('l', _lowest, 'h', _highest, 'out', cast(array() as array<struct<level:int,cell:bigint>>)), (s, k) -> if(s.l >= s.h, s, named_struct(
+    'l', shiftright(s.l + (s.l & 1), 1), 'h', shiftright(s.h - (s.h & 1), 1),
+    'out', concat(s.out, if(s.l & 1 = 1, array(named_struct('level', k, 'cell', s.l)), array()), if(s.h & 1 = 1 and s.h - 1 >= s.l + (s.l & 1), array(named_struct('level', k, 'cell', s.h - 1)), array())))), s -> s.out)"""
+
+
+def dyadic(intervals: DataFrame, start: str, stop: str, level: str = "_level", cell: str = "_cell") -> DataFrame:
+    """``intervals`` with a row for each aligned interval of a power of two that makes one up, at most 126 and about twice the logarithm of its length."""
+    ends = intervals.withColumns({"_lowest": _signed(F.col(start)), "_highest": _signed(F.col(stop))}).where("_lowest < _highest")
+    return ends.withColumn("_d", F.explode(F.expr(_DYADIC))).select(*intervals.columns, F.col("_d.level").alias(level), F.col("_d.cell").alias(cell))
+
 
-def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: str, stop: str, cell: int) -> DataFrame:
-    """Pairs with start <= point < stop, by an equi-join on cells of width ``cell``.
+def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: str, stop: str, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs with start <= point < stop and equal columns ``by``, such as a program; intervals may overlap and be of any width.
 
-    An interval is listed in each cell it touches; with ``cell`` about the usual interval's length that
-    is two or three rows, and a point meets only the intervals of its own cell.
+    An interval is made of aligned cells whose lengths are powers of two. A point is in one cell of each length, so it is listed once
+    for each length that occurs (64 at most) and meets exactly the intervals that hold it, each one once: no width has to be known,
+    and a large interval is as cheap as a small one. Ends are unsigned 64-bit numbers; an interval without a length, and nulls, meet nothing.
     """
-    p = points.withColumn("_cell", F.floor(F.col(point) / cell))
-    i = intervals.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor((F.col(stop) - 1) / cell))))
-    return p.join(i, "_cell").where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(stop))).drop("_cell")
+    cells = dyadic(intervals, start, stop)
+    levels = cells.agg(F.sort_array(F.collect_set("_level")).alias("_levels"))
+    # one row of 64 numbers at most
+    listed = points.withColumn("_p", _signed(F.col(point))).where("_p is not null").join(F.broadcast(levels), F.lit(True)).withColumn("_level", F.explode("_levels"))
+    listed = listed.withColumn("_cell", F.expr("shiftright(_p, _level)")).drop("_p", "_levels")
+    return listed.join(cells, [*by, "_level", "_cell"]).drop("_level", "_cell")
 
 
 def module_offset(address: Column, start: Column) -> Column:

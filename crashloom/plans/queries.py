@@ -238,7 +238,7 @@ def module_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses within the mappings that parts stand for."""
     maps = A.table(spark, sf_dir, "part").selectExpr("p_partkey as module", "p_partkey * 1000 as start", "p_partkey * 1000 + 100 + p_partkey % 900 as stop")
     points = A.table(spark, sf_dir, "lineitem").selectExpr(*_ROW.split(", "), "l_partkey * 1000 + (l_suppkey * 37) % 1000 as address").distinct()
-    found = ranges.interval_join(points, maps, "address", "start", "stop", 1000)
+    found = ranges.interval_join(points, maps, "address", "start", "stop")
     return found.select(*_ROW.split(", "), "module", ranges.module_offset(F.col("address"), F.col("start")).alias("off"))
 
 
