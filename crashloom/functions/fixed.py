@@ -140,7 +140,6 @@ IGNORED_FUNCTIONS = {
         r"^kasan_",
         r"^fuzzer::",
         r"^libfuzzer_sys::initialize",
-        r"^main",
         r"^malloc",
         r"^mozalloc_",
         r"^new",

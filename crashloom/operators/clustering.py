@@ -159,7 +159,7 @@ def running(df: DataFrame, group: list[str], order: list[str], value: Column, na
 def common_start(first: str, second: str) -> Column:
     """How many frames two traces begin alike."""
     shorter = f"least(size({first}), size({second}))"
-    return F.expr(f"coalesce(get(filter(sequence(1, {shorter}), i -> {first}[i - 1] <> {second}[i - 1]), 0) - 1, {shorter})")
+    return F.expr(f"if({shorter} = 0, 0, coalesce(get(filter(sequence(1, {shorter}), i -> {first}[i - 1] <> {second}[i - 1]), 0) - 1, {shorter}))")
 
 
 def _farthest(unique: DataFrame, pivots: DataFrame) -> DataFrame:
