@@ -129,11 +129,11 @@ def test_relations_compare_little(spark):
     for n, k in new:
         for c in (1, 2, 3):
             held = [x for _, y, x in members if y == c]
-            dist = [1 - plain_similarity(k, x) for x in held]
+            dist = [round(1 - plain_similarity(k, x), 12) for x in held]
             stop = next((d for d in dist if d == 0 or d > 0.3), None)
             if stop == 0:
                 want[n, c] = "dup"
-            elif stop is None and max(dist) <= max(1 - plain_similarity(a, b) for a in held for b in held):
+            elif stop is None and max(dist) <= round(max(1 - plain_similarity(a, b) for a in held for b in held), 12):
                 want[n, c] = "inner"
     assert got == want and "dup" in got.values()
 
