@@ -35,7 +35,7 @@ AWKWARD = [(0, None), (1, ""), (2, "   \n\t "), (3, "a"), (4, LONG), (4, LONG),
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     df = queries.QUERIES[name](spark, DATA)
     want = con.execute(queries.ORACLE_SQL[name])
@@ -630,7 +630,7 @@ def test_stages_keep_columns_of_any_name(spark):
 def empty_tables(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
     if os.path.isdir(DATA):
-        for t in ("documents", "pages", "benchmark", "labels"):
+        for t in ("documents", "pages", "benchmark", "labels", "conversations"):
             common.table(spark, DATA, t).limit(0).coalesce(1).write.parquet(f"{d}/{t}.parquet")
     return d
 
