@@ -146,9 +146,10 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {_found("fh", "[0-9a-f]+", "length(m) >= 24")},
 {_found("fw", secret_scan.ANY, "true")},
 base AS (SELECT doc_id, b, e, 0 AS o FROM fa UNION ALL SELECT doc_id, b, e, 1 FROM fk UNION ALL SELECT doc_id, b, e, 2 FROM fh),
-weak AS (SELECT doc_id, b, e, CASE WHEN regexp_full_match(m, {_sql(secret_scan.SHORT)}) THEN 4 WHEN regexp_full_match(m, {_sql(secret_scan.ENDPOINT)}) THEN 5 ELSE 3 END AS o FROM fw
+weak AS (SELECT doc_id, b, e, CASE WHEN regexp_full_match(m, {_sql(secret_scan.SHORT)}) THEN 4 WHEN regexp_full_match(m, {_sql(secret_scan.ENDPOINT)}) THEN 5
+        WHEN regexp_full_match(m, {_sql(secret_scan.KEYED)}) THEN 6 WHEN regexp_full_match(m, {_sql(secret_scan.RUN)}) THEN CASE WHEN length(m) = {secret_scan.RUN_LENGTH} AND {" AND ".join(f"regexp_matches(m, '{p}')" for p in secret_scan.MIXED)} THEN 7 END ELSE 3 END AS o FROM fw
     WHERE NOT regexp_full_match(m, {_sql(secret_scan.ASSIGN)}) AND NOT regexp_full_match(m, {_sql(secret_scan.ACCESS)}) AND NOT regexp_full_match(m, {_sql(secret_scan.HEX)})),
-part AS (SELECT *, {_CLASS}[o + 1] AS c FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
+part AS (SELECT *, {_CLASS}[o + 1] AS c FROM (SELECT * FROM base UNION ALL SELECT * FROM weak WHERE o IS NOT NULL)),
 linked AS (SELECT DISTINCT w.doc_id, w.b, w.e, w.o FROM part w JOIN part o ON w.doc_id = o.doc_id AND abs(w.b - o.b) <= {secret_scan.SCOPE} AND ({_NEEDS}) WHERE w.o >= 3),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM linked),
 bs AS (SELECT doc_id, {_RENDER} AS r, count(*) FILTER (o = 0) AS a, count(*) FILTER (o = 1) AS k, count(*) FILTER (o = 2) AS h FROM base GROUP BY doc_id),

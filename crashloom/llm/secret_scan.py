@@ -1,8 +1,8 @@
 """Secret scans by multipart credential linking, in DataFrame functions only.
 
 Strong findings are assignments to secret-like names, access key identifiers and long
-hexadecimal runs. Weak parts alone mean little: user names, shorter hexadecimal runs
-and endpoints. An interval join looks, in scopes of ``SCOPE`` characters on either
+hexadecimal runs. Weak parts alone mean little: user names, shorter hexadecimal runs, values of other
+keys, runs of 40 letters and digits such as the secrets of access keys, and endpoints. An interval join looks, in scopes of ``SCOPE`` characters on either
 side, for the complementary part: an identifier needs a secret, a secret an identifier or
 an endpoint, an endpoint a secret. Only weak parts with a complement are reported.
 
@@ -20,6 +20,9 @@ same findings each.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,33 +34,45 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 USER = r"""(?i:user|username|login|client_id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
 SHORT = "[0-9a-f]{16,23}"
+#: Values of keys whose names ASSIGN doesn't have, and runs as long as the secrets that go with access key identifiers.
+KEYED = r"""(?i:access_?key|secret_?key|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{16,}"""
+RUN, RUN_LENGTH = "[A-Za-z0-9+/]{40,}", 40
+#: A run with all of these isn't a word or a path.
+MIXED = ["[A-Z]", "[a-z]", "[0-9]"]
 ENDPOINT = r"""(?i:https?|postgres|mysql|redis|amqp)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"""
-ANY = "|".join([ASSIGN, ACCESS, HEX, USER, SHORT, ENDPOINT])
+ANY = "|".join([ASSIGN, ACCESS, HEX, USER, KEYED, RUN, SHORT, ENDPOINT])
 #: Least length of an assigned value.
 VALUE = 6
 SCOPE = 300
 #: Kinds in the order in which spans with equal starts are listed, with their class.
-KINDS = {"assign": "secret", "access": "id", "hex": "secret", "user": "id", "short_hex": "secret", "endpoint": "endpoint"}
+KINDS = {"assign": "secret", "access": "id", "hex": "secret", "user": "id", "short_hex": "secret", "endpoint": "endpoint", "keyed": "secret", "run": "secret"}
 NEEDS = {"id": ["secret"], "secret": ["id", "endpoint"], "endpoint": ["secret"]}
 SPAN = "array<struct<start:int,ord:int,stop:int>>"
 
 
+def _running(lengths: Column) -> Column:
+    """The sums of an array's first 1, 2, ... items, of which there are some. Chunks of about the root of its size are summed first, so n items take n times that root."""
+    add = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def of_chunk(x: Column, sums: Column, k: Column, c: Column) -> Column:
+        chunk, before = F.slice(x, c * k + 1, k), add(F.slice(sums, F.lit(1), c))
+        return let(F.struct(chunk.alias("x"), before.alias("b")), lambda s: F.transform(s["x"], lambda _, j: s["b"] + add(F.slice(s["x"], F.lit(1), j + 1))))
+
+    def whole(x: Column, k: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / k).cast("int")), lambda c: add(F.slice(x, c * k + 1, k)))
+        return let(sums, lambda sums: F.flatten(F.transform(sums, lambda _, c: of_chunk(x, sums, k, c))))
+
+    return let(lengths, lambda x: let(F.ceil(F.sqrt(F.size(x))).cast("int"), lambda k: whole(x, k)))
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, text>> of the leftmost non-overlapping matches."""
+    """array<struct<start, stop, m>> of the leftmost non-overlapping matches: gaps and matches alternate, so running lengths are the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.aggregate(
-        F.arrays_zip(found.alias("m"), gaps.alias("g")),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int,m:string>>)").alias("out")),
-        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["m"])).alias("stop"), x["m"].alias("m")))).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
+    lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+    return F.when(text.rlike(pattern), F.transform(F.arrays_zip(found.alias("m"), _running(lengths).alias("stop")), lambda x: F.struct((x["stop"] - F.length(x["m"])).alias("start"), x["stop"].alias("stop"), x["m"].alias("m")))).otherwise(
+        F.expr("cast(array() as array<struct<start:int,stop:int,m:string>>)")
     )
-    return F.when(text.rlike(pattern), start).otherwise(F.expr("cast(array() as array<struct<start:int,stop:int,m:string>>)"))
 
 
 def _spans(found: Column, order: int | Column) -> Column:
@@ -70,7 +85,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("_t"), F.xxhash64(text).alias("rid"))
     value = F.regexp_extract_all(F.col("_t"), F.lit(ASSIGN), F.lit(2))
     long_enough = F.filter(F.arrays_zip(_matches(F.col("_t"), ASSIGN).alias("s"), F.when(F.col("_t").rlike(ASSIGN), value).otherwise(F.expr("cast(array() as array<string>)")).alias("v")), lambda x: F.length(x["v"]) >= VALUE)
-    weak_kind = lambda x: F.when(x["m"].rlike("^" + ASSIGN + "$") | x["m"].rlike("^" + ACCESS + "$") | x["m"].rlike("^" + HEX + "$"), -1).when(x["m"].rlike("^" + SHORT + "$"), 4).when(x["m"].rlike("^" + ENDPOINT + "$"), 5).otherwise(3)
+    weak_kind = lambda x: F.when(x["m"].rlike("^" + ASSIGN + "$") | x["m"].rlike("^" + ACCESS + "$") | x["m"].rlike("^" + HEX + "$"), -1).when(x["m"].rlike("^" + SHORT + "$"), 4).when(x["m"].rlike("^" + ENDPOINT + "$"), 5).when(x["m"].rlike("^" + KEYED + "$"), 6).when(x["m"].rlike("^" + RUN + "$"), F.when((F.length(x["m"]) == RUN_LENGTH) & reduce(and_, (x["m"].rlike(p) for p in MIXED)), 7).otherwise(-1)).otherwise(3)
     each = rows.select(
         "doc_id", "rid",
         _spans(F.transform(long_enough, lambda x: x["s"]), 0).alias("a"),

@@ -7,6 +7,7 @@ import os
 import random
 import struct
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -404,9 +405,24 @@ def test_secrets(spark):
     assert got[2].s == "" and got[3].s == ""
     assert got[4].s == "endpoint:0:19,assign:20:37"
     assert got[5].n_hex == 1
+    # the secret beside an access key identifier: bare, or as the value of a key; a path of as many letters is none, nor is a secret alone
+    access, secret = "AKIA" + "Z9" * 8, "aB3+" * 10
+    more = [(0, f"{access} {secret}"), (1, f"aws_secret_access_key = {secret[:30]} {access}"), (2, f"{access} {'usr/bin+' * 5}"), (3, f"{access} {secret}x"), (4, secret), (5, f"private_key: {secret[:20]}")]
+    assert [r.s for r in secret_scan.scan(docs(spark, more)).orderBy("doc_id").select(secret_scan.rendered(F.col("spans")).alias("s")).collect()] == ["access:0:20,run:21:61", "keyed:11:54,access:55:75", "access:0:20", "access:0:20", "", ""]
     assert secret_scan.scan(docs(spark, texts)).count() == len(texts)
 
 
+def test_secrets_of_a_text_with_many(spark):
+    """Places of thousands of matches in one text, in time that grows about as their number."""
+    took = []
+    for n in (1000, 8000, 16000):
+        began = time.time()
+        row = secret_scan.scan(docs(spark, [(1, "token=abcdef1 " * n)])).select("n_assign", "base").first()
+        took.append(time.time() - began)
+        assert row.n_assign == n and [(s.start, s.stop) for s in row.base] == [(14 * i, 14 * i + 13) for i in range(n)]
+    assert took[2] < 2 * took[1] + 1
+
+
 def lzw(data, size, deferred=False):
     """A plain encoder with the table's full growth; ``deferred``: once full, the table is used on without a clear code."""
     clear, out, table = 1 << size, [], {}
