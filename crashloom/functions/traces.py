@@ -138,15 +138,22 @@ def sanitizer_report(text: Column) -> Column:
     return let(lines, lambda ls: let(first_index(ls, lambda x: x.rlike(asan) | x.rlike(msan)), lambda begin: carved(ls, begin)))
 
 
-def log_format(text: Column) -> Column:
-    """The first of go, rust and sanitizer formats that a log holds a trace of; null if none."""
-    return F.when(go_trace(text).isNotNull(), "go").when(rust_trace(text).isNotNull(), "rust").when(sanitizer_report(text).isNotNull(), "asan")
+def log_format(text: Column, signal: Column | None = None) -> Column:
+    """How a log is analysed: as go or rust if it holds such a trace, else as its sanitizer's (asan or msan), else as the debugger's
+    if the program ended by a signal; null if none of these."""
+    found = F.when(go_trace(text).isNotNull(), "go").when(rust_trace(text).isNotNull(), "rust").otherwise(sanitizer_report(text)["kind"])
+    return found if signal is None else F.coalesce(found, F.when(signal.isNotNull() & (signal != 0), "gdb"))
 
 
 def python_log(stderr: Column, stdout: Column) -> Column:
-    """The text that holds a Python traceback; a sanitizer's header sends the search to stdout."""
+    """struct<kind, text> of a Python run: python with the text that holds the traceback, or what the sanitizer's analysis gets.
+
+    A sanitizer's header sends the search for an uncaught exception to stdout. Where there is none, or stderr holds no traceback, kind is san and
+    the text is stderr.
+    """
     sanitized = stderr.rlike(formats.SANITIZER_HEAD)
-    return F.when(sanitized & stdout.contains("Uncaught Python exception: "), stdout).when(~sanitized & stderr.contains("Traceback "), stderr)
+    own = F.when(sanitized & stdout.contains("Uncaught Python exception: "), stdout).when(~sanitized & stderr.contains("Traceback "), stderr)
+    return let(own, lambda found: F.struct(F.when(found.isNotNull(), "python").otherwise("san").alias("kind"), F.coalesce(found, stderr).alias("text")))
 
 
 def java_log(text: Column) -> Column:

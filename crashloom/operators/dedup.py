@@ -8,6 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def first_of(df: DataFrame, key: Sequence[str], order: Sequence[str], flag: str = "keep") -> DataFrame:
     """``df`` with ``flag``: whether a row is the first of its key in ``order``.
 
@@ -15,17 +26,18 @@ def first_of(df: DataFrame, key: Sequence[str], order: Sequence[str], flag: str
     shuffle, and joined back, so a key that most rows share isn't sorted in one task.
     Null keys are keys too; ``order`` must be unique within a key.
     """
-    names = [f"_k{i}" for i in range(len(key))]
-    low = df.groupBy(*(F.col(k).alias(n) for k, n in zip(key, names))).agg(F.min(F.struct(*order)).alias("_first"))
+    first, *names = free_names(df, "_first", *(f"_k{i}" for i in range(len(key))))
+    low = df.groupBy(*(F.col(k).alias(n) for k, n in zip(key, names))).agg(F.min(F.struct(*order)).alias(first))
     on = F.lit(True)
     for k, n in zip(key, names):
         on = on & df[k].eqNullSafe(F.col(n))
-    return df.join(low, on).withColumn(flag, F.struct(*order).eqNullSafe(F.col("_first"))).drop("_first", *names)
+    return df.join(low, on).withColumn(flag, F.struct(*order).eqNullSafe(F.col(first))).drop(first, *names)
 
 
 def dedup(df: DataFrame, key: Sequence[str] = ("fingerprint",), order: Sequence[str] = ("file_name",)) -> DataFrame:
     """The first row of each key."""
-    return first_of(df, key, order).where("keep").drop("keep")
+    (keep,) = free_names(df, "keep")
+    return first_of(df, key, order, keep).where(F.col(keep)).drop(keep)
 
 
 def dedup_counts(df: DataFrame, scope: str, key: str, order: Sequence[str]) -> DataFrame:
@@ -46,8 +58,9 @@ def diff(new: DataFrame, old: DataFrame, key: str = "fingerprint", name: str = "
 
 def dedup_crash_lines(df: DataFrame, cluster: str = "cluster", line: str = "crashline", order: Sequence[str] = ("file_name",)) -> DataFrame:
     """``df`` with cluster 0 for rows whose crash line an earlier row of the cluster has; empty lines are never repeats."""
-    flagged = first_of(df, (cluster, line), order)
-    return flagged.withColumn(cluster, F.when((F.col(line) != "") & ~F.col("keep"), F.lit(0)).otherwise(F.col(cluster))).drop("keep")
+    (keep,) = free_names(df, "keep")
+    flagged = first_of(df, (cluster, line), order, keep)
+    return flagged.withColumn(cluster, F.when((F.col(line) != "") & ~F.col(keep), F.lit(0)).otherwise(F.col(cluster))).drop(keep)
 
 
 def ubsan_key(line: Column) -> Column:

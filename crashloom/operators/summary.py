@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import without_column
-from .dedup import first_of
+from .dedup import first_of, free_names, ubsan_key
 
 
 def class_summary(reports: DataFrame, cluster: str = "cluster", kind: str = "class") -> DataFrame:
@@ -25,16 +25,24 @@ def similar_crashes(pairs: DataFrame) -> DataFrame:
 
 def unique_lines(reports: DataFrame, order: tuple[str, ...] = ("cluster", "file_name")) -> DataFrame:
     """The first report of each crash line (without its column) over all clusters; reports without a line stay."""
-    keyed = reports.withColumn("_line", without_column(F.col("crashline")))
-    return first_of(keyed, ("_line",), order).where("keep or _line = ''").drop("keep", "_line")
+    line, keep = free_names(reports, "_line", "keep")
+    keyed = reports.withColumn(line, without_column(F.col("crashline")))
+    return first_of(keyed, (line,), order, keep).where(F.col(keep) | (F.col(line) == "")).drop(keep, line)
+
+
+def _warning_key(warnings: DataFrame) -> Column:
+    return F.coalesce(F.nullif(ubsan_key(F.col("crashline")), F.lit("")), F.col("crashline"))
 
 
 def ubsan_dedup(warnings: DataFrame, order: tuple[str, ...] = ("input", "nth")) -> DataFrame:
     """The first warning of each file and line; warnings without a place stay."""
-    from .dedup import ubsan_key
+    key, keep = free_names(warnings, "_key", "keep")
+    return first_of(warnings.withColumn(key, _warning_key(warnings)), (key,), order, keep).where(F.col(keep)).drop(keep, key)
+
 
-    keyed = warnings.withColumn("_k", F.coalesce(F.nullif(ubsan_key(F.col("crashline")), F.lit("")), F.col("crashline")))
-    return first_of(keyed, ("_k",), order).where("keep").drop("keep", "_k")
+def ubsan_dedup_counts(warnings: DataFrame) -> DataFrame:
+    """(before, after): warnings in all, and those that a dedup leaves. Warnings of a key are counted before the shuffle."""
+    return warnings.groupBy(_warning_key(warnings).alias("key")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"), F.count("*").alias("after"))
 
 
 def run_results(outcomes: DataFrame) -> DataFrame:

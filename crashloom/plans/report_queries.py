@@ -82,6 +82,15 @@ def log_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs(spark, sf_dir).select("event_id", traces.log_format(F.col("log")).alias("format"))
 
 
+@query("""SELECT event_id, 'sanitizer' AS run, CASE WHEN event_id % 2 = 0 THEN 'asan' ELSE 'msan' END AS format FROM events
+UNION ALL SELECT event_id, 'program', CASE WHEN event_id % 8 = 2 THEN 'go' WHEN event_id % 8 = 3 THEN 'rust' WHEN event_id % 12 <> 0 THEN 'gdb' END FROM events""")
+def log_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each run is analysed: by its sanitizer's log, its language's trace, or in the debugger if a signal ended it."""
+    log = F.when(F.col("event_id") % 2 == 0, F.col("log")).otherwise(F.replace("log", F.lit("ERROR: AddressSanitizer:"), F.lit("WARNING: MemorySanitizer:")))
+    sanitized = A.sanitizer_logs(spark, sf_dir).select("event_id", F.lit("sanitizer").alias("run"), traces.log_format(log, F.lit(6)).alias("format"))
+    return sanitized.union(logs(spark, sf_dir).select("event_id", F.lit("program"), traces.log_format(F.col("log"), F.col("event_id") % 12)))
+
+
 #: Functions and files that the lists of ignored frames do or don't name.
 _NAMES = ["abort", "__asan_memcpy", "parse_it", "malloc", "scan_all", "std::process::abort", "my_malloc_user", "__libc_start_main"]
 _IGNORED = "(0, 1, 3, 5, 7)"
