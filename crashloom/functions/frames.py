@@ -314,10 +314,15 @@ def ignore_pattern(kind: dict[str, list[str]], langs: Sequence[str], more: Seque
     return "|".join(f"({x})" for x in found) or "^[^.]$"
 
 
+def to_entry(frames: Column, entry: str = fixed.FUZZ_ENTRY) -> Column:
+    """Frames down to the first one of the fuzzer's entry point."""
+    at = F.array_position(F.transform(frames, lambda f: f["function"].contains(entry)), True).cast("int")
+    return F.when(at > 0, F.slice(frames, F.lit(1), at)).otherwise(frames)
+
+
 def filtered(frames: Column, langs: Sequence[str] = fixed.CLUSTER_LANGS, functions: Sequence[str] = (), files: Sequence[str] = (), entry: str = fixed.FUZZ_ENTRY) -> Column:
     """Frames down to the fuzzer's entry point without those of runtimes; recursion is not folded yet."""
-    at = F.array_position(F.transform(frames, lambda f: f["function"].contains(entry)), True).cast("int")
-    cut = F.when(at > 0, F.slice(frames, F.lit(1), at)).otherwise(frames)
+    cut = to_entry(frames, entry)
     fn, path = ignore_pattern(fixed.IGNORED_FUNCTIONS, langs, functions), ignore_pattern(fixed.IGNORED_FILES, langs, files)
     kept = lambda text, p: (text == "") | ~text.rlike(p)
     return F.filter(cut, lambda f: kept(f["function"], fn) & kept(f["module"], path) & kept(f["debug"]["file"], path))

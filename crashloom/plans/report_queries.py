@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, frames, severity, text, traces
+from ..operators import ignored
 from ..operators import statistics as S
 from ..operators import triage
 from ..sources import sinks
@@ -107,6 +110,52 @@ def ignored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", F.size("k").cast("long").alias("n_before"), F.array_join(F.transform(kept, lambda f: f["function"]), ",").alias("kept"))
 
 
+def examples(kind: dict[str, list[str]]) -> list[str]:
+    """For each expression of the lists a name that it finds: its own text without what stands for other texts."""
+    plain = lambda p: re.sub(r"\\(.)", r"\1", re.sub(r"(?<!\\)\[[^\]]*\]", "x", re.sub(r"\(\|([^)]*)\)", r"\1", re.sub(r"\^|\$$|\.\*|(?<=\w)\?|(?<=/)\?", "", p))))
+    return sorted({plain(p) for lang in fixed.CLUSTER_LANGS for p in kind.get(lang, [])})
+
+
+_FUNCTIONS, _FILES = examples(fixed.IGNORED_FUNCTIONS), examples(fixed.IGNORED_FILES)
+
+
+def _named(names: list[str], by: str, duck: bool) -> str:
+    """SQL for a name of a list, chosen by a number: as it is, or with a letter before or behind it."""
+    text = "[" + ", ".join(map(_literal, names)) + "]" if duck else "array(" + ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names) + ")"
+    one = f"({text})[{by} % {len(names)}{' + 1' if duck else ''}]"
+    return f"concat(CASE WHEN {by} % 5 = 1 THEN 'q' ELSE '' END, {one}, CASE WHEN {by} % 7 = 2 THEN 'q' ELSE '' END)"
+
+
+_ALL = {kind: "|".join(f"({x})" for x in ignored.listed(lists, fixed.CLUSTER_LANGS)) for kind, lists in (("function", fixed.IGNORED_FUNCTIONS), ("file", fixed.IGNORED_FILES))}
+
+
+@query(f"""WITH f AS (SELECT l_orderkey AS id, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, {_named(_FUNCTIONS, "(l_partkey * 3 + l_suppkey)", True)} AS fn, CASE WHEN l_partkey % 3 = 0 THEN {_named(_FILES, "(l_partkey + l_suppkey)", True)} ELSE '/app/m.c' END AS fl FROM lineitem),
+b AS (SELECT DISTINCT fn, fl FROM f), j AS (SELECT fn, fl, NOT regexp_matches(fn, {_literal(_ALL["function"])}) AND NOT regexp_matches(fl, {_literal(_ALL["file"])}) AS stays FROM b)
+SELECT id, count(*) AS n_before, coalesce(string_agg(fn || '@' || fl, ',' ORDER BY n, p, s) FILTER (stays), '') AS kept FROM f JOIN j USING (fn, fl) GROUP BY id""")
+def ignored_by_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that are named after every expression of the ignore lists, and a letter beside it, without the ignored ones."""
+    lines = A.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{_named(_FUNCTIONS, '(l_partkey * 3 + l_suppkey)', False)} as fn", f"if(l_partkey % 3 = 0, {_named(_FILES, '(l_partkey + l_suppkey)', False)}, '/app/m.c') as fl")
+    one = "named_struct('function', x.fn, 'module', '', 'debug', named_struct('file', x.fl))"
+    t = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.expr(f"transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_suppkey, fn, fl))), x -> {one})").alias("frames"))
+    found = ignored.without_ignored(t.withColumn("n_before", F.size("frames").cast("long")))
+    return found.select("id", "n_before", F.array_join(F.transform("frames", lambda f: F.concat(f["function"], F.lit("@"), f["debug"]["file"])), ",").alias("kept"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 8 = 7 THEN 'std::runtime_error' WHEN event_id % 8 = 3 THEN 'RustPanic' ELSE ['Undefined', 'AbortSignal', 'AccessViolation', 'TrapSignal', 'BadInstruction'][event_id % 5 + 1] END AS short,
+CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id + 1 WHEN 2 THEN event_id + 2 END AS pc, CASE event_id % 4 WHEN 0 THEN event_id + 3 WHEN 1 THEN event_id + 4 WHEN 2 THEN event_id + 5 END AS sp FROM events""")
+def crash_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class that an exception or the signal gives a crash, and where its program counter and stack pointer stood, by processor."""
+    t = logs(spark, sf_dir).withColumn("signal", F.element_at(F.array(*map(F.lit, (0, 6, 11, 5, 4))), (F.col("event_id") % 5 + 1).cast("int")))
+    short = severity.overridden(severity.own_class(severity.signal_class(F.col("signal")), F.lit("")), F.col("log"))["ShortDescription"]
+    t = t.withColumn("arch", F.element_at(F.array(*map(F.lit, ("amd64", "i386", "arm64", "riscv"))), (F.col("event_id") % 4 + 1).cast("int")))
+    names = {"amd64": ("rip", "rsp"), "i386": ("eip", "esp"), "arm64": ("pc", "sp"), "riscv": ("ra", "a0")}
+    at = lambda n: (F.col("event_id") + n).cast("decimal(20,0)")
+    maps = [F.when(F.col("arch") == arch, F.create_map(F.lit(pc), at(i), F.lit(sp), at(i + 3))) for i, (arch, (pc, sp)) in enumerate(names.items())]
+    t = t.withColumn("registers", F.coalesce(*maps))
+    found = lambda f: f(F.col("arch"), F.col("registers")).cast("long")
+    return t.select("event_id", short.alias("short"), found(severity.pc_register).alias("pc"), found(severity.sp_register).alias("sp"))
+
+
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'asan' WHEN 1 THEN 'python' WHEN 2 THEN 'csharp' WHEN 3 THEN 'asan' ELSE 'gdb' END AS lang FROM events""")
 def report_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The format of a report's trace, by which of its parts are filled."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import fixed, frames
+from ..functions.strings import strip
 from .schemas import REPORT
 
 _EMPTY_TEXT = {"string": "''", "array<string>": "array()"}
@@ -52,12 +55,16 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fuzzer_crashes(spark: SparkSession, path: str) -> DataFrame:
-    """(node, name, seed_path, cmdline) of ``<node>/crashes*/id*`` with the node's command line from ``<node>/cmdline``."""
+    """(node, name, seed_path, cmdline, vanilla) of ``<node>/crashes*/id*`` with the node's command line from ``<node>/cmdline``.
+
+    A fuzzer that runs by itself has its crashes directly in the folder (vanilla): the folder is its node then. Empty files are no rows.
+    """
     seeds = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "id*").load(path).select("path")
     p = r"/([^/]+)/crashes[^/]*/(id[^/]*)$"
-    seeds = seeds.where(F.col("path").rlike(p)).select(F.regexp_extract("path", p, 1).alias("node"), F.regexp_extract("path", p, 2).alias("name"), F.col("path").alias("seed_path"))
-    lines = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="cmdline").select(F.regexp_extract("_metadata.file_path", r"/([^/]+)/cmdline$", 1).alias("node"), F.trim("value").alias("cmdline"))
-    return seeds.join(lines, "node", "left")
+    alone = F.col("path").rlike(re.escape(re.sub(r"^\w+:/*(?=/)", "", path).rstrip("/")) + r"/crashes[^/]*/id[^/]*$")
+    seeds = seeds.where(F.col("path").rlike(p)).select(F.regexp_extract("path", p, 1).alias("node"), F.regexp_extract("path", p, 2).alias("name"), F.col("path").alias("seed_path"), alone.alias("vanilla"))
+    lines = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="cmdline").select(F.regexp_extract("_metadata.file_path", r"/([^/]+)/cmdline$", 1).alias("node"), strip(F.col("value")).alias("cmdline"))
+    return seeds.join(lines, "node", "left").select("node", "name", "seed_path", "cmdline", "vanilla")
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
