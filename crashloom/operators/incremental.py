@@ -115,12 +115,12 @@ def _settled(members: DataFrame, batch: DataFrame, traces: DataFrame, related: D
         state = step
 
 
-def update(members: DataFrame, new: DataFrame, unique_lines: bool = False) -> DataFrame:
+def update(members: DataFrame, new: DataFrame, unique_lines: bool = False, top: int | None = None) -> DataFrame:
     """(report_id, outcome, cluster) of each new report.
 
     Outcomes: duplicate; added or deduplicated (by crash line) to an old cluster; deviant ones
     are clustered with the old clusters and join one (moved, removed) or form new ones
-    (new, new_removed), numbered from the largest old number on.
+    (new, new_removed), numbered from the largest old number on, or from ``top`` where ``members`` are only those of some clusters.
 
     ``members``: id, cluster, keys, crashline; ``new``: report_id (unique), keys, crashline. Reports
     are inserted in order of ids, and each one added is a member for later ones: these are dups at
@@ -143,7 +143,7 @@ def update(members: DataFrame, new: DataFrame, unique_lines: bool = False) -> Da
         old = old.union(settled.where("stays").select("report_id", "cluster").join(batch, "report_id").select(F.concat(F.lit("r"), F.col("report_id")), "cluster", "keys", "crashline"))
         done = done.union(kept.select("report_id"))
     deviants = cut(batch.join(done, "report_id", "left_anti").select("report_id", "keys", "crashline"), "deviants")
-    return out.union(accumulate(cut(old, "members"), deviants, unique_lines).select(rid, "outcome", "cluster"))
+    return out.union(accumulate(cut(old, "members"), deviants, unique_lines, top).select(rid, "outcome", "cluster"))
 
 
 def item_distances(items: DataFrame, members: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def item_distances(items: DataFrame, members: DataFrame) -> DataFrame:
     return met.select("ia", "ib", F.when(F.col("ia").startswith("c") & F.col("ib").startswith("c"), union).otherwise(F.col("d")).alias("d")).where(F.col("d") < THRESHOLD)
 
 
-def accumulate(members: DataFrame, deviants: DataFrame, unique_lines: bool = False) -> DataFrame:
+def accumulate(members: DataFrame, deviants: DataFrame, unique_lines: bool = False, top: int | None = None) -> DataFrame:
     """(report_id, outcome, cluster): deviants clustered together with whole clusters.
 
     The items are old clusters and deviant reports; two items are as far apart as the
@@ -191,8 +191,9 @@ def accumulate(members: DataFrame, deviants: DataFrame, unique_lines: bool = Fal
     grouped = link(both.select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"), F.col("d").alias("dist"))).select(F.col("v").alias("item"), F.col("first").alias("grp"))
     items = deviants.select(F.concat(F.lit("r"), F.col("report_id")).alias("item"), "report_id", "crashline").join(grouped, "item", "left").withColumn("grp", F.coalesce("grp", "item"))
     old = grouped.where("item like 'c%'").groupBy("grp").agg(F.min(F.substring("item", 2, 20).cast("int")).alias("old"))
-    top = members.agg(F.coalesce(F.max("cluster"), F.lit(0)).alias("top"))
-    named = cut(items.join(old, "grp", "left").crossJoin(F.broadcast(top)), "deviant-groups")
+    if top is None:
+        top = members.agg(F.coalesce(F.max("cluster"), F.lit(0))).first()[0]
+    named = cut(items.join(old, "grp", "left").withColumn("top", F.lit(int(top))), "deviant-groups")
     fresh = rank(named.where("old is null").groupBy("grp").agg(F.min("report_id").alias("first")), ["first"], "nth").select("grp", "nth")
     placed = named.join(fresh, "grp", "left").withColumn("cluster", F.coalesce("old", (F.col("top") + F.col("nth")).cast("int")))
     if unique_lines:

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from crashloom.operators import sarif, summary
-from crashloom.sources import reports, sinks
+from crashloom.sources import reports, sinks, snapshots
 from crashloom.streaming import accumulate
 
 TRACE = ["    #0 0x1 in parse_it /src/a.c:3:1", "    #1 0x2 in run_all /src/m.c:9"]
@@ -76,7 +76,7 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("a", list("xyz"), "f:1"), ("b", list("xyw"), "f:2"), ("c", list("mno"), "g:1")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     state = str(tmp_path / "state")
     accumulate.accumulate(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), state, str(tmp_path / "ck")).awaitTermination(120)
-    got = spark.read.parquet(state)
+    got = snapshots.read(spark, state, "members")
     assert got.count() == 3 and got.select("cluster").distinct().count() >= 2
     events = "ts timestamp, fingerprint string, class string"
     rows = [("2024-01-01 00:00:00", "p", "A"), ("2024-01-01 00:10:00", "p", "B"), ("2024-01-01 05:00:00", "q", "A")]
