@@ -52,10 +52,12 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "events").select("event_id", lang.alias("lang"), F.expr(_case(1, False)).alias("log"))
 
 
-def _by_language(makers: dict) -> Column:
+def _by_language(t: DataFrame, makers: dict, name: str) -> DataFrame:
+    """``t`` with a column made of each log by its language's maker. Each language is a branch of its own: all makers in one expression are too long to be compiled."""
     out = None
     for lang, make in makers.items():
-        out = F.when(F.col("lang") == lang, make(F.col("log"))) if out is None else out.when(F.col("lang") == lang, make(F.col("log")))
+        part = t.where(F.col("lang") == lang).withColumn(name, make(F.col("log")))
+        out = part if out is None else out.union(part)
     return out
 
 
@@ -63,7 +65,7 @@ def _by_language(makers: dict) -> Column:
 def exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The uncaught exception or panic that each log ends with."""
     makers = severity.EXCEPTIONS | {"lua": lambda c: severity.lua_severity(traces.lua_exception(c))}
-    t = logs(spark, sf_dir).withColumn("e", _by_language({x[0]: makers[x[0]] for x in LOGS}))
+    t = _by_language(logs(spark, sf_dir), {x[0]: makers[x[0]] for x in LOGS}, "e")
     return t.select("event_id", F.col("e.ShortDescription").alias("short"), F.col("e.Description").alias("description"))
 
 
@@ -75,7 +77,7 @@ def log_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         name = "gdb" if lang == "cpp" else lang
         return lambda c: frames.parse(traces.EXTRACTORS[name](c), name)
 
-    t = logs(spark, sf_dir).withColumn("p", _by_language({x[0]: parsed(x[0]) for x in LOGS}))
+    t = _by_language(logs(spark, sf_dir), {x[0]: parsed(x[0]) for x in LOGS}, "p")
     return t.select("event_id", F.size("p.frames").cast("long").alias("n_frames"), text.crash_line(F.col("p.frames")).alias("crashline"))
 
 
