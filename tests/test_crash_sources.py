@@ -69,6 +69,20 @@ def test_sql(spark):
     log = "a.c:1:2: runtime error: x\nSUMMARY: UndefinedBehaviorSanitizer: y\nnoise\nb.c:1:2: runtime error: x\nSUMMARY: UndefinedBehaviorSanitizer: y"
     assert spark.createDataFrame([(log,)], "t string").createOrReplaceTempView("logs") is None
     assert spark.sql("SELECT w.nth FROM logs, LATERAL crash_ubsan_warnings(t) w").count() == 2
+    assert [tuple(r) for r in spark.sql("SELECT w.nth, w.warning, crash_ubsan_count(t) AS n FROM logs, LATERAL crash_ubsan_warnings(t) w ORDER BY 1").collect()] == [(0, log.split("\nnoise")[0], 2), (1, log.split("noise\n")[1], 2)]
+    assert [r.frame for r in spark.sql("SELECT frame FROM crash_frames(array('f', 'g')) ORDER BY nth").collect()] == ["f", "g"]
+    assert "Python" not in spark.sql("SELECT w.nth FROM logs, LATERAL crash_ubsan_warnings(t) w")._jdf.queryExecution().toString()
+
+
+def test_report_views(spark, tmp_path):
+    from crashloom import sql
+
+    sql.register(spark)
+    sql.report_views(spark, folder(tmp_path), "crashes")
+    rows = spark.sql("SELECT crash_line, count(*) AS n, max(crash_similarity(keys, keys)) AS s FROM crashes WHERE parse_error IS NULL GROUP BY 1").collect()
+    assert [tuple(r) for r in rows] == [("/src/a.c:3:1", 2, 1.0)]
+    frames = spark.sql("SELECT nth, function, file, line FROM crashes_frames WHERE file_path LIKE '%1.casrep' ORDER BY nth").collect()
+    assert [tuple(r) for r in frames] == [(0, "parse_it", "/src/a.c", 3), (1, "run_all", "/src/m.c", 9)]
 
 
 def test_streams(spark, tmp_path):
