@@ -181,6 +181,8 @@ def _widest(unique: DataFrame) -> DataFrame:
     one = cut(_farthest(unique, first.select("cluster", F.col("x.keys").alias("pivot"))).join(first.select("cluster", "n"), "cluster"), "pivots")
     two = _farthest(unique, one.where("far < 1 and n > 2").select("cluster", F.col("keys").alias("pivot"))).select("cluster", F.col("far").alias("second"))
     low = cut(one.join(two, "cluster", "left").select("cluster", "n", F.greatest("far", F.coalesce("second", F.lit(0.0))).alias("low")), "widths")
+    if low.where("low < 1 and n > 3").limit(1).count() == 0:
+        return low.select("cluster", F.col("low").alias("d"))
     open_ = unique.join(low.where("low < 1 and n > 3"), "cluster").select("cluster", "keys", "id", "low")
     dealt = cut(running(open_, ["cluster"], ["keys"], F.lit(1), "at").withColumn("block", F.expr(f"at div {BLOCK}")), "dealt")
     ends = dealt.groupBy("cluster", "block", "low").agg(F.min("keys").alias("k1"), F.max("keys").alias("k2"), F.max(F.size("keys")).alias("size"))

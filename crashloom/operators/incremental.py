@@ -50,7 +50,8 @@ def relations(members: DataFrame, new: DataFrame) -> DataFrame:
     key = ["report_id", "cluster"]
     seen = near.groupBy(*key, "size").agg(F.count("*").alias("n"), F.max("dist").alias("widest"), F.min(F.when(F.col("dist") == 0, F.col("nth"))).alias("dup")).join(_unbroken(near, key, "nth", "unbroken"), key)
     seen = cut(seen.withColumn("full", F.col("n") == F.col("size")), "seen")
-    wide = diameters(members.join(seen.where("full and dup is null").select("cluster").distinct(), "cluster", "left_semi")).select("cluster", "diameter")
+    full = seen.where("full and dup is null").select("cluster").distinct()
+    wide = diameters(members.join(full, "cluster", "left_semi")).select("cluster", "diameter")
     dup = F.coalesce(F.col("dup") <= F.col("unbroken"), F.lit(False))
     kind = F.when(dup, "dup").when(F.col("full") & (F.col("diameter") >= F.col("widest")), "inner").otherwise("outer")
     return seen.join(wide, "cluster", "left").select(*key, kind.alias("kind"), F.when(kind == "inner", F.col("diameter")).alias("measure"), "diameter", (F.col("full") & F.col("dup").isNull()).alias("open"))
@@ -166,12 +167,17 @@ def item_distances(items: DataFrame, members: DataFrame) -> DataFrame:
         return spread(spread(pairs, "a"), "b").join(traces("a"), ["ia", "ba"]).join(traces("b"), ["ib", "bb"])
 
     large = close.where("na * nb > 1").drop("d")
+    if large.limit(1).count() == 0:
+        # each item is one trace, so no cluster is wide
+        return close.select("ia", "ib", "d")
     far = across(large).where(upper_bound("ka", "kb") <= 1 - THRESHOLD - SLACK).select("ia", "ib").distinct()
     left = cut(large.join(far, ["ia", "ib"], "left_anti"), "open-items")
     exact = across(left).groupBy("ia", "ib").agg(F.max(F.when(F.arrays_overlap("ka", "kb"), 1 - similarity("ka", "kb")).otherwise(F.lit(1.0))).alias("d")).where(F.col("d") < THRESHOLD)
     both = cut(close.where("na * nb = 1").select("ia", "ib", "d").union(exact), "near-items")
     # two clusters are as far apart as their union is wide; a report only counts its distances
     clusters = both.where("ia like 'c%' and ib like 'c%'").select(F.explode(F.array("ia", "ib")).alias("item")).distinct()
+    if clusters.limit(1).count() == 0:
+        return both
     wide = diameters(members.withColumn("item", F.concat(F.lit("c"), F.col("cluster"))).join(clusters, "item", "left_semi").drop("item")).select(F.concat(F.lit("c"), F.col("cluster")).alias("item"), "diameter")
     met = both.join(wide.select(F.col("item").alias("ia"), F.col("diameter").alias("da")), "ia", "left").join(wide.select(F.col("item").alias("ib"), F.col("diameter").alias("db")), "ib", "left")
     union = F.greatest("d", F.coalesce("da", F.lit(0.0)), F.coalesce("db", F.lit(0.0)))
