@@ -235,7 +235,7 @@ def silhouettes(members: DataFrame) -> DataFrame:
     sizes = unique.groupBy("cluster").agg(F.sum("n").alias("size"))
     clusters = unique.agg(F.count_distinct("cluster")).first()[0]
     u = unique.withColumn("uid", F.struct("cluster", "id"))
-    pairs = candidate_pairs(u, 0.0, "uid", "keys").select("id_a", "id_b", similarity("ka", "kb").alias("s"))
+    pairs = cut(candidate_pairs(u, 0.0, "uid", "keys").select("id_a", "id_b", similarity("ka", "kb").alias("s")), "similarities")
     both = pairs.union(pairs.select("id_b", "id_a", "s"))
     both = both.select(F.col("id_a").alias("uid"), F.col("id_b").alias("other"), "s")
     weighted = both.join(u.select(F.col("uid").alias("other"), "n"), "other").groupBy("uid", F.col("other.cluster").alias("oc")).agg(F.sum(F.col("s") * F.col("n")).alias("s"))
