@@ -43,7 +43,7 @@ DIGITS = {"card": (16, 19), "phone": (8, 15)}
 #: Letters of other scripts that look like Latin ones, and the Latin ones.
 LOOKALIKES = ("АВЕЅІЈКМНОРСТХУԚԜаеѕіјорсхуԁԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν", "ABESIJKMHOPCTXYQWaesijopcxydqwhABEZHIKMNOPTYXoav")
 #: Characters that don't show.
-INVISIBLE = "­᠎​‌‍⁠﻿"
+INVISIBLE = "\u00ad\u180e\u200b\u200c\u200d\u2060\ufeff"
 #: Spelled digits.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
