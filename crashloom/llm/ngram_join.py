@@ -36,7 +36,6 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,21 +193,21 @@ def histogram(mixed: np.ndarray) -> bytes:
     return np.minimum(np.bincount((mixed >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-@F.pandas_udf(BooleanType())
-def _cells_allow(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+@F.arrow_udf(BooleanType())
+def _cells_allow(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
     """Whether the histograms leave room for enough overlap: the sets differ at least as much as their cells."""
-    la, lb = a.map(len).to_numpy(), b.map(len).to_numpy()
+    la, lb = (np.array([len(v) for v in x.to_pylist()], np.int64) for x in (a, b))
     out = np.zeros(len(a), bool)
-    room = (DEN - NUM) * (n + m).to_numpy()
+    room = (DEN - NUM) * (n.to_numpy(zero_copy_only=False) + m.to_numpy(zero_copy_only=False))
     for x, y in {*zip(la.tolist(), lb.tolist())}:
         at = np.flatnonzero((la == x) & (lb == y))
         k = min(x, y)
         # a count that is held at 255 may be higher: it allows any difference upwards
-        p, q = (np.frombuffer(b"".join(v.iloc[at]), np.uint8).astype(np.int64).reshape(len(at), k, -1) for v in (a, b))
+        p, q = (np.frombuffer(b"".join(v.take(pa.array(at)).to_pylist()), np.uint8).astype(np.int64).reshape(len(at), k, -1) for v in (a, b))
         held = (p == 255).any(axis=2) | (q == 255).any(axis=2)
         apart = np.where(held, 0, np.abs(p.sum(axis=2) - q.sum(axis=2))).sum(axis=1)
         out[at] = (DEN + NUM) * apart <= room[at]
-    return pd.Series(out)
+    return pa.array(out)
 
 
 def may_match() -> Column:

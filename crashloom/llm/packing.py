@@ -116,8 +116,9 @@ def pack(docs: DataFrame, path: str, limit: int = 1024, end_id: int = 2) -> Data
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     sums = common.cut(sums.withColumn("before", F.coalesce(before, F.lit(0))), "ranks")
     counts = {r[0]: r[1] for r in sums.groupBy("length").agg(F.sum("n")).collect()}
-    schema = "length long, low long, copies long, times long, seq long, base long"
-    patterns = spark.createDataFrame(plan(counts, limit), schema)
+    # as an Arrow table, as rows of a list would start further Python workers on each executor
+    planned = np.array(plan(counts, limit), np.int64).reshape(-1, 6)
+    patterns = spark.createDataFrame(pa.table({c: planned[:, i] for i, c in enumerate(("length", "low", "copies", "times", "seq", "base"))}))
     local = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = rows.withColumn("_i", local).join(common.small(sums.select("length", "_b", "before")), ["length", "_b"]).withColumn("_r", F.col("before") + F.col("_i") - 1)
     # at most a row for each length and pattern: its size is bounded by the sequence length, not by the data

@@ -16,8 +16,8 @@ _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _PLACE = _rng.integers(1, 2**63, 1 << 12, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-#: Bytes of text that are hashed at a time; a longer text is hashed alone.
-CHUNK = 1 << 20
+#: Bytes of text that are hashed at a time, each of which takes some 80 bytes meanwhile; a longer text is hashed alone.
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -6,8 +6,11 @@ import hashlib
 import os
 import random
 import struct
+import subprocess
+import sys
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -105,6 +108,36 @@ def test_ngram_join(spark):
     assert kept == {d for d, _, c in got if d == c}
 
 
+def test_shingles_need_little_memory():
+    texts = pa.array([" ".join(f"w{i * k}" for i in range(1500)) for k in range(1, 301)])
+    tracemalloc.start()
+    sizes = [len(s) for s in shingles.shingle_sets(texts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [1496] * 300 and peak < 24 << 20
+
+
+def test_ngram_join_needs_no_pandas():
+    root = os.path.dirname(os.path.dirname(common.__file__)) + "/.."
+    said = "import sys; from crashloom.llm import ngram_join; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-B", "-c", said], cwd=root).returncode == 0
+
+
+def test_cells_allow_what_links(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (5, 40, 700, 9000):
+        a = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for keep in (n, n - n // 10, n // 2):
+            b = np.concatenate([a[:keep], rng.integers(0, 2**64, n - keep, dtype=np.uint64)])
+            rows.append((ngram_join.histogram(a), ngram_join.histogram(b), n, n, keep))
+        rows.append((ngram_join.histogram(a), ngram_join.histogram(a[: n - n // 10]), n, n - n // 10, n - n // 10))
+    got = spark.createDataFrame(rows, "a binary, b binary, n long, m long, keep long").withColumn("ok", ngram_join._cells_allow("a", "b", "n", "m")).collect()
+    assert len(got) == len(rows)
+    assert all(r.ok for r in got if 180 * r.keep >= 80 * (r.n + r.m))
+    assert not any(r.ok for r in got if r.keep == r.n // 2 and r.n > 5)
+
+
 def test_ngram_join_without_documents(spark):
     assert ngram_join.join(docs(spark, [(1, None)]).limit(0)).count() == 0
     assert [tuple(r) for r in ngram_join.join(docs(spark, [(1, None)])).collect()] == [(1, 0, 1)]
@@ -569,6 +602,12 @@ def test_plan_against_brute_force():
         assert sorted(got.values()) == sorted(fills)
 
 
+def test_packing_starts_no_workers_for_its_plan(spark):
+    plan = packing.pack(docs(spark, [(1, "a b"), (2, None)]), queries.tokenizer_path())._jdf.queryExecution().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+    assert packing.pack(docs(spark, [(1, "a b")]).limit(0), queries.tokenizer_path()).count() == 0
+
+
 def test_packing(spark):
     texts = AWKWARD + [(30 + i, " ".join(["word"] * (i * 37 % 900))) for i in range(60)]
     got = packing.pack(docs(spark, texts), queries.tokenizer_path()).collect()
