@@ -169,3 +169,18 @@ def test_interval_join(spark):
     got = sorted((r.program, int(r.x), r.id) for r in ranges.interval_join(points, intervals, "x", "start", "stop", ["program"]).collect())
     assert got == sorted((p, x, i) for p, x in at for q, i, a, b in rows if p == q and a <= x < b)
     assert ranges.dyadic(intervals, "start", "stop").groupBy("id").count().agg(F.max("count")).first()[0] <= 126
+
+
+def test_interval_join_of_many(spark, monkeypatch):
+    """Few cells for each interval and few lengths for each point, and many cells aren't broadcast."""
+    maps = spark.range(50).selectExpr("id * 1000 as start", "id * 1000 + 100 + id * 7 as stop", "id as module")
+    at = spark.range(0, 60000, 7).withColumnRenamed("id", "x")
+    assert ranges.dyadic(maps, "start", "stop").groupBy("module").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= 5
+    want = {(x, x // 1000) for x in range(0, 60000, 7) if x // 1000 < 50 and x % 1000 < 100 + x // 1000 * 7}
+    for many, merged in ((10**6, False), (10, True)):
+        monkeypatch.setattr(ranges, "MANY", many)
+        found = ranges.interval_join(at, maps, "x", "start", "stop")
+        plan = found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().sparkPlan().toString()
+        assert ("SortMergeJoin" in plan, "Broadcast" in plan) == (merged, not merged)
+        got = [(r.x, r.module) for r in found.select("x", "module").collect()]
+        assert len(got) == len(want) and set(got) == want
