@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,25 +17,75 @@ from .graph import cut, discard, roots
 SLACK = 1e-9
 #: Traces of a frame that one task joins with others at a time, and members of a cluster.
 HOT, BLOCK = 4096, 64
+#: Traces of a frame from which on it is told apart from rarer ones.
+COMMON = 256
 #: Digits of a distance that count when merges are ordered.
 DIGITS = 12
 
 
-def _weighed(t: DataFrame) -> DataFrame:
-    """(i, n, f, w): what each distinct frame of a trace (i, k) of n frames can add to a similarity at most."""
-    each = t.where("size(k) > 0").select("i", F.size("k").alias("n"), F.posexplode("k").alias("p", "f"))
-    return each.groupBy("i", "n", "f").agg(F.sum(F.exp(-DEPTH * (F.col("p") + 1))).alias("w"))
+def weight(n: Column) -> Column:
+    """The sum of exp(-DEPTH i) over the places 1 to n."""
+    return math.exp(-DEPTH) * (1 - F.exp(-DEPTH * n)) / (1 - math.exp(-DEPTH))
 
 
-def _rare(each: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """The frames of :func:`_weighed` traces without the most common ones that together weigh ``least`` of the trace at most."""
-    rest = F.sum("w").over(Window.partitionBy("i").orderBy(F.desc("df"), "f"))
-    return each.join(held, "f").withColumn("rest", rest).where(F.col("rest") > least * weight(F.col("n")) - SLACK)
+def _coded(d: DataFrame, id: str, keys: str) -> DataFrame:
+    """(i, h, g): the frames of a trace as hashes, which only choose what is compared, and which of 31 bits they set; equal hashes of different frames cost a comparison."""
+    return d.select(F.col(id).alias("i"), F.transform(keys, lambda x: F.hash(x)).alias("h")).where("size(h) > 0").withColumn("g", F.expr("aggregate(h, 0, (s, x) -> s | shiftleft(1, pmod(x, 31)))"))
 
 
-def weight(n: Column) -> Column:
-    """The sum of exp(-DEPTH i) over the places 1 to n."""
-    return math.exp(-DEPTH) * (1 - F.exp(-DEPTH * n)) / (1 - math.exp(-DEPTH))
+def _common(*coded: DataFrame) -> DataFrame:
+    """(f, df): the frames that COMMON traces hold or more."""
+    each = reduce(DataFrame.union, (d.select(F.explode(F.array_distinct("h")).alias("f")) for d in coded))
+    return cut(each.groupBy("f").agg(F.count("*").alias("df")).where(F.col("df") >= min(COMMON, HOT)), "common")
+
+
+def _offers(coded: DataFrame, common: DataFrame | None, least: float) -> DataFrame:
+    """(i, h, g, f, earlier, need, bits) for the frames with which a trace is looked for: those at places besides the most common ones, and among these the lightest,
+    that together weigh ``least`` of the trace at most. earlier: those offered before f; need: how many different frames it takes to exceed ``least``; bits: how many of the
+    bits of ``g`` these set at least.
+    """
+    if common is None:
+        times = "0L"
+    else:
+        held = coded.select("i", F.explode(F.array_distinct("h")).alias("f")).join(common, "f").groupBy("i").agg(F.collect_list(F.struct("f", "df")).alias("held"))
+        coded, times = coded.join(held, "i", "left"), "coalesce(get(filter(held, y -> y.f = x), 0).df, 0L)"
+    limit = f"({least}D * {_weight_sql('size(h)')} - {SLACK}D)"
+    places = f"array_sort(transform(h, (x, p) -> named_struct('c', - {times}, 'w', exp(-{DEPTH}D * (p + 1)), 'f', x)))"
+    fold = f"""array_distinct(aggregate({places}, named_struct('r', 0D, 'o', cast(array() as array<int>)),
+        (s, e) -> named_struct('r', s.r + e.w, 'o', if(s.r + e.w > {limit}, array_append(s.o, e.f), s.o)), s -> s.o))"""
+    need = f"if(size(array_distinct(h)) < size(h), 1, 1 + size(filter(sequence(1, size(h)), n -> {_weight_sql('n')} <= {limit})))"
+    offers = coded.select("i", "h", "g", F.expr(fold).alias("o"), F.expr(need).alias("need")).withColumn("bits", F.expr("need - size(array_distinct(h)) + bit_count(g)"))
+    return offers.select("*", F.posexplode("o").alias("at", "f")).select("i", "h", "g", "f", F.expr("slice(o, 1, at)").alias("earlier"), "need", "bits")
+
+
+def _weight_sql(n: str) -> str:
+    return f"{math.exp(-DEPTH) / (1 - math.exp(-DEPTH))}D * (1 - exp(-{DEPTH}D * {n}))"
+
+
+def _meet(short: DataFrame, long: DataFrame, common: DataFrame, least: float, condition: str) -> DataFrame:
+    """(a, b) of :func:`_coded` traces whose similarity may exceed ``least``, each pair once, a being of ``short``; condition: of a, ha and b, hb.
+
+    A pair meets at each frame that one offers and the other has, and stays at the first of these; whether it can be similar enough is told there by the hashes of all
+    frames, so what is too far isn't shuffled. The traces of a frame are dealt into parts of HOT, so that what joins a frame of most traces is many tasks' work.
+    """
+    n, most = common.agg(F.count("*"), F.max("df")).first()
+    offers = _offers(short, common if n else None, least)
+    every = long.select("i", "h", "g", F.explode(F.array_distinct("h")).alias("f"))
+    on = ["f"]
+    if n and most >= HOT:
+        hot = common.where(F.col("df") >= HOT).select("f", (F.col("df") / HOT).cast("int").alias("last"))
+        last = F.coalesce("last", F.lit(0))
+        offers = offers.join(hot, "f", "left").withColumn("part", F.explode(F.sequence(F.lit(0), last))).drop("last")
+        every = every.join(hot, "f", "left").withColumn("part", F.pmod(F.xxhash64("i"), last + 1).cast("int")).drop("last")
+        on.append("part")
+    # a size that the optimizer guesses from the traces misses what explode makes of them, so nothing is broadcast
+    met = offers.withColumnsRenamed({"i": "a", "h": "ha", "g": "ga"}).hint("merge").join(every.withColumnsRenamed({"i": "b", "h": "hb", "g": "gb"}), on).where(condition)
+    if least > 0:
+        met = met.where("bit_count(ga & gb) >= bits").where("size(array_intersect(ha, hb)) >= need")
+    met = met.where("not arrays_overlap(earlier, hb)")
+    if least > 0:
+        met = met.withColumn("bound", once(upper_bound("ha", "hb"))).where(F.col("bound") > least - SLACK)
+    return met.select("a", "b")
 
 
 def candidate_pairs(traces: DataFrame, least: float = 0.0, id: str = "id", keys: str = "keys") -> DataFrame:
@@ -42,44 +93,35 @@ def candidate_pairs(traces: DataFrame, least: float = 0.0, id: str = "id", keys:
 
     Traces without a common frame have similarity 0, so an equi-join on frames finds all pairs. A frame
     at place i adds at most exp(-DEPTH i) to a similarity, which is relative to the sum of these over the shorter trace. So to
-    exceed ``least`` the shorter trace shares one of its frames besides any that weigh no more than ``least`` of
+    exceed ``least`` the shorter trace shares the frame of one of its places besides any that weigh no more than ``least`` of
     its sum together: these are taken from the frames that most traces hold. The shorter one's other
-    frames are joined with all frames of the longer one. The traces of a frame are dealt into parts of HOT, so
-    that what joins a frame of most traces is many tasks' work.
+    frames are joined with all frames of the longer one.
     """
-    t = traces.select(F.col(id).alias("i"), F.col(keys).alias("k")).where("size(k) > 0")
-    each = _weighed(t)
-    held = each.groupBy("f").agg(F.count("*").alias("df"))
-    parts = (F.col("df") / HOT).cast("int") + 1
-    every = each.join(held, "f").select(F.struct("n", "i").alias("b"), "f", F.pmod(F.xxhash64("i"), parts).cast("int").alias("part"))
-    offers = _rare(each, held, least) if least > 0 else each.join(held, "f")
-    offers = offers.select(F.struct("n", "i").alias("a"), "f", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    found = offers.join(every, ["f", "part"]).where("a < b").select("a.i", F.col("b.i").alias("j")).distinct()
-    pairs = found.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
-    pairs = pairs.join(t.select(F.col("i").alias("id_a"), F.col("k").alias("ka")), "id_a").join(t.select(F.col("i").alias("id_b"), F.col("k").alias("kb")), "id_b")
-    return pairs.where(upper_bound("ka", "kb") > least - SLACK) if least > 0 else pairs
+    coded = _coded(traces, id, keys)
+    found = cut(_meet(coded, coded, _common(coded), least, "struct(size(ha), a) < struct(size(hb), b)"), "candidates")
+    k = traces.select(F.col(id).alias("i"), F.col(keys).alias("k"))
+    pairs = found.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    return pairs.join(k.select(F.col("i").alias("id_a"), F.col("k").alias("ka")), "id_a").join(k.select(F.col("i").alias("id_b"), F.col("k").alias("kb")), "id_b")
 
 
 def pairs_across(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(l, r, kl, kr, bound) of traces (l, keys) and (r, keys) whose similarity may be ``least`` or more, by the rare frames of the shorter one; bound is above the similarity."""
-    sides = [d.select(F.col(c).alias("i"), F.col("keys").alias("k")).where("size(k) > 0") for d, c in ((left, "l"), (right, "r"))]
-    x, y = map(_weighed, sides)
-    held = x.select("f").union(y.select("f")).groupBy("f").agg(F.count("*").alias("df"))
-    parts = (F.col("df") / HOT).cast("int") + 1
-
-    def joined(short: DataFrame, long: DataFrame, condition: str) -> DataFrame:
-        offers = _rare(short, held, least).select("f", F.col("i").alias("s"), F.col("n").alias("ns"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        every = long.join(held, "f").select("f", F.col("i").alias("t"), F.col("n").alias("nt"), F.pmod(F.xxhash64("i"), parts).cast("int").alias("part"))
-        return offers.join(every, ["f", "part"]).where(condition)
-
-    found = joined(x, y, "ns <= nt").select(F.col("s").alias("l"), F.col("t").alias("r")).union(joined(y, x, "ns < nt").select(F.col("t").alias("l"), F.col("s").alias("r"))).distinct()
-    met = found.join(sides[0].select(F.col("i").alias("l"), F.col("k").alias("kl")), "l").join(sides[1].select(F.col("i").alias("r"), F.col("k").alias("kr")), "r")
+    sides = [d.select(F.col(c).alias("i"), F.col("keys").alias("k")) for d, c in ((left, "l"), (right, "r"))]
+    x, y = (_coded(d, "i", "k") for d in sides)
+    common = _common(x, y)
+    found = _meet(x, y, common, least, "size(ha) <= size(hb)").toDF("l", "r").union(_meet(y, x, common, least, "size(ha) < size(hb)").select(F.col("b").alias("l"), F.col("a").alias("r")))
+    met = cut(found, "candidates").join(sides[0].select(F.col("i").alias("l"), F.col("k").alias("kl")), "l").join(sides[1].select(F.col("i").alias("r"), F.col("k").alias("kr")), "r")
     return met.withColumn("bound", upper_bound("kl", "kr")).where(F.col("bound") > least - SLACK)
 
 
+def once(value: Column) -> Column:
+    """``value`` worked out once for a row, and not again in each filter on it."""
+    return F.explode(F.array(value))
+
+
 def distances(traces: DataFrame, least: float = 0.0, id: str = "id", keys: str = "keys") -> DataFrame:
     """(id_a, id_b, dist) of the candidate pairs; other pairs are at distance 1."""
-    return candidate_pairs(traces, least, id, keys).select("id_a", "id_b", (1 - similarity("ka", "kb")).alias("dist"))
+    return candidate_pairs(traces, least, id, keys).select("id_a", "id_b", once(1 - similarity("ka", "kb")).alias("dist"))
 
 
 def link(near: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _ordered(name: str) -> str:
-    return f"transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_suppkey))), x -> {name})"
+    return f"transform(sort_array(collect_list(struct(l_linenumber, l_partkey, l_suppkey))), x -> {name})"
 
 
 def coarse_traces(spark: SparkSession, sf_dir: str) -> DataFrame:

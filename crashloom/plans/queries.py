@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, frames, severity, similarity, text, traces
 from ..operators import clustering, dedup, incremental, ranges, sarif, summary
+from ..operators.graph import cut
 from ..operators.instructions import instruction_class
 from ..sources.reports import anonymised, fold
 from . import adapters as A
@@ -108,8 +109,8 @@ p AS (SELECT id_a, id_b, x.keys AS ka, y.keys AS kb FROM c JOIN t x ON x.id = id
 @query(f"WITH t AS ({A.TRACES}), {_PAIRS}, s AS (SELECT id_a, id_b, {_SIM} AS s FROM p) SELECT id_a, id_b, round(s, 6) AS similarity FROM s WHERE s > 0.500001")
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of orders' traces that are similar at more than one half."""
-    pairs = clustering.candidate_pairs(A.traces(spark, sf_dir), 0.5)
-    return pairs.select("id_a", "id_b", similarity.similarity("ka", "kb").alias("s")).where("s > 0.500001").select("id_a", "id_b", F.round("s", 6).alias("similarity"))
+    pairs = clustering.candidate_pairs(cut(A.traces(spark, sf_dir), "traces"), 0.5)
+    return pairs.select("id_a", "id_b", clustering.once(similarity.similarity("ka", "kb")).alias("s")).where("s > 0.500001").select("id_a", "id_b", F.round("s", 6).alias("similarity"))
 
 
 @query(f"""WITH t AS ({A.MEMBERS}), p AS (SELECT a.cluster, a.keys AS ka, b.keys AS kb FROM t a JOIN t b ON a.cluster = b.cluster AND a.id < b.id), d AS (SELECT cluster, max(1 - {_SIM}) AS d FROM p GROUP BY 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from decimal import Decimal
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from crashloom.functions.similarity import similarity, upper_bound
 from crashloom.operators import clustering, dedup, incremental, ranges, summary
 from crashloom.operators.graph import cut
 from test_crash_functions import plain_similarity
@@ -116,6 +118,39 @@ def test_pairs_of_hot_frames(spark, monkeypatch, hot):
     assert want <= got and len(got) < 225
 
 
+def test_few_candidates(spark):
+    """What is too far is told before pairs are shuffled, and what a table was made of goes with its query."""
+    rng = random.Random(5)
+    t = cut(spark.createDataFrame([(i, rng.sample([f"p{x}" for x in range(40)], rng.randint(2, 7))) for i in range(300)], "id long, keys array<string>"), "traces")
+    pairs = clustering.candidate_pairs(t, 0.5).select("id_a", "id_b", similarity("ka", "kb").alias("s")).collect()
+    assert len({(r.id_a, r.id_b) for r in pairs}) == len(pairs) < 1.6 * sum(r.s > 0.5 for r in pairs)
+    files = lambda: {f for _, _, x in os.walk(spark.conf.get("spark.local.dir")) for f in x if f.startswith("shuffle_")}
+    before = files()
+    assert cut(spark.range(5000).groupBy((F.col("id") % 999).alias("k")).count(), "counts").count() == 999
+    # the count above has one row for each task
+    assert sum("data" in f for f in files() - before) <= 1
+
+
+def test_no_candidate_is_lost(spark):
+    """Frames of all kinds of hashes: every pair that is similar enough is found."""
+    rng = random.Random(7)
+    rows = [(i, rng.sample([f"p{x}" for x in range(150)], rng.randint(1, 6))) for i in range(250)]
+    t = cut(spark.createDataFrame(rows, "id long, keys array<string>"), "traces")
+    for least in (0.5, 0.7):
+        got = {(r.id_a, r.id_b) for r in clustering.candidate_pairs(t, least).select("id_a", "id_b").collect()}
+        assert {(i, j) for i, a in rows for j, b in rows if i < j and set(a) & set(b) and plain_similarity(a, b) > least} <= got
+
+
+@pytest.mark.parametrize("keys", ["abcdef", "abcdefghijklmnop"])
+def test_similarity_without_table(spark, keys):
+    """Traces without repeats and in the same order, and others, have the similarity of the table, and the bound isn't below it."""
+    rng = random.Random(len(keys))
+    draw = lambda: (rng.sample(keys, rng.randint(1, 6)), sorted(rng.sample(keys, rng.randint(1, 6))), rng.choices(keys, k=rng.randint(1, 9)))[rng.randrange(3)]
+    rows = spark.createDataFrame([(draw(), draw()) for _ in range(400)], "a array<string>, b array<string>")
+    for r in rows.select("a", "b", similarity("a", "b").alias("s"), upper_bound("a", "b").alias("bound")).collect():
+        assert abs(r.s - plain_similarity(r.a, r.b)) < 1e-12 and r.bound > r.s - clustering.SLACK
+
+
 def test_relations_compare_little(spark):
     """Far members settle a report without being compared, and kinds are those of looking at members in order."""
     rng = random.Random(6)
