@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..functions.fixed import DEPTH, THRESHOLD
+from ..functions.fixed import DEPTH, SHIFT, THRESHOLD
 from ..functions.similarity import similarity, upper_bound
 from .graph import cut, discard, roots
 
@@ -19,6 +19,8 @@ SLACK = 1e-9
 HOT, BLOCK = 4096, 64
 #: Traces of a frame from which on it is told apart from rarer ones.
 COMMON = 256
+#: Meetings of traces at frames whose sums are made at a time.
+MEETS = 64_000_000
 #: Digits of a distance that count when merges are ordered.
 DIGITS = 12
 
@@ -62,14 +64,18 @@ def _weight_sql(n: str) -> str:
     return f"{math.exp(-DEPTH) / (1 - math.exp(-DEPTH))}D * (1 - exp(-{DEPTH}D * {n}))"
 
 
-def _meet(short: DataFrame, long: DataFrame, common: DataFrame, least: float, condition: str) -> DataFrame:
-    """(a, b) of :func:`_coded` traces whose similarity may exceed ``least``, each pair once, a being of ``short``; condition: of a, ha and b, hb.
+def _meet(short: DataFrame, long: DataFrame, common: DataFrame, least: float, condition: str, *out: str) -> DataFrame:
+    """(a, b) or ``out`` of :func:`_coded` traces whose similarity may exceed ``least``, each pair once, a being of ``short``; condition: of a, ha and b, hb.
 
     A pair meets at each frame that one offers and the other has, and stays at the first of these; whether it can be similar enough is told there by the hashes of all
     frames, so what is too far isn't shuffled. The traces of a frame are dealt into parts of HOT, so that what joins a frame of most traces is many tasks' work.
     """
     n, most = common.agg(F.count("*"), F.max("df")).first()
-    offers = _offers(short, common if n else None, least)
+    if least > 0:
+        offers = _offers(short, common if n else None, least)
+    else:
+        each = short.withColumn("o", F.array_distinct("h")).select("*", F.posexplode("o").alias("at", "f"))
+        offers = each.withColumn("earlier", F.expr("slice(o, 1, at)")).drop("o", "at")
     every = long.select("i", "h", "g", F.explode(F.array_distinct("h")).alias("f"))
     on = ["f"]
     if n and most >= HOT:
@@ -82,10 +88,10 @@ def _meet(short: DataFrame, long: DataFrame, common: DataFrame, least: float, co
     met = offers.withColumnsRenamed({"i": "a", "h": "ha", "g": "ga"}).hint("merge").join(every.withColumnsRenamed({"i": "b", "h": "hb", "g": "gb"}), on).where(condition)
     if least > 0:
         met = met.where("bit_count(ga & gb) >= bits").where("size(array_intersect(ha, hb)) >= need")
-    met = met.where("not arrays_overlap(earlier, hb)")
+    met = met.where("not coalesce(arrays_overlap(earlier, hb), false)")
     if least > 0:
         met = met.withColumn("bound", once(upper_bound("ha", "hb"))).where(F.col("bound") > least - SLACK)
-    return met.select("a", "b")
+    return met.select(*(out or ("a", "b")))
 
 
 def candidate_pairs(traces: DataFrame, least: float = 0.0, id: str = "id", keys: str = "keys") -> DataFrame:
@@ -266,27 +272,43 @@ def report_distances(members: DataFrame, reports: DataFrame) -> DataFrame:
     return far.join(sizes, "cluster").select("report_id", "cluster", F.when(F.col("met") < F.col("size"), F.lit(1.0)).otherwise(F.col("d")).alias("dist"))
 
 
+def _nearness(some: DataFrame, whole: DataFrame, common: DataFrame) -> DataFrame:
+    """(uid, own, b, met) of members (i, h): the sum of similarities to the others of their cluster, the least mean distance of a cluster they share a frame with, and how many of these there are."""
+    # most pairs have one frame in common, once in each, and are no more alike than by its places
+    p, q = F.expr("array_position(ha, f)"), F.expr("array_position(hb, f)")
+    single = F.expr("size(array_intersect(ha, hb)) = 1 and size(array_remove(ha, f)) = size(ha) - 1 and size(array_remove(hb, f)) = size(hb) - 1")
+    alone = F.exp(-(DEPTH * F.least(p, q) + SHIFT * F.abs(p - q))) / weight(F.least(F.size("ha"), F.size("hb")))
+    met = _meet(some, whole, common, 0.0, "a <> b", "a", "b", F.when(single, alone).otherwise(similarity("ha", "hb")).alias("s"))
+    each = met.select("a.cluster", "a.id", F.col("b.cluster").alias("oc"), F.col("b.size").alias("os"), (F.col("s") * F.col("b.n")).alias("s"))
+    # all pairs of a member come to one task, which sums them up by clusters and then over these
+    each = each.repartition("cluster", "id").groupBy("cluster", "id", "oc").agg(F.sum("s").alias("s"), F.first("os").alias("os"))
+    inside = F.col("oc") == F.col("cluster")
+    # copies of the trace itself are in its cluster with similarity 1
+    own, b = F.sum(F.when(inside, F.col("s"))).alias("own"), F.min(F.when(~inside, 1 - F.col("s") / F.col("os"))).alias("b")
+    return each.groupBy("cluster", "id").agg(own, b, F.count(F.when(~inside, 1)).alias("met")).select(F.struct("cluster", "id").alias("uid"), "own", "b", "met")
+
+
 def silhouettes(members: DataFrame) -> DataFrame:
     """(id, cluster, a, b, silhouette) of each member; 0 for the only member of a cluster.
 
     Only traces that share a frame are compared: the others are at distance 1, so a cluster's
     mean distance follows from the sum of similarities and its size. Clusters that
     share no frame with a member are at mean distance 1.
+
+    No pair is kept: members are taken in slices of about MEETS meetings with others, each of which is summed up to a row for a member
+    before the next one, so disk is bounded whatever the number of pairs. The work is that of all pairs with a common frame.
     """
     unique = cut(distinct_members(members), "members")
     sizes = unique.groupBy("cluster").agg(F.sum("n").alias("size"))
     clusters = unique.agg(F.count_distinct("cluster")).first()[0]
-    u = unique.withColumn("uid", F.struct("cluster", "id"))
-    pairs = cut(candidate_pairs(u, 0.0, "uid", "keys").select("id_a", "id_b", similarity("ka", "kb").alias("s")), "similarities")
-    both = pairs.union(pairs.select("id_b", "id_a", "s"))
-    both = both.select(F.col("id_a").alias("uid"), F.col("id_b").alias("other"), "s")
-    weighted = both.join(u.select(F.col("uid").alias("other"), "n"), "other").groupBy("uid", F.col("other.cluster").alias("oc")).agg(F.sum(F.col("s") * F.col("n")).alias("s"))
-    rows = u.join(sizes, "cluster").select("uid", "cluster", "id", "keys", "n", "size")
-    # copies of the trace itself are in its cluster with similarity 1
-    own = weighted.where("oc = uid.cluster").select("uid", F.col("s").alias("own"))
-    near = weighted.where("oc <> uid.cluster").join(sizes.select(F.col("cluster").alias("oc"), F.col("size").alias("os")), "oc")
-    near = near.groupBy("uid").agg(F.min(1 - F.col("s") / F.col("os")).alias("b"), F.count("*").alias("met"))
-    x = rows.join(own, "uid", "left").join(near, "uid", "left")
+    rows = cut(unique.join(sizes, "cluster").select(F.struct("cluster", "id").alias("uid"), "cluster", "id", "keys", "n", "size"), "sized")
+    # whole traces meet, each at its frames; g is for hashes only
+    whole = rows.where("size(keys) > 0").select(F.struct("cluster", "id", "n", "size").alias("i"), F.col("keys").alias("h"), F.lit(0).alias("g"))
+    common = _common(whole)
+    held = whole.select(F.explode(F.array_distinct("h")).alias("f")).groupBy("f").agg(F.count("*").alias("df"))
+    slices = int((held.agg(F.sum(F.col("df").cast("double") * F.col("df"))).first()[0] or 0) // MEETS) + 1
+    seen = [cut(_nearness(whole.where(F.pmod(F.xxhash64("i"), F.lit(slices)) == k), whole, common), "nearness") for k in range(slices)]
+    x = rows.join(reduce(DataFrame.union, seen), "uid", "left")
     a = (F.col("size") - F.col("n") - F.coalesce("own", F.lit(0.0))) / (F.col("size") - 1)
     x = x.withColumn("a", F.when(F.col("size") > 1, a)).withColumn("b", F.when(F.coalesce("met", F.lit(0)) < clusters - 1, F.least(F.coalesce("b", F.lit(1.0)), F.lit(1.0))).otherwise(F.col("b")))
     sil = F.when(F.col("size") == 1, F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))

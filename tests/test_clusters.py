@@ -50,6 +50,22 @@ def test_silhouette_of_nothing_is_an_error(spark):
             clustering.mean_silhouette(df).select("silhouette").collect()
 
 
+@pytest.mark.parametrize("meets", [64_000_000, 700])
+def test_silhouettes_in_slices(spark, monkeypatch, meets):
+    """The means of all pairs, whatever the slices, and no table of pairs."""
+    monkeypatch.setattr(clustering, "MEETS", meets)
+    made = []
+    monkeypatch.setattr(clustering, "cut", lambda df, name: (made.append((name, back := cut(df, name))), back)[1])
+    rng = random.Random(11)
+    rows = [(i, i % 5 + 1 if i < 40 else 6, [rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))]) for i in range(41)] + [(50, 1, ["z"]), (51, 2, ["z"])]
+    got = {r.id: r.silhouette for r in clustering.silhouettes(spark.createDataFrame(rows, "id long, cluster int, keys array<string>")).collect()}
+    for i, c, k in rows:
+        mean = {x: [1 - plain_similarity(k, y) for j, z, y in rows if z == x and j != i] for x in range(1, 7)}
+        a, b = (sum(mean[c]) / len(mean[c]) if mean[c] else None), min(sum(v) / len(v) for x, v in mean.items() if x != c)
+        assert abs(got[i] - (0 if a is None else (b - a) / max(a, b))) < 1e-9
+    assert all(back.count() <= len(rows) for _, back in made) and (sum(n == "nearness" for n, _ in made) > 1) == (meets == 700)
+
+
 def plain_linkage(n, dist, threshold=0.3):
     """Merges by the least distance of all, ties by the smallest members: {(height, members)}."""
     d = np.ones((n, n))
