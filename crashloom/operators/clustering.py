@@ -171,7 +171,8 @@ def cluster(traces: DataFrame, threshold: float = THRESHOLD, id: str = "id", key
     Equal traces are at distance 0 and are clustered as one. Numbers go to single traces in
     order of ids and then to merged clusters in the order of their last merges.
     """
-    own = traces.select(F.col(id).alias("id"), F.col(keys).alias("keys"))
+    # read once: what makes the traces isn't done again for the result
+    own = cut(traces.select(F.col(id).alias("id"), F.col(keys).alias("keys")), "own")
     rep = cut(own.groupBy("keys").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "traces")
     merged = link(distances(rep, 1 - threshold, "rep").where(F.col("dist") < threshold), threshold)
     shaped = rep.join(merged.withColumnRenamed("v", "rep"), "rep", "left").withColumn("first", F.coalesce("first", "rep"))

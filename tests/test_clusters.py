@@ -50,6 +50,13 @@ def test_silhouette_of_nothing_is_an_error(spark):
             clustering.mean_silhouette(df).select("silhouette").collect()
 
 
+def test_clusters_read_traces_once(spark):
+    """Traces that took a shuffle to make aren't made again for the result."""
+    t = spark.range(60).groupBy((F.col("id") % 20).alias("id")).agg(F.sort_array(F.collect_list(F.concat(F.lit("f"), F.col("id") % 7))).alias("keys"))
+    found = clustering.cluster(t)
+    assert "Range" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 20
+
+
 @pytest.mark.parametrize("meets", [64_000_000, 700])
 def test_silhouettes_in_slices(spark, monkeypatch, meets):
     """The means of all pairs, whatever the slices, and no table of pairs."""
